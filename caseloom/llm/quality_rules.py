@@ -13,51 +13,81 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD_BREAKS, let, table
+from .shared import WORD, let, table
 
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = "[#*$%&|<>]"
 SPAN = 3
 
 
-def measurements(text: Column) -> Column:
-    """Struct of counts over the whole text; null and empty texts measure 0.
+def _spans_covered(w: Column) -> Column:
+    """Words of the array ``w`` in SPAN-word windows that occur twice or more in it.
 
-    n_repeat_words sorts a document's 3-word windows with their positions, keeps
-    those equal to a neighbour and sums how many words they cover: n log n in the
-    length of the text, inside one row, with nothing shuffled.
+    Windows are packed as 44 bits of hash and 20 bits of position, so that one
+    sort of longs brings equal windows side by side in order of position; each
+    neighbour with the same bits is then compared word by word. A text with a
+    collision of those bits, or with 2^20 words or more, sorts the windows'
+    strings instead.
     """
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\\n"), lambda x: F.translate(x, WORD_BREAKS, "") != "")
-    bare = F.length(F.translate(text, WORD_BREAKS, ""))
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    at = F.sequence(F.lit(0), F.size(w) - SPAN)
+    low = (1 << 20) - 1
+    word = lambda i, k: F.get(w, (i + k).cast("int"))
+    place = lambda x: x.bitwiseAND(F.lit(low))
+    bits = lambda x: F.shiftright(x, 20)
+
+    def spread(p: Column) -> Column:
+        steps = F.transform(p, lambda x, j: F.coalesce(F.least(F.lit(SPAN), (F.get(p, j + 1) - x).cast("int")), F.lit(SPAN)))
+        return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
+
+    def beside(flags: Column, item) -> Column:
+        """Sorted places whose window equals the one before (flag 1) or after."""
+        hit = F.transform(flags, lambda f, j: F.when((f == 1) | (F.get(flags, j + 1) == 1), item(j)))
+        return F.sort_array(F.filter(hit, lambda i: i.isNotNull()))
+
+    def by_hash(p: Column) -> Column:
+        def flag(x: Column, j: Column) -> Column:
+            y = F.get(p, j - 1)
+            same = (word(place(x), 0) == word(place(y), 0)) & (word(place(x), 1) == word(place(y), 1)) & (word(place(x), 2) == word(place(y), 2))
+            return F.when(bits(x) != bits(y), F.lit(0)).when(same, F.lit(1)).when(y.isNull(), F.lit(0)).otherwise(F.lit(2))
 
-    def covered(w: Column) -> Column:
-        n = F.size(w)
-        at = F.sequence(F.lit(0), n - SPAN)
-        grams = F.transform(at, lambda i: F.struct(F.concat_ws(" ", *[F.get(w, i + k) for k in range(SPAN)]).alias("g"), i.alias("i")))
+        def judge(flags: Column) -> Column:
+            return F.when(F.array_contains(flags, 2), by_string()).otherwise(let(beside(flags, lambda j: place(F.get(p, j))), spread))
 
-        def repeats(s: Column) -> Column:
-            same = lambda x, j: (F.get(s, j - 1)["g"] == x["g"]) | (F.get(s, j + 1)["g"] == x["g"])
-            return F.array_sort(F.transform(F.filter(s, lambda x, j: F.coalesce(same(x, j), F.lit(False))), lambda x: x["i"]))
+        return let(F.transform(p, flag), judge)
 
-        def spread(p: Column) -> Column:
-            steps = F.transform(p, lambda x, j: F.coalesce(F.least(F.lit(SPAN), F.get(p, j + 1) - x), F.lit(SPAN)))
-            return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
+    def by_string() -> Column:
+        grams = F.transform(at, lambda i: F.struct(F.concat_ws(" ", *[F.get(w, i + k) for k in range(SPAN)]).alias("g"), i.cast("long").alias("i")))
+        flags = lambda s: F.transform(s, lambda x, j: F.when(F.get(s, j - 1)["g"] == x["g"], F.lit(1)).otherwise(F.lit(0)))
+        return let(F.sort_array(grams), lambda s: let(flags(s), lambda f: let(beside(f, lambda j: F.get(s, j)["i"]), spread)))
 
-        return F.when(n < SPAN, F.lit(0)).otherwise(let(F.sort_array(grams), lambda s: let(repeats(s), spread)))
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SPAN)]))
+    packed = lambda h: F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+    # Equal windows have equal hashes: where all hashes differ there is nothing to sort.
+    some = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).when(F.size(h) > low, by_string()).otherwise(let(packed(h), by_hash))
+    return F.when(F.size(w) < SPAN, F.lit(0)).otherwise(let(hashes, some))
 
+
+def measurements(text: Column) -> Column:
+    """Struct of counts over the whole text; null and empty texts measure 0.
+
+    Everything is computed inside the row, in n log n of the text's length, and
+    nothing is shuffled.
+    """
+    text = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(text, "\\n"), lambda x: x.rlike(WORD))
+    long = lambda c, name: c.cast("long").alias(name)
     return let(
-        words,
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            bare.cast("long").alias("word_chars"),
-            symbols.cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            covered(w).cast("long").alias("n_repeat_words"),
-            let(lines, F.size).cast("long").alias("n_lines"),
-            (F.length(text) - F.length(F.translate(text, UPPER, ""))).cast("long").alias("n_upper"),
+        F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
+        lambda w: let(
+            lines,
+            lambda x: F.struct(
+                long(F.size(w), "n_words"),
+                long(F.length(F.array_join(w, "")), "word_chars"),
+                long(F.regexp_count(text, F.lit(SYMBOLS)), "n_symbols"),
+                long(F.size(x) - F.size(F.array_distinct(x)), "n_dup_lines"),
+                long(_spans_covered(w), "n_repeat_words"),
+                long(F.size(x), "n_lines"),
+                long(F.regexp_count(text, F.lit("[A-Z]")), "n_upper"),
+            ),
         ),
     )
 
