@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .mixing import op4_mix_sources
 from .quality_rules import OP1_SQL, op1_quality_rules
+from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .url_filters import op2_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op4_mix_sources": op4_mix_sources,
+    "op8_substring_dedup": op8_substring_dedup,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op8_substring_dedup": OP8_SQL}
