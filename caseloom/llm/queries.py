@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .mixing import op4_mix_sources
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .substring_dedup import OP8_SQL, op8_substring_dedup
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
     "op4_mix_sources": op4_mix_sources,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_substring_dedup": op8_substring_dedup,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL}
