@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from .language_id import op3_language_id
 from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .mixing import op4_mix_sources
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .substring_dedup import OP8_SQL, op8_substring_dedup
+from .token_output import op7_token_output
 from .url_filters import op2_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
+    "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_token_output": op7_token_output,
     "op8_substring_dedup": op8_substring_dedup,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL}
