@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .language_id import op3_language_id
+from .decontamination import op9_decontamination
 from .jaccard_join import OP6_SQL, op6_jaccard_join
+from .language_id import op3_language_id
 from .mixing import op4_mix_sources
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .substring_dedup import OP8_SQL, op8_substring_dedup
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_output": op7_token_output,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL}
