@@ -6,7 +6,9 @@ from .decontamination import op9_decontamination
 from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .language_id import op3_language_id
 from .mixing import op4_mix_sources
+from .quality_classifier import op5_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
+from .secret_scan import op10_secret_scan
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .token_output import op7_token_output
 from .url_filters import op2_url_filters
@@ -16,9 +18,11 @@ QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_output": op7_token_output,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL}
