@@ -22,7 +22,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +32,22 @@ from pyspark.sql import functions as F
 from .shared import materialize, shared_dir, table
 
 #: Interleaved coder states of a block.
-LANES = 512
+LANES = 2048
 #: Steps (of LANES tokens) between checkpoints.
 CHECKPOINT = 128
 #: Tokens after which a block ends with its document.
-BLOCK = 1 << 17
+BLOCK = 1 << 19
 #: Tokens of a range partition on average, and the most partitions.
 PART, MOST_PARTS = 4_000_000, 100_000
 #: Least coder state: states stay in [2^31, 2^63).
 _LOW = np.uint64(1 << 31)
 #: Words that a worker keeps with their ids; then it begins anew.
-CACHE = 400_000
+CACHE = 600_000
 
 _INSIDE_GAP = re.compile(r"\s \s|\s \Z")
+#: A space behind white space, without which no run of it is cut.
+_GAPS = [chr(i) + " " for i in range(0x3001) if chr(i).isspace()]
+_ASCII_GAPS = [g for g in _GAPS if g.isascii()]
 
 
 #: What may stand at a word's end and is then one piece of the pattern of its own.
@@ -59,16 +62,16 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of whole texts, as little-endian bytes, by a byte-level BPE tokenizer.
 
     Its pattern never joins what stands before a space with what follows, so
-    a text is cut before its spaces and each piece (with its space) is looked up or
+    a text is cut before its spaces and each piece (with its space) is looked up here or
     encoded once. That holds unless a cut falls inside a run of white space,
     or a special token's own string is in the text; such texts are encoded whole,
     and so is every text of a tokenizer of another kind. A piece of Latin letters
-    with a tail of punctuation is two pieces of the pattern, which the BPE model encodes
-    directly.
+    with a tail of punctuation is two pieces of the pattern, a line break between two
+    such pieces one of its own; the BPE model encodes those directly.
     """
 
     def __init__(self, spec: str, width: int):
@@ -81,47 +84,69 @@ class WordEncoder:
         cut = kind.get("pre_tokenizer") or {}
         self.by_piece = kind.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and kind["model"].get("type") == "BPE"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, piece: str) -> bytes:
-        found = self.words.get(piece)
+    def _piece(self, piece: str, spaced: bool) -> bytes:
+        """Ids of what the pattern leaves whole, with or without a space before it."""
+        cache = self.words if spaced else self.bare
+        found = cache.get(piece)
         if found is None:
-            spelt = "".join([self.letters[b] for b in piece.encode()]) if not piece.isascii() else piece.replace(" ", self.letters[32])
-            found = self.words[piece] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            if spaced:
+                spelt = self.letters[32] + spelt
+            found = cache[piece] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 
-    def _learn(self, new: list[str]) -> None:
-        hard = []
-        for x in new:
-            word = x.rstrip(_TAIL)
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
-                ids = self._word(" " + word)
-                self.known[x] = ids if len(word) == len(x) else ids + self._word(x[len(word) :])
-            else:
-                hard.append(x)
-        self.known.update(zip(hard, self._encode([f" {x}" for x in hard])))
+    def _latin(self, text: str, spaced: bool) -> bytes | None:
+        """Ids of letters with a tail of punctuation; None if the text is anything else."""
+        word = text.rstrip(_TAIL)
+        if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
+            return None
+        ids = self._piece(word, spaced)
+        return ids if len(word) == len(text) else ids + self._piece(text[len(word) :], False)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._latin(piece, True)
+        if ids is None and "\n" in piece:
+            lines = piece.split("\n")
+            parts = [self._latin(x, k == 0) for k, x in enumerate(lines)]
+            ids = None if None in parts else self.model_break.join(parts)
+        if ids is None:
+            (ids,) = self._encode([" " + piece])
+        self[piece] = ids
+        return ids
+
+    @cached_property
+    def model_break(self) -> bytes:
+        return self._encode(["\n"])[0]
+
+    def _cut_safely(self, text: str) -> bool:
+        gaps = _ASCII_GAPS if text.isascii() else _GAPS
+        if any(g in text for g in gaps) and _INSIDE_GAP.search(text):
+            return False
+        return self.by_piece and not any(s in text for s in self.special)
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.known, self.words):
+        for cache in (self, self.words, self.bare):
             if len(cache) > CACHE:
                 cache.clear()
-        whole = [k for k, t in enumerate(texts) if not self.by_piece or _INSIDE_GAP.search(t) or any(s in t for s in self.special)]
         out: list[bytes] = [b""] * len(texts)
+        whole = []
+        for k, text in enumerate(texts):
+            if not self._cut_safely(text):
+                whole.append(k)
+            elif text:
+                head, *rest = text.split(" ")
+                first = self._latin(head, False)
+                if first is None:
+                    (first,) = self._encode([head])
+                out[k] = first + b"".join(map(self.__getitem__, rest))
         for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
             out[k] = ids
-        skip, known = set(whole), self.known
-        pieces = {k: t.split(" ") for k, t in enumerate(texts) if k not in skip}
-        new = set()
-        for own in pieces.values():
-            new.update(own[1:])
-        self._learn([x for x in new if x not in known])
-        heads = self._encode([own[0] for own in pieces.values()])
-        for (k, own), head in zip(pieces.items(), heads):
-            out[k] = head + b"".join(map(known.__getitem__, islice(own, 1, None)))
         return out
 
 
