@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -28,6 +28,8 @@ from .text_arrays import Runs, Words, finish, text_slices
 #: Shingles in one block of a large group; a group of more is cut into blocks and
 #: every pair of blocks is one task.
 BLOCK = 1_000_000
+#: Parts that a task gathers before it combines equal ones.
+COMBINE = 1_000_000
 
 
 def shingle_sets(words: Words, hashes: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -60,29 +62,64 @@ def _parts(tokens: np.ndarray, bucket: int, least: np.ndarray, num: int, den: in
     cut = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
     total = np.zeros(len(tokens) + 1, np.uint64)
     np.cumsum(finish(tokens + np.uint64(0x632BE59BD9B4E019)), out=total[1:])
-    return finish(total[cut[1:]] - total[cut[:-1]] + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(bucket + 1) * np.uint64(0xD6E8FEB86659FD93))
+    return finish(total[cut[1:]] - total[cut[:-1]] + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((bucket + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
 
 
-SETS = "doc_id bigint, n_shingles bigint, set_hash binary, parts array<bigint>"
+SETS = "doc_id bigint, n_shingles bigint, set_hash binary"
 
 
-def _sketch(n: int, num: int, den: int):
+def _sketch(n: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offs in text_slices(batch.column("text")):
+                words = Words(buf, offs)
+                sets = shingle_sets(words, words.hashes(0, lower=True), n)
+                found = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "n_shingles", "set_hash"])
+
+    return rows
+
+
+#: part: a digest with the document ``a`` that has it, and no ``b``; or a link from ``a`` to ``b``.
+PARTS = "part bigint, a bigint, b bigint"
+
+
+def _combine(part: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """One row for each part, with its least document, and links from the others to that one."""
+    order = np.lexsort((doc, part))
+    part, doc = part[order], doc[order]
+    new = np.ones(len(part), bool)
+    new[1:] = part[1:] != part[:-1]
+    hub = doc[new][np.cumsum(new) - 1]
+    rest = ~new & (doc != hub)
+    links = np.unique(np.stack([doc[rest], hub[rest]], axis=1), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
+    spread = finish(links[:, 0].astype(np.uint64) + finish(links[:, 1].astype(np.uint64))).view(np.int64)
+    b = pa.array(np.concatenate([np.zeros(int(new.sum()), np.int64), links[:, 1]]), mask=np.arange(int(new.sum()) + len(links)) < new.sum())
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([part[new].view(np.int64), spread])), pa.array(np.concatenate([doc[new], links[:, 0]])), b], names=["part", "a", "b"])
+
+
+def _part_rows(n: int, num: int, den: int):
     least = _buckets(num, den)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, docs, size = [], [], 0
         for batch in batches:
-            for lo, hi, buf, offs in text_slices(batch.column("text")):
+            ids = np.asarray(batch.column("doc_id"))
+            for lo, _, buf, offs in text_slices(batch.column("text")):
                 words = Words(buf, offs)
-                sizes, digests, parts = [], [], []
-                for tokens in shingle_sets(words, words.hashes(0, lower=True), n):
-                    sizes.append(len(tokens))
-                    digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None)
+                for doc, tokens in zip(ids[lo:], shingle_sets(words, words.hashes(0, lower=True), n)):
+                    if not len(tokens):
+                        continue
                     b = int(np.searchsorted(least, len(tokens), "right")) - 1
-                    own = [_parts(tokens, x, least, num, den) for x in (b - 1, b) if x >= 0] if len(tokens) else []
-                    parts.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "set_hash", "parts"])
+                    own = [_parts(tokens, x, least, num, den) for x in (b - 1, b) if x >= 0]
+                    held += own
+                    docs += [np.full(len(x), doc) for x in own]
+                    size += sum(map(len, own))
+                    if size >= COMBINE:
+                        yield _combine(np.concatenate(held), np.concatenate(docs))
+                        held, docs, size = [], [], 0
+        if size:
+            yield _combine(np.concatenate(held), np.concatenate(docs))
 
     return rows
 
@@ -256,28 +293,32 @@ def _join_group(num: int, den: int, pairs: bool):
     return group
 
 
-def _classes(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """All documents with their set's hash, and one row a class (rep, copies, parts)."""
+def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """All documents with their set's hash, and one row a class (rep, copies)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = materialize(keyed.mapInArrow(_sketch(n, num, den), SETS), "jaccard-sets")
+    base = materialize(keyed.mapInArrow(_sketch(n), SETS), "jaccard-sets")
     classes = base.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"))
     return base, classes
 
 
-def _grouped(docs: DataFrame, base: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """The classes' sets, with block pairs (i, j), keyed by the cluster in which all their links lie."""
-    # A class's parts come from its representative's row; copies would only repeat them.
-    reps = base.where("set_hash is not null").select("set_hash", F.col("doc_id").alias("rep"), "parts").join(classes.where("n_shingles > 1").select("set_hash", "rep"), ["set_hash", "rep"])
-    parts = reps.select("rep", F.explode("parts").alias("part"))
-    hubs = parts.groupBy("part").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("part", "hub")
-    edges = parts.join(hubs, "part").where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("n"))
-    clusters = components(edges.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+def _grouped(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The classes' sets, with block pairs (i, j), keyed by the cluster in which all their links lie.
+
+    Each task sends a part once, with its least document, and links the part's
+    other documents to that one itself, so that a part which a third of all
+    documents share is as many rows as there are tasks.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = texts.where("doc_id is not null").mapInArrow(_part_rows(n, num, den), PARTS)
+    so_far = Window.partitionBy("part").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
+    hub = F.coalesce("b", F.min(F.when(F.col("b").isNull(), F.col("a"))).over(so_far))
+    edges = parts.select("a", hub.alias("hub")).where("a <> hub").groupBy("a", "hub").agg(F.count(F.lit(1)).alias("n"))
+    clusters = components(edges.select("a", F.col("hub").alias("b")))
     members = classes.select("set_hash", F.col("rep").alias("doc_id"), "copies", "n_shingles").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
-    sizes = members.groupBy("component").agg(F.sum("n_shingles").alias("total"))
+    sizes = members.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
     blocks = F.ceil(F.col("total") / F.lit(BLOCK)).cast("int")
     members = members.join(sizes, "component").withColumn("blocks", blocks)
     members = members.select("doc_id", "set_hash", "copies", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = texts.join(members, "doc_id").select("doc_id", "text", "set_hash", "cluster", "block", "blocks", "copies").mapInArrow(_members(n), MEMBERS)
     with_each = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return with_each.select("doc_id", "cluster", "block", "copies", "tokens", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
@@ -293,9 +334,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     have no shingles and link with nothing; null doc_ids get null component and
     class; repeated rows are copies of each other; other columns are ignored.
     """
-    base, classes = _classes(docs, n, num, den)
+    base, classes = _classes(docs, n)
     classes = materialize(classes, "jaccard-classes")
-    links = _grouped(docs, base, classes, n).groupBy("cluster", "i", "j").applyInArrow(_join_group(num, den, False), LINKS)
+    links = _grouped(docs, classes, n, num, den).groupBy("cluster", "i", "j").applyInArrow(_join_group(num, den, False), LINKS)
     links = materialize(links, "jaccard-links")
     joined = components(links.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
@@ -306,10 +347,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     return rows.select("doc_id", "n_shingles", own("component").alias("component_id"), own("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, all columns, less near duplicates: of each component the row
+    of its least doc_id. Of several rows with that doc_id the one whose text hashes
+    lowest stays; rows with a null doc_id stay as they are. A narrow list of the
+    doc_ids that stay is joined to the texts, which are shuffled once."""
+    kept = jaccard_components(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    joined = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"])
+    first = Window.partitionBy("__kept").orderBy(F.xxhash64("text"))
+    named = joined.withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
+
+
 def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Pairs (doc_id < other) of linked class representatives; copies aren't expanded."""
-    base, classes = _classes(docs, n, num, den)
-    groups = _grouped(docs, base, materialize(classes, "jaccard-classes"), n)
+    _, classes = _classes(docs, n)
+    groups = _grouped(docs, materialize(classes, "jaccard-classes"), n, num, den)
     found = groups.groupBy("cluster", "i", "j").applyInArrow(_join_group(num, den, True), LINKS)
     return found.select(F.least("doc_id", "other").alias("doc_id"), F.greatest("doc_id", "other").alias("other"))
 

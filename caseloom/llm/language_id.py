@@ -227,6 +227,21 @@ def identify(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
     return chosen.mapInArrow(rows, f"{fields}, {PREDICTED}")
 
 
+def accepted(docs: DataFrame, model: Classifier, least: float) -> DataFrame:
+    """The rows of docs, with all their columns, in a learned language that scores ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                names, best = shared.value.predict([t or "" for t in part.column(text).to_pylist()])
+                yield part.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, best)]))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def held_out(doc_id, modulus: int = 3, remainder: int = 1):
     """crc32 of the doc_id as text leaves ``remainder``; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
