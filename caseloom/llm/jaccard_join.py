@@ -3,8 +3,8 @@
 A document is its set of distinct n-word shingles. Equal sets are one class.
 Classes meet in a group when they agree on one of the parts that a set falls
 into: at similarity t two sets of at most X and X/t shingles differ in at most
-H = X(1-t)/t of them, so of H+1 parts (ranges of the shingles' hashes) at least
-one is equal in both. No link is lost, and no statistics of the corpus are
+H = X(1-t)/t of them, so of more than H parts (ranges of the shingles' hashes) at
+least one that isn't empty is equal in both. No link is lost, and no statistics of the corpus are
 needed. In a group the sets, their shingles in one global order (commonest in
 the group first), are stored in a prefix tree; each set walks down the tree with
 its overlap so far, shared by all sets below a node, and leaves a subtree as
@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from math import ceil, exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,11 @@ from .text_arrays import Runs, Words, finish, text_slices
 #: Shingles in one block of a large group; a group of more is cut into blocks and
 #: every pair of blocks is one task.
 BLOCK = 1_000_000
-#: Parts that a task gathers before it combines equal ones.
-COMBINE = 1_000_000
+#: Shingles that a task gathers before it combines equal parts.
+COMBINE = 1_500_000
+#: Shingles that this share of a task's documents hold are common; a set may leave out parts
+#: of common shingles for about DROP of its size.
+COMMON, DROP = 0.003, 0.04
 
 
 def shingle_sets(words: Words, hashes: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -53,16 +58,51 @@ def _buckets(num: int, den: int) -> np.ndarray:
     return np.array(least)
 
 
-def _parts(tokens: np.ndarray, bucket: int, least: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Digests of the set's parts, for pairs whose smaller set is of ``bucket``."""
-    k = int((least[bucket + 1] - 1) * (den - num) // num) + 1
-    if k < 2:  # such pairs can't differ, and equal sets are one class
+@lru_cache(maxsize=None)
+def _n_parts(bucket: int, num: int, den: int) -> tuple[int, int]:
+    """(parts, differences at most) for pairs whose smaller set is of ``bucket``.
+
+    With K parts and at most H differences K - H parts are equal, of which those that
+    are empty say nothing. K is the least number of which a set of the bucket fills
+    more than H by three standard deviations and by some parts that it may drop.
+    """
+    least = _buckets(num, den)
+    size, most = int(least[bucket]), int((least[bucket + 1] - 1) * (den - num) // num)
+    k, spare = most + 1, 2 * ceil(DROP * size)
+    while k < 3 * most + 8:
+        empty = exp(-size / k)
+        if k * (1 - empty) - 3 * sqrt(k * empty * max(0.0, 1 - (1 + size / k) * empty)) > most + spare:
+            break
+        k += 1
+    return k, most
+
+
+def _parts(tokens: np.ndarray, common: np.ndarray, bucket: int, num: int, den: int) -> np.ndarray:
+    """Digests of the set's parts, for pairs whose smaller set is of ``bucket``.
+
+    Two similar sets agree on all but H parts. If a set fills n of them, it may leave
+    out its empty ones and (n - H - 1) / 2 others: were both sets of a pair to do so,
+    the one with the larger n would still keep a filled part in which they agree.
+    Left out are parts that hold nothing but ``common`` shingles. A set that fills
+    no more than H parts sends all, the empty ones too.
+    """
+    k, most = _n_parts(bucket, num, den)
+    if most < 1:  # such pairs can't differ, and equal sets are one class
         return tokens[:0]
     edges = (np.arange(1, k, dtype=np.float64) * (2.0**64 / k)).astype(np.uint64)
     cut = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
     total = np.zeros(len(tokens) + 1, np.uint64)
     np.cumsum(finish(tokens + np.uint64(0x632BE59BD9B4E019)), out=total[1:])
-    return finish(total[cut[1:]] - total[cut[:-1]] + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((bucket + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+    parts = finish(total[cut[1:]] - total[cut[:-1]] + np.arange(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((bucket + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+    filled = cut[1:] > cut[:-1]
+    n = int(filled.sum())
+    if n <= most:
+        return parts
+    if common.any():
+        rare = np.concatenate([[0], np.cumsum(~common)])
+        plain = np.flatnonzero(filled & (rare[cut[1:]] == rare[cut[:-1]]))
+        filled[plain[: (n - most - 1) // 2]] = False
+    return parts[filled]
 
 
 SETS = "doc_id bigint, n_shingles bigint, set_hash binary"
@@ -98,33 +138,51 @@ def _combine(part: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([part[new].view(np.int64), spread])), pa.array(np.concatenate([doc[new], links[:, 0]])), b], names=["part", "a", "b"])
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """The shingles, sorted, that COMMON of these sets hold (and 6 at least).
+
+    What is common here only chooses which parts are left out, never which pairs are found."""
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    return values[counts >= max(6, COMMON * len(sets))]
+
+
 def _part_rows(n: int, num: int, den: int):
     least = _buckets(num, den)
 
+    def rows_of(docs: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        held, owner, common = [], [], _common(sets)
+        for doc, tokens in zip(docs, sets):
+            b = int(np.searchsorted(least, len(tokens), "right")) - 1
+            plain = np.zeros(len(tokens), bool)
+            if len(common):
+                plain = common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
+            for x in (b - 1, b) if b else (b,):
+                held.append(_parts(tokens, plain, x, num, den))
+                owner.append(np.full(len(held[-1]), doc))
+        return _combine(np.concatenate(held), np.concatenate(owner))
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs, size = [], [], 0
+        docs, sets, size = [], [], 0
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for lo, _, buf, offs in text_slices(batch.column("text")):
                 words = Words(buf, offs)
                 for doc, tokens in zip(ids[lo:], shingle_sets(words, words.hashes(0, lower=True), n)):
-                    if not len(tokens):
-                        continue
-                    b = int(np.searchsorted(least, len(tokens), "right")) - 1
-                    own = [_parts(tokens, x, least, num, den) for x in (b - 1, b) if x >= 0]
-                    held += own
-                    docs += [np.full(len(x), doc) for x in own]
-                    size += sum(map(len, own))
-                    if size >= COMBINE:
-                        yield _combine(np.concatenate(held), np.concatenate(docs))
-                        held, docs, size = [], [], 0
-        if size:
-            yield _combine(np.concatenate(held), np.concatenate(docs))
+                    if len(tokens):
+                        docs.append(doc)
+                        sets.append(tokens)
+                        size += len(tokens)
+                if size >= COMBINE:
+                    yield rows_of(docs, sets)
+                    docs, sets, size = [], [], 0
+        if docs:
+            yield rows_of(docs, sets)
 
     return rows
 
 
-MEMBERS = "doc_id bigint, cluster bigint, block int, blocks int, copies bigint, tokens binary"
+PLACE = ("cluster", "level", "upper", "block", "blocks", "copies")
+MEMBERS = "doc_id bigint, cluster bigint, level int, upper boolean, block int, blocks int, copies bigint, tokens binary"
 
 
 def _members(n: int):
@@ -142,7 +200,7 @@ def _members(n: int):
                         take.append(k)
                 if take:
                     at = pa.array(take)
-                    yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("doc_id", "cluster", "block", "blocks", "copies")] + [pa.array(found, pa.binary())], names=["doc_id", "cluster", "block", "blocks", "copies", "tokens"])
+                    yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("doc_id", *PLACE)] + [pa.array(found, pa.binary())], names=["doc_id", *PLACE, "tokens"])
 
     return rows
 
@@ -270,12 +328,14 @@ def _join_group(num: int, den: int, pairs: bool):
         sets = [np.frombuffer(r, np.uint64) for r in raw]
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         block = np.asarray(rows.column("block"))[once]
+        upper = np.asarray(rows.column("upper"))[once]
         label, links, out = ids.copy(), np.zeros(len(ids), np.int64), []
         a = np.flatnonzero(block == i)
         b = a if i == j else np.flatnonzero(block == j)
         found = join_sets([sets[k] for k in a], None if i == j else [sets[k] for k in b], num, den) if len(a) and len(b) else ()
         for k, others in found:
             k, others = a[k], b[np.array(others)]
+            others = others[~(upper[k] & upper[others])]  # two of the level above meet there
             links[k] += copies[others].sum()
             if i != j:
                 links[others] += copies[k]
@@ -315,13 +375,22 @@ def _grouped(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     edges = parts.select("a", hub.alias("hub")).where("a <> hub").groupBy("a", "hub").agg(F.count(F.lit(1)).alias("n"))
     clusters = components(edges.select("a", F.col("hub").alias("b")))
     members = classes.select("set_hash", F.col("rep").alias("doc_id"), "copies", "n_shingles").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
-    sizes = members.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
-    blocks = F.ceil(F.col("total") / F.lit(BLOCK)).cast("int")
-    members = members.join(sizes, "component").withColumn("blocks", blocks)
-    members = members.select("doc_id", "set_hash", "copies", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    sets = texts.join(members, "doc_id").select("doc_id", "text", "set_hash", "cluster", "block", "blocks", "copies").mapInArrow(_members(n), MEMBERS)
+    totals = members.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1").drop("n_classes")
+    # Similar sets lie on one level of size or on neighbours: a large cluster is joined level by level.
+    own = F.floor(F.log("n_shingles") / (1.001 * log(den / num))).cast("int") if num < den else F.col("n_shingles").cast("int")
+    place = lambda level, upper: F.struct(level.alias("level"), F.lit(upper).alias("upper"))
+    places = F.when(F.col("total") > BLOCK, F.array(place(own, False), place(own - 1, True))).otherwise(F.array(place(F.lit(0), False)))
+    members = members.join(totals, "component").select("doc_id", "set_hash", "copies", "n_shingles", F.col("component").alias("cluster"), F.explode(places).alias("at")).select("*", "at.*").drop("at")
+    sizes = members.groupBy("cluster", "level").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
+    members = members.join(sizes.select("cluster", "level", F.ceil(F.col("total") / F.lit(BLOCK)).cast("int").alias("blocks")), ["cluster", "level"])
+    members = members.select("doc_id", "set_hash", "copies", "cluster", "level", "upper", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    sets = texts.join(members, "doc_id").select("doc_id", "text", "set_hash", *PLACE).mapInArrow(_members(n), MEMBERS)
     with_each = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return with_each.select("doc_id", "cluster", "block", "copies", "tokens", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    return with_each.select("doc_id", "cluster", "level", "upper", "block", "copies", "tokens", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+
+
+#: What one task joins: two blocks of a cluster's level.
+GROUP = ("cluster", "level", "i", "j")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -336,7 +405,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     """
     base, classes = _classes(docs, n)
     classes = materialize(classes, "jaccard-classes")
-    links = _grouped(docs, classes, n, num, den).groupBy("cluster", "i", "j").applyInArrow(_join_group(num, den, False), LINKS)
+    links = _grouped(docs, classes, n, num, den).groupBy(*GROUP).applyInArrow(_join_group(num, den, False), LINKS)
     links = materialize(links, "jaccard-links")
     joined = components(links.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
@@ -363,7 +432,7 @@ def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) ->
     """Pairs (doc_id < other) of linked class representatives; copies aren't expanded."""
     _, classes = _classes(docs, n)
     groups = _grouped(docs, materialize(classes, "jaccard-classes"), n, num, den)
-    found = groups.groupBy("cluster", "i", "j").applyInArrow(_join_group(num, den, True), LINKS)
+    found = groups.groupBy(*GROUP).applyInArrow(_join_group(num, den, True), LINKS)
     return found.select(F.least("doc_id", "other").alias("doc_id"), F.greatest("doc_id", "other").alias("other"))
 
 
