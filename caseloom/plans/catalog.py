@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import scoring  # noqa: F401  each registers its queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+
 FLAGSHIP = "A2_hit_rate_wilson"
