@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize, table
+from .shared import materialize, small_side, table
 from .text_arrays import Runs, Words, finish, text_slices
 
 #: Shingles in one block of a large group; a group of more is cut into blocks and
@@ -34,7 +34,7 @@ BLOCK = 1_000_000
 COMBINE = 1_500_000
 #: Shingles that this share of a task's documents hold are common; a set may leave out parts
 #: of common shingles for about DROP of its size.
-COMMON, DROP = 0.003, 0.04
+COMMON, DROP = 0.003, 0.02
 
 
 def shingle_sets(words: Words, hashes: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -108,34 +108,44 @@ def _parts(tokens: np.ndarray, common: np.ndarray, bucket: int, num: int, den: i
 SETS = "doc_id bigint, n_shingles bigint, set_hash binary"
 
 
+def _digest(tokens: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+
+
+def _sets_of(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, shingles) of each text of a column."""
+    for lo, _, buf, offs in text_slices(column):
+        words = Words(buf, offs)
+        yield from enumerate(shingle_sets(words, words.hashes(0, lower=True), n), lo)
+
+
 def _sketch(n: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in text_slices(batch.column("text")):
                 words = Words(buf, offs)
-                sets = shingle_sets(words, words.hashes(0, lower=True), n)
-                found = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None) for x in sets]
+                found = [(len(x), _digest(x)) for x in shingle_sets(words, words.hashes(0, lower=True), n)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "n_shingles", "set_hash"])
 
     return rows
 
 
-#: part: a digest with the document ``a`` that has it, and no ``b``; or a link from ``a`` to ``b``.
-PARTS = "part bigint, a bigint, b bigint"
+#: A digest and a document that has it.
+PARTS = "part bigint, doc_id bigint"
 
 
 def _combine(part: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    """One row for each part, with its least document, and links from the others to that one."""
+    """One row for each part, with its least document; each other document that has
+    it is tied to that one by a digest of the two, once however many parts they share."""
     order = np.lexsort((doc, part))
     part, doc = part[order], doc[order]
     new = np.ones(len(part), bool)
     new[1:] = part[1:] != part[:-1]
     hub = doc[new][np.cumsum(new) - 1]
     rest = ~new & (doc != hub)
-    links = np.unique(np.stack([doc[rest], hub[rest]], axis=1), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
-    spread = finish(links[:, 0].astype(np.uint64) + finish(links[:, 1].astype(np.uint64))).view(np.int64)
-    b = pa.array(np.concatenate([np.zeros(int(new.sum()), np.int64), links[:, 1]]), mask=np.arange(int(new.sum()) + len(links)) < new.sum())
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([part[new].view(np.int64), spread])), pa.array(np.concatenate([doc[new], links[:, 0]])), b], names=["part", "a", "b"])
+    ties = np.unique(np.stack([doc[rest], hub[rest]], axis=1), axis=0) if rest.any() else np.zeros((0, 2), np.int64)
+    digest = finish(ties[:, 0].astype(np.uint64) + finish(ties[:, 1].astype(np.uint64)))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([part[new], digest, digest]).view(np.int64)), pa.array(np.concatenate([doc[new], ties[:, 0], ties[:, 1]]))], names=["part", "doc_id"])
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
@@ -181,30 +191,6 @@ def _part_rows(n: int, num: int, den: int):
     return rows
 
 
-PLACE = ("cluster", "level", "upper", "block", "blocks", "copies")
-MEMBERS = "doc_id bigint, cluster bigint, level int, upper boolean, block int, blocks int, copies bigint, tokens binary"
-
-
-def _members(n: int):
-    """The sets of the chosen documents; a row whose set isn't the chosen one (a repeated doc_id) is passed over."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            want = batch.column("set_hash").to_pylist()
-            for lo, hi, buf, offs in text_slices(batch.column("text")):
-                words = Words(buf, offs)
-                found, take = [], []
-                for k, tokens in enumerate(shingle_sets(words, words.hashes(0, lower=True), n), lo):
-                    if len(tokens) and hashlib.blake2b(raw := tokens.tobytes(), digest_size=16).digest() == want[k]:
-                        found.append(raw)
-                        take.append(k)
-                if take:
-                    at = pa.array(take)
-                    yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("doc_id", *PLACE)] + [pa.array(found, pa.binary())], names=["doc_id", *PLACE, "tokens"])
-
-    return rows
-
-
 class PrefixTree:
     """Sets of ranks, each ascending, with the runs of ranks that sets share stored once."""
 
@@ -318,14 +304,16 @@ def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, num: int,
 LINKS = "doc_id bigint, other bigint, links bigint"
 
 
-def _join_group(num: int, den: int, pairs: bool):
+def _join_group(n: int, num: int, den: int, pairs: bool):
     def group(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
+        # Rows that share a doc_id but not the text of its class are passed over, repeated ones too.
+        own = [k for k, x in _sets_of(rows.column("text"), n) if _digest(x) == rows.column("set_hash")[k].as_py()]
+        rows = rows.take(pa.array(own, pa.int64()))
         ids, copies = np.asarray(rows.column("doc_id")), np.asarray(rows.column("copies"))
-        _, once = np.unique(ids, return_index=True)  # repeated rows of one document
+        _, once = np.unique(ids, return_index=True)
         ids, copies = ids[once], copies[once]
-        raw = rows.column("tokens").take(pa.array(once)).to_pylist()
-        sets = [np.frombuffer(r, np.uint64) for r in raw]
+        sets = [x for _, x in _sets_of(rows.column("text").take(pa.array(once)), n)]
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
         block = np.asarray(rows.column("block"))[once]
         upper = np.asarray(rows.column("upper"))[once]
@@ -370,10 +358,10 @@ def _grouped(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = texts.where("doc_id is not null").mapInArrow(_part_rows(n, num, den), PARTS)
-    so_far = Window.partitionBy("part").orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    hub = F.coalesce("b", F.min(F.when(F.col("b").isNull(), F.col("a"))).over(so_far))
-    edges = parts.select("a", hub.alias("hub")).where("a <> hub").groupBy("a", "hub").agg(F.count(F.lit(1)).alias("n"))
-    clusters = components(edges.select("a", F.col("hub").alias("b")))
+    # In order of doc_id the first document of a part is its hub: nothing is held in memory.
+    hub = F.first("doc_id").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    edges = parts.select("doc_id", hub.alias("hub")).where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
+    clusters = components(edges.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     members = classes.select("set_hash", F.col("rep").alias("doc_id"), "copies", "n_shingles").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
     totals = members.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1").drop("n_classes")
     # Similar sets lie on one level of size or on neighbours: a large cluster is joined level by level.
@@ -384,9 +372,9 @@ def _grouped(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     sizes = members.groupBy("cluster", "level").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1")
     members = members.join(sizes.select("cluster", "level", F.ceil(F.col("total") / F.lit(BLOCK)).cast("int").alias("blocks")), ["cluster", "level"])
     members = members.select("doc_id", "set_hash", "copies", "cluster", "level", "upper", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
-    sets = texts.join(members, "doc_id").select("doc_id", "text", "set_hash", *PLACE).mapInArrow(_members(n), MEMBERS)
-    with_each = sets.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return with_each.select("doc_id", "cluster", "level", "upper", "block", "copies", "tokens", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    members = materialize(members.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "jaccard-members")
+    placed = members.select("doc_id", "set_hash", "cluster", "level", "upper", "block", "copies", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    return texts.join(small_side(placed, members.count()), "doc_id")
 
 
 #: What one task joins: two blocks of a cluster's level.
@@ -405,7 +393,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     """
     base, classes = _classes(docs, n)
     classes = materialize(classes, "jaccard-classes")
-    links = _grouped(docs, classes, n, num, den).groupBy(*GROUP).applyInArrow(_join_group(num, den, False), LINKS)
+    links = _grouped(docs, classes, n, num, den).groupBy(*GROUP).applyInArrow(_join_group(n, num, den, False), LINKS)
     links = materialize(links, "jaccard-links")
     joined = components(links.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     counts = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
@@ -419,20 +407,30 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs, all columns, less near duplicates: of each component the row
     of its least doc_id. Of several rows with that doc_id the one whose text hashes
-    lowest stays; rows with a null doc_id stay as they are. A narrow list of the
-    doc_ids that stay is joined to the texts, which are shuffled once."""
-    kept = jaccard_components(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    joined = docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"])
-    first = Window.partitionBy("__kept").orderBy(F.xxhash64("text"))
-    named = joined.withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    lowest stays; rows with a null doc_id stay as they are.
+
+    Only doc_ids are shuffled, unless the lists of those that go, or repeat, are too
+    long to be broadcast; texts that share a doc_id are compared apart.
+    """
+    found = materialize(jaccard_components(docs, n, num, den).select("doc_id", "component_id"), "jaccard-found").where("doc_id is not null")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    listed = materialize(gone.withColumn("gone", F.lit(True)).unionByName(twice.withColumn("gone", F.lit(False))).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone")), "jaccard-gone")
+    size, repeats = listed.count(), listed.where("not __gone").count()
+    same = docs["doc_id"].cast("long") == listed["__id"]
+    kept = docs.join(small_side(listed, size), same, "left_anti")
+    if not repeats:
+        return kept
+    again = docs.join(small_side(listed.where("not __gone"), repeats), same)
+    first = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
+    return kept.unionByName(again.withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns))
 
 
 def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Pairs (doc_id < other) of linked class representatives; copies aren't expanded."""
     _, classes = _classes(docs, n)
     groups = _grouped(docs, materialize(classes, "jaccard-classes"), n, num, den)
-    found = groups.groupBy(*GROUP).applyInArrow(_join_group(num, den, True), LINKS)
+    found = groups.groupBy(*GROUP).applyInArrow(_join_group(n, num, den, True), LINKS)
     return found.select(F.least("doc_id", "other").alias("doc_id"), F.greatest("doc_id", "other").alias("other"))
 
 

@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table (some tens of bytes each) up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table of counted size as a join's side: broadcast if short, else joined by a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
