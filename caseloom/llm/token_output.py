@@ -40,13 +40,13 @@ BLOCK = 1 << 19
 #: Tokens of a range partition on average, and the most partitions.
 PART, MOST_PARTS = 4_000_000, 100_000
 #: Least coder state: states stay in [2^31, 2^63).
-_LOW = np.uint64(1 << 31)
+_LOW, _ONE = np.uint64(1 << 31), np.uint64(1)
 #: Words that a worker keeps with their ids; then it begins anew.
-CACHE = 600_000
+CACHE = 1_000_000
 
 _INSIDE_GAP = re.compile(r"\s \s|\s \Z")
-#: A space behind white space, without which no run of it is cut.
-_GAPS = [chr(i) + " " for i in range(0x3001) if chr(i).isspace()]
+#: White space before a space, without which no run of it is cut; of the rarer kinds any place counts.
+_GAPS = ["  ", "\n ", *(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n")]
 _ASCII_GAPS = [g for g in _GAPS if g.isascii()]
 
 
@@ -110,7 +110,12 @@ class WordEncoder(dict):
         return ids if len(word) == len(text) else ids + self._piece(text[len(word) :], False)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self._latin(piece, True)
+        word = piece.rstrip(_TAIL)
+        ids = self.words.get(word)
+        if ids is not None:
+            ids = ids if len(word) == len(piece) else ids + self._piece(piece[len(word) :], False)
+        else:
+            ids = self._latin(piece, True)
         if ids is None and "\n" in piece:
             lines = piece.split("\n")
             parts = [self._latin(x, k == 0) for k, x in enumerate(lines)]
@@ -229,23 +234,21 @@ def encode_block(ids: np.ndarray, model: Model, lanes: int = LANES, every: int =
     """Words of the stream, the states from which decoding begins at step 0, every,
     2 * every, ... (one row each), and the word at which it begins there."""
     bits, shift = np.uint64(model.bits), np.uint64(63 - model.bits)
-    freq, start = model.freq[ids], model.start[ids]
-    most = freq << shift
     state = np.full(lanes, _LOW, np.uint64)
     steps = -(-len(ids) // lanes)
     out, marks, written, points = [], [], [], 0
-    half, mask = np.uint64(32), np.uint64(0xFFFFFFFF)
+    half = np.uint64(32)
     for t in range(steps - 1, -1, -1):
-        cut = slice(t * lanes, min((t + 1) * lanes, len(ids)))
-        f = freq[cut]
+        own = ids[t * lanes : (t + 1) * lanes]
+        f = model.freq[own]  # looked up step by step: what a step reads stays in the cache
         x = state[: len(f)]
-        full = x >= most[cut]
+        full = np.flatnonzero(x >= f << shift)
         spilled = x[full]
-        out.append((spilled & mask).astype("<u4"))
+        out.append(spilled.astype("<u4"))
         points += len(spilled)
         x[full] = spilled >> half
         q = x // f
-        x[:] = (q << bits) + (x - q * f) + start[cut]
+        x += q * ((_ONE << bits) - f) + model.start[own]  # (q << bits) + x % f + start
         if t % every == 0:
             marks.append(state.copy())
             written.append(points)
