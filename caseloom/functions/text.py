@@ -31,3 +31,26 @@ def sentences(text: Column, least: int = 20) -> Column:
 
 def estimated_tokens(chars: Column) -> Column:
     return F.floor(chars / 4).cast("long")
+
+
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once for a row, however often it is read."""
+    return F.transform(F.array(value), body)[0]
+
+
+def word_runs(text: Column, n: int) -> Column:
+    """The distinct runs of n words of a folded text; a shorter text is one run."""
+    def runs(w):
+        last = F.greatest(F.size(w) - n + 1, F.lit(1))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+    return bound(F.split(text, " "), runs)
+
+
+def char_runs(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text; a shorter text is one run."""
+    def runs(c):
+        last = F.greatest(F.size(c) - n + 1, F.lit(1))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(c, i, n), "")))
+
+    return bound(F.split(text, ""), runs)

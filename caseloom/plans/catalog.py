@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import history, pools, projection, scoring  # noqa: F401  each registers its queries
+from . import history, pools, projection, scoring, texts  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
