@@ -14,19 +14,21 @@ WORD_BREAKS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
     Only a session without that setting (a local test) gets a folder of its own.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        known = spark.sparkContext.getCheckpointDir()
-        if known:
-            return known
-        found = "file://" + tempfile.mkdtemp(prefix="spark-caseloom-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-caseloom-", dir="/tmp")
+    return _own_dirs[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
