@@ -34,7 +34,7 @@ BLOCK = 1_000_000
 COMBINE = 1_500_000
 #: Shingles that this share of a task's documents hold are common; a set may leave out parts
 #: of common shingles for about DROP of its size.
-COMMON, DROP = 0.003, 0.02
+COMMON, DROP = 0.0006, 0.03
 
 
 def shingle_sets(words: Words, hashes: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -52,6 +52,8 @@ def shingle_sets(words: Words, hashes: np.ndarray, n: int) -> Iterator[np.ndarra
 
 def _buckets(num: int, den: int) -> np.ndarray:
     """Least set size of each size bucket: sets that can be similar lie in one or in neighbours."""
+    if num >= den:  # only equal sets are similar
+        return np.array([1, 1 << 40])
     least = [1]
     while least[-1] < 1 << 40:
         least.append(least[-1] * den // num + 1)
@@ -149,11 +151,11 @@ def _combine(part: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:
-    """The shingles, sorted, that COMMON of these sets hold (and 6 at least).
+    """The shingles, sorted, that COMMON of these sets hold (and 3 at least).
 
     What is common here only chooses which parts are left out, never which pairs are found."""
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
-    return values[counts >= max(6, COMMON * len(sets))]
+    return values[counts >= max(3, COMMON * len(sets))]
 
 
 def _part_rows(n: int, num: int, den: int):
@@ -281,24 +283,61 @@ def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(int(count.sum()))
 
 
-def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int):
-    """(i, [j, ...]) for each set i of ``left`` with links to ``right`` (to later and
-    earlier sets of ``left`` itself if None), through a prefix tree on the latter."""
-    tree_sets = left if right is None else right
-    flat = np.concatenate([*tree_sets, *([] if right is None else left)])
-    _, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
+def _kin(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A label for each set, equal for all that may be linked through others, and the sets as
+    ranks, ascending from the commonest shingle.
+
+    Similar sets share one of their rarest |x| - t|x| + 1 shingles, whatever the order among
+    equally rare ones; what only shares common shingles (a passage, a boilerplate line)
+    falls apart here and isn't compared.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(counts), np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-    every = np.split(rank[inverse], np.cumsum([len(s) for s in [*tree_sets, *([] if right is None else left)]])[:-1])
-    ranked = [np.sort(s) for s in every]
-    tree = PrefixTree(ranked[: len(tree_sets)])
-    marks = np.zeros(len(counts), np.int64)
-    for i, probe in enumerate(ranked if right is None else ranked[len(tree_sets) :]):
-        links = tree.similar(probe, marks, num, den)
-        if right is None:
-            links = [j for j in links if j != i]
-        if links:
-            yield i, links
+    ranks = rank[inverse]
+    order = np.lexsort((ranks, owner))
+    ranks = ranks[order]
+    ends = np.cumsum(sizes)
+    kept = sizes - -(-sizes * num // den) + 1  # of each set, from its end on
+    rare = np.arange(len(ranks)) >= np.repeat(ends - kept, sizes)
+    token, who = ranks[rare], owner[rare]
+    by = np.argsort(token, kind="stable")
+    token, who = token[by], who[by]
+    first = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    label = np.arange(len(sets))
+    while len(token):
+        least = np.repeat(np.minimum.reduceat(label[who], first), np.diff(np.append(first, len(token))))
+        new = label.copy()
+        np.minimum.at(new, who, least)
+        np.minimum.at(new, label[who], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label, np.split(ranks, ends[:-1])
+
+
+def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int):
+    """(i, [j, ...]) for each set i of ``left`` with links to ``right`` (to later and
+    earlier sets of ``left`` itself if None), through one prefix tree for each kin."""
+    split = len(left)
+    label, ranked = _kin([*left, *(right or [])], num, den)
+    marks = np.zeros(1 + max((int(r[-1]) for r in ranked if len(r)), default=0), np.int64)
+    order = np.argsort(label, kind="stable")
+    for members in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        probes = members if right is None else members[members < split]
+        stored = members if right is None else members[members >= split]
+        if not len(probes) or not len(stored) or len(members) < 2:
+            continue
+        tree = PrefixTree([ranked[k] for k in stored])
+        for i in probes:
+            links = [int(stored[j]) - (0 if right is None else split) for j in tree.similar(ranked[i], marks, num, den)]
+            if right is None:
+                links = [j for j in links if j != i]
+            if links:
+                yield int(i), links
 
 
 LINKS = "doc_id bigint, other bigint, links bigint"

@@ -210,8 +210,11 @@ def identify(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of docs, lang_pred and score (0 to 1, the regression's value).
 
     Null texts and texts without a letter are ``und`` with score 0, as is everything
-    if nothing was learned. The whole text counts; rows stay as they are.
+    if nothing was learned. The whole text counts; rows stay as they are. Columns of
+    docs that bear the new names can't be among ``keep``.
     """
+    if clash := {"lang_pred", "score"} & set(keep):
+        raise ValueError(f"kept columns would be doubled: {sorted(clash)}")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: 2^BITS columns, landmarks' grams by languages
 
@@ -219,10 +222,10 @@ def identify(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)
-                names, best = shared.value.predict([t or "" for t in part.column("__text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(names), pa.array(best)], names=[*keep, "lang_pred", "score"])
+                names, best = shared.value.predict([t or "" for t in part.column(len(keep)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in range(len(keep))] + [pa.array(names), pa.array(best)], names=[*keep, "lang_pred", "score"])
 
-    chosen = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    chosen = docs.select(*keep, F.col("text").cast("string").alias("text to identify"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return chosen.mapInArrow(rows, f"{fields}, {PREDICTED}")
 

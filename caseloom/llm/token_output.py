@@ -84,6 +84,7 @@ class WordEncoder(dict):
         cut = kind.get("pre_tokenizer") or {}
         self.by_piece = kind.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and kind["model"].get("type") == "BPE"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.spelling = dict(enumerate(self.letters))
         self.words: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
@@ -95,7 +96,7 @@ class WordEncoder(dict):
         cache = self.words if spaced else self.bare
         found = cache.get(piece)
         if found is None:
-            spelt = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spelling)
             if spaced:
                 spelt = self.letters[32] + spelt
             found = cache[piece] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
@@ -112,10 +113,13 @@ class WordEncoder(dict):
     def __missing__(self, piece: str) -> bytes:
         word = piece.rstrip(_TAIL)
         ids = self.words.get(word)
-        if ids is not None:
-            ids = ids if len(word) == len(piece) else ids + self._piece(piece[len(word) :], False)
-        else:
+        if ids is None and word.isascii() and word.isalpha():
+            ids = self.words[word] = array(self.code, [t.id for t in self.model.tokenize("\u0120" + word)]).tobytes()
+        if ids is None:
             ids = self._latin(piece, True)
+        elif len(word) != len(piece):
+            tail = piece[len(word) :]
+            ids += self.bare.get(tail) or self._piece(tail, False)
         if ids is None and "\n" in piece:
             lines = piece.split("\n")
             parts = [self._latin(x, k == 0) for k, x in enumerate(lines)]
