@@ -42,7 +42,7 @@ PART, MOST_PARTS = 4_000_000, 100_000
 #: Least coder state: states stay in [2^31, 2^63).
 _LOW, _ONE = np.uint64(1 << 31), np.uint64(1)
 #: Words that a worker keeps with their ids; then it begins anew.
-CACHE = 1_000_000
+CACHE = 600_000
 
 _INSIDE_GAP = re.compile(r"\s \s|\s \Z")
 #: White space before a space, without which no run of it is cut; of the rarer kinds any place counts.
