@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialize, small_side, table
 from .text_arrays import Runs, Words, finish, text_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -248,9 +248,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, shin
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns, in which no benchmark item was found."""
+    """The rows of docs, all columns, in which no benchmark item was found.
+
+    The found rows' keys are written once and counted: a short list is broadcast, so
+    that no text is shuffled; a long one is joined by a shuffle.
+    """
     keys = leaks(docs, benchmark, least).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
-    joined = docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__key"]), "left_anti")
+    keys = materialize(keys, "leak-keys")
+    joined = docs.join(small_side(keys, keys.count()), docs["doc_id"].cast("long").eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__key"]), "left_anti")
     return joined.select(*docs.columns)
 
 
