@@ -22,14 +22,17 @@ def as_of(probes: DataFrame, versions: DataFrame, key: str, at: str, since: str,
     Both sides go through one exchange by key and are merged in time order; a version
     never meets more than its key's neighbours, and no range join is made.
     """
-    tagged = probes.select(*probes.columns, F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(versions.schema[new].dataType).alias("__new"), F.lit(None).cast(versions.schema[old].dataType).alias("__old"))
-    filler = [F.col(key) if c == key else F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in probes.columns]
-    events = versions.select(*filler, F.col(since).alias("__t"), F.lit(0).alias("__kind"), F.struct(F.col(new)).alias("__new"), F.struct(F.col(old)).alias("__old"))
-    tagged = tagged.withColumn("__new", F.when(F.col("__kind") == 0, F.struct(F.col("__new").alias(new)))).withColumn("__old", F.when(F.col("__kind") == 0, F.struct(F.col("__old").alias(old))))
+    def wrapped(c: str) -> Column:  # so that a version whose value is null still counts as one
+        return F.struct(F.col(c))
+
+    kinds = {c: versions.select(wrapped(c).alias(c)).schema[c].dataType for c in (old, new)}
+    asked = probes.withColumns({"__t": F.col(at), "__kind": F.lit(1), "__new": F.lit(None).cast(kinds[new]), "__old": F.lit(None).cast(kinds[old])})
+    columns = [F.col(key) if c == key else F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in probes.columns]
+    known = versions.select(*columns, F.col(since).alias("__t"), F.lit(0).alias("__kind"), wrapped(new).alias("__new"), wrapped(old).alias("__old"))
     line = Window.partitionBy(key).orderBy("__t", "__kind")
     back = F.last("__new", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("__old", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
-    both = tagged.unionByName(events).withColumn("__back", back).withColumn("__ahead", ahead)
+    both = asked.unionByName(known).withColumn("__back", back).withColumn("__ahead", ahead)
     return both.where("__kind = 1").select(*probes.columns, F.when(F.col("__back").isNotNull(), F.col("__back")[new]).otherwise(F.col("__ahead")[old]).alias(name))
 
 
