@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import small_batches, table
 
 #: Longest n-gram; all shorter ones count as well.
 MAX_N = 4
@@ -168,6 +168,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRAIN
     most 8 partitions come to the driver; texts never do.
     """
     spark = labelled.sparkSession
+    small_batches(spark)
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

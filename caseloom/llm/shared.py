@@ -31,6 +31,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+#: Rows of an Arrow batch: texts of a megabyte each are then a gigabyte at most, usual ones a few megabytes.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker and its JVM hold at once; a session's own smaller setting stays."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as zstd Parquet in the shared folder and read it back.
 
@@ -38,6 +49,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     neither recompute the text pass nor depend on one machine's disk.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,6 +65,7 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
