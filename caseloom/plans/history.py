@@ -70,6 +70,14 @@ def status_as_of(spark, d):
     return history.as_of(probes, _changes(spark, d), "user_id", "day", "run", "old", "status", "in_force")
 
 
+@query("J5_status_as_of_all", f"""WITH {_CH}, probes AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events)
+SELECT event_id, p.user_id, day, CASE WHEN b.run IS NOT NULL THEN b.status ELSE a.old END AS in_force FROM probes p ASOF LEFT JOIN ch b ON b.user_id = p.user_id AND p.day >= b.run ASOF LEFT JOIN ch a ON a.user_id = p.user_id AND p.day < a.run""")
+def status_as_of_all(spark, d):
+    """The status in force on the day of each event, whatever its number; J5_status_as_of has the seventh that its SQL asks for."""
+    probes = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
+    return history.as_of(probes, _changes(spark, d), "user_id", "day", "run", "old", "status", "in_force")
+
+
 @query("J6_arrival_class", f"""WITH {_CH}, closed AS (SELECT user_id, min(run) AS closed_run FROM ch WHERE status = 'purchase' GROUP BY user_id) SELECT CASE WHEN closed_run IS NULL THEN 'open' WHEN run < closed_run THEN 'before closure' WHEN run = closed_run THEN 'with closure' ELSE 'after closure' END AS class, count(*) AS n FROM ch LEFT JOIN closed USING (user_id) GROUP BY 1""")
 def arrival_class(spark, d):
     """Arrivals before, with or after the first closure of their key."""

@@ -226,6 +226,17 @@ def manifest_compare(spark, d):
     return a.join(b, "doc_id", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("doc_id", F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed").alias("kind"))
 
 
+@query("S22_manifest_compare_all", """WITH a AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), b AS (SELECT CASE WHEN doc_id % 5 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE coalesce(text, '') END) AS h FROM documents)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' WHEN a.doc_id IS NULL THEN 'extra' ELSE 'changed' END AS kind FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h""")
+def manifest_compare_all(spark, d):
+    """Every file against a manifest in which some are renamed and some changed: no id is left out of both sides."""
+    docs = table(spark, d, "documents")
+    text = F.coalesce("text", F.lit(""))
+    a = docs.select("doc_id", F.sha2(text, 256).alias("a"))
+    b = docs.select(F.when(F.col("doc_id") % 5 == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.sha2(F.when(F.col("doc_id") % 7 == 0, "x").otherwise(text), 256).alias("b"))
+    return a.join(b, "doc_id", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("doc_id", F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").otherwise("changed").alias("kind"))
+
+
 @query("S21_export_rows", f"""WITH {CASES} SELECT split, count(*) AS n_cases, min(case_id) AS first_case, round(sum(total), 2) AS total FROM cases GROUP BY split""")
 def export_index(spark, d):
     """The index of an export: what each part holds."""

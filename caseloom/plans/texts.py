@@ -169,6 +169,15 @@ def reconcile(spark, d):
     return a.join(b, "k", "full_outer").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("J27_reconcile_all", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders), b AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -1 - o_orderkey ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders) SELECT CASE WHEN b.k IS NULL THEN 'only left' WHEN a.k IS NULL THEN 'only right' WHEN a.v = b.v THEN 'both' ELSE 'differ' END AS kind, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
+def reconcile_all(spark, d):
+    """Two whole builds of one table: the second has some keys renamed and some values changed."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("a"))
+    b = o.select(F.when(F.col("k") % 11 == 0, -1 - F.col("k")).otherwise(F.col("k")).alias("k"), F.when(F.col("k") % 13 == 0, "X").otherwise(F.col("a")).alias("b"))
+    kind = F.when(F.col("b").isNull(), "only left").when(F.col("a").isNull(), "only right").when(F.col("a") == F.col("b"), "both").otherwise("differ")
+    return o.join(b, "k", "full_outer").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("J29_prefix_match", """WITH s AS (SELECT s_suppkey, substr(md5(CAST(s_suppkey AS VARCHAR)), 1, CAST(4 + s_suppkey % 3 AS INTEGER)) AS short FROM supplier), c AS (SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS full_id FROM customer) SELECT s_suppkey, c_custkey FROM s JOIN c ON starts_with(full_id, short)""")
 def prefix_match(spark, d):
     """Short ids of four characters or more that are a prefix of a full one: an equi-join on
