@@ -23,6 +23,31 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
     return cut_rows.withColumn("__in", inside).join(F.broadcast(sizes), "__slice").withColumn(name, F.col("__in") + F.col("__before")).drop("__slice", "__in", "__before")
 
 
+#: Sampled rows that cut a table into slices, and the characters of a string that an edge holds.
+_DRAWN, _EDGE_CHARS = 2048, 1000
+
+
+def global_row_number_of_texts(df: DataFrame, order: list[str], name: str = "row_number", slices: int = 256) -> DataFrame:
+    """1, 2, ... over the whole table in ``order``, which may begin with strings; nulls last.
+
+    Edges are rows drawn by a hash, in order, with strings cut to their first characters: rows compare with them as
+    with any other key, so every row is numbered exactly, and rows with one first string are parted by the next
+    columns. Only rows that share a string's first _EDGE_CHARS characters, and are longer, stay in one slice.
+    """
+    kinds = {c: df.schema[c].dataType.simpleString() for c in order}
+    short = [F.substring(c, 1, _EDGE_CHARS).alias(c) if kinds[c] == "string" else F.col(c) for c in order]
+    placed = lambda cols: F.struct(*(x for k, c in enumerate(cols) for x in (c.isNull().alias(f"n{k}"), c.alias(f"v{k}"))))
+    drawn = df.select(*short).withColumn("__unit", F.xxhash64(*order)).orderBy("__unit", *order).limit(_DRAWN)
+    sorted_keys = F.sort_array(F.collect_list(placed([F.col(c) for c in order])))
+    edges = drawn.agg(sorted_keys.alias("__all")).select(F.expr(f"filter(__all, (e, k) -> k % {max(1, _DRAWN // slices)} = 0)").alias("__edges"))
+    cut = F.size(F.filter("__edges", lambda e: placed([F.col(c) for c in order]) > e))
+    cut_rows = df.join(F.broadcast(edges), F.lit(True)).withColumn("__slice", cut).drop("__edges")  # one row of edges
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut_rows.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n")).select("__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__slice").orderBy(*(F.col(c).asc_nulls_last() for c in order)))
+    return cut_rows.withColumn("__in", inside).join(F.broadcast(sizes), "__slice").withColumn(name, F.col("__in") + F.col("__before")).drop("__slice", "__in", "__before")
+
+
 def global_ntile(df: DataFrame, k: int, order: list[str], name: str = "tile") -> DataFrame:
     """n-tiles over the whole table: sizes differ by one at most, the larger ones first."""
     numbered = global_row_number(df, order, "__row", 64)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.functions.stats import md5_unit, rounded
-from caseloom.operators import guard, inference, retrieval
+from caseloom.operators import guard, inference, ranking, retrieval
 from caseloom.sources.tables import table
 
 from .analogues import CASES, LINES, SCORED, cases, lines, scored
@@ -160,6 +160,14 @@ def ordered_load(spark, d):
     return ids.join(cases(spark, d).select("case_id", "total"), "case_id").select("pos", "case_id", "total")
 
 
+@query("J23_ordered_load_all", """WITH ids AS (SELECT doc_id * 3 AS case_id, row_number() OVER (ORDER BY text, doc_id) AS pos FROM documents) SELECT pos, case_id, o_totalprice AS total, o_orderkey IS NOT NULL AS found FROM ids LEFT JOIN orders ON o_orderkey = case_id""")
+def ordered_load_all(spark, d):
+    """Every id of the list with its place and its case; an id without a case is reported, not dropped."""
+    ids = ranking.global_row_number_of_texts(table(spark, d, "documents").select("text", "doc_id"), ["text", "doc_id"], "pos").select((F.col("doc_id") * 3).alias("case_id"), F.col("pos").cast("long").alias("pos"))
+    known = cases(spark, d).select("case_id", "total", F.lit(True).alias("found"))
+    return ids.join(known, "case_id", "left").select("pos", "case_id", "total", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 @query("J27_reconcile", """WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 7 <> 0) SELECT CASE WHEN b.k IS NULL THEN 'only left' WHEN a.k IS NULL THEN 'only right' WHEN a.v = b.v THEN 'both' ELSE 'differ' END AS kind, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 def reconcile(spark, d):
     """Two builds of one table, row by row."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
+from caseloom.operators import ranking
 from caseloom.plans import catalog
 from caseloom.sources.tables import table
 
@@ -22,3 +25,27 @@ def test_every_id_is_compared(spark, sf_dir):
     counts = {r["kind"]: r["n"] for r in catalog.QUERIES["J27_reconcile_all"](spark, sf_dir).collect()}
     assert counts["both"] + counts["differ"] + counts["only left"] == table(spark, sf_dir, "orders").count()
     assert counts["only left"] == counts["only right"] == table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 11 == 0).count()
+
+
+def test_every_id_is_loaded_in_order(spark, sf_dir):
+    rows = catalog.QUERIES["J23_ordered_load_all"](spark, sf_dir).collect()
+    n = table(spark, sf_dir, "documents").count()
+    assert sorted(r["pos"] for r in rows) == list(range(1, n + 1))
+    known = {r["o_orderkey"] for r in table(spark, sf_dir, "orders").select("o_orderkey").collect()}
+    assert all(r["found"] == (r["case_id"] in known) == (r["total"] is not None) for r in rows)
+
+
+def test_an_id_without_a_case_is_reported(spark, sf_dir, tmp_path):
+    table(spark, sf_dir, "orders").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, "b"), (10**9, "a"), (2, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(catalog.QUERIES["J23_ordered_load_all"](spark, str(tmp_path)).collect())
+    assert [(r["pos"], r["case_id"], r["found"]) for r in rows] == [(1, 3 * 10**9, False), (2, 3, True), (3, 6, True)]
+
+
+def test_places_of_texts(spark):
+    r = random.Random(3)
+    texts = [None, "", "a", "aé", "b" * 1200, "b" * 1200 + "a", *("".join(r.choice("abé") for _ in range(r.randint(1, 4))) for _ in range(30))]
+    values = [(r.choice(texts), k) for k in range(3000)]
+    df = ranking.global_row_number_of_texts(spark.createDataFrame(values, "t string, k int").repartition(5), ["t", "k"], "pos")
+    want = sorted(values, key=lambda v: (v[0] is None, (v[0] or "").encode(), v[1]))
+    assert [(x["t"], x["k"], x["pos"]) for x in df.orderBy("pos").collect()] == [(*v, k + 1) for k, v in enumerate(want)]
