@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import ranking
+from caseloom.operators import inference, ranking
 from caseloom.plans import catalog
+from caseloom.plans.analogues import scored
 from caseloom.sources.tables import table
 
 
@@ -49,3 +51,18 @@ def test_places_of_texts(spark):
     df = ranking.global_row_number_of_texts(spark.createDataFrame(values, "t string, k int").repartition(5), ["t", "k"], "pos")
     want = sorted(values, key=lambda v: (v[0] is None, (v[0] or "").encode(), v[1]))
     assert [(x["t"], x["k"], x["pos"]) for x in df.orderBy("pos").collect()] == [(*v, k + 1) for k, v in enumerate(want)]
+
+
+def test_bootstrap_reaches_all_rows(spark, sf_dir):
+    got = {r["split"]: r for r in catalog.QUERIES["A3_exact_bootstrap"](spark, sf_dir).collect()}
+    want = {r["split"]: r for r in scored(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit3").cast("double")).alias("mean")).collect()}
+    assert max(r["n"] for r in want.values()) > 400
+    assert {k: r["n"] for k, r in got.items()} == {k: r["n"] for k, r in want.items()}
+    assert all(got[k]["mean"] == pytest.approx(want[k]["mean"]) and got[k]["low"] <= got[k]["mean"] <= got[k]["high"] for k in want)
+
+
+def test_bootstrap_by_counts_is_that_of_the_list():
+    mean, low, high = inference.bootstrap_mean([0.0] * 90 + [1.0] * 50 + [2.0] * 60)
+    counted = inference.bootstrap_counts([0.0, 1.0, 2.0], [90, 50, 60])
+    assert counted == pytest.approx((mean, low, high), abs=0.02) and counted[0] == pytest.approx(mean)
+    assert inference.bootstrap_counts([], []) == (0.0, 0.0, 0.0)
