@@ -75,40 +75,50 @@ def _strength(units: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, "n", "good", F.coalesce(F.least(F.greatest(raw, F.lit(1.0)), F.lit(1000.0)), F.lit(1000.0)).alias("strength"))
 
 
-def host_reputation(outcomes: DataFrame, z: float = 1.96) -> DataFrame:
-    """Posterior of the good share of every labelled host.
+def host_reputation(outcomes: DataFrame, z: float = 1.96, hosts: DataFrame | None = None) -> DataFrame:
+    """Posterior of the good share of every labelled host, and of every one in ``hosts``.
 
-    ``outcomes``: host and good (0/1; null rows don't count). Returns host, n,
-    good, posterior mean and its bounds at ``z`` standard deviations. Counts
+    ``outcomes``: host and good (0/1; null rows don't count). ``hosts``: host; repeats
+    don't matter. Returns host, n, good, posterior mean and its bounds at ``z`` standard
+    deviations. A host without outcomes has its domain's prior, else its suffix's, else the
+    overall one; without any outcome at all mean and bounds are null. Counts
     are summed on the map side first, so one host with a third of all pages sends
     one row from each task; every later level only sees one row a host.
     """
-    hosts = outcomes.where("host is not null and good is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
+    counted = outcomes.where("host is not null and good is not null").select("host", F.lit(1).cast("long").alias("n"), F.col("good").cast("long").alias("good"))
+    if hosts is not None:
+        counted = counted.unionByName(hosts.where("host is not null").select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good")))
+    hosts = counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     # Strengths: the spread of hosts within a domain, of domains within a suffix, of suffixes within all.
-    domains = _strength(hosts, ["domain", "suffix"]).withColumnRenamed("strength", "s_domain")
+    domains = _strength(hosts.where("n > 0"), ["domain", "suffix"]).withColumnRenamed("strength", "s_domain")
     suffixes = _strength(domains, ["suffix"]).withColumnRenamed("strength", "s_suffix")
     everything = _strength(suffixes, []).select(((F.col("good") + 1) / (F.col("n") + 2)).alias("m_all"), F.col("strength").alias("s_all"))
     suffixes = suffixes.crossJoin(F.broadcast(everything))  # one row: the grand total
     suffixes = suffixes.select("suffix", "s_suffix", ((F.col("good") + F.col("m_all") * F.col("s_all")) / (F.col("n") + F.col("s_all"))).alias("m_suffix"))
     domains = domains.join(suffixes, "suffix").select("domain", "s_domain", ((F.col("good") + F.col("m_suffix") * F.col("s_suffix")) / (F.col("n") + F.col("s_suffix"))).alias("m_domain"))
-    a = F.col("good") + F.col("m_domain") * F.col("s_domain")
-    b = F.col("n") - F.col("good") + (1 - F.col("m_domain")) * F.col("s_domain")
+    judged = hosts.join(domains, "domain", "left").join(suffixes, "suffix", "left").crossJoin(F.broadcast(everything))
+    m, s = F.coalesce("m_domain", "m_suffix", "m_all"), F.coalesce("s_domain", "s_suffix", "s_all")
+    a = F.col("good") + m * s
+    b = F.col("n") - F.col("good") + (1 - m) * s
     mean, sd = a / (a + b), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.join(domains, "domain").select("host", "n", "good", mean.alias("mean"), F.greatest(F.lit(0.0), mean - z * sd).alias("low"), F.least(F.lit(1.0), mean + z * sd).alias("high"))
+    # greatest and least skip nulls: a bound without a posterior stays null.
+    known = lambda c: F.when(mean.isNotNull(), c)
+    return judged.select("host", "n", "good", mean.alias("mean"), known(F.greatest(F.lit(0.0), mean - z * sd)).alias("low"), known(F.least(F.lit(1.0), mean + z * sd)).alias("high"))
 
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), min_good: float = 0.5, z: float = 1.96) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's posterior for every page.
 
-    ``outcomes`` has host and good. Unlabelled hosts (and empty ones) are allowed:
-    there's no evidence against them. Null urls have empty host and path; repeated
+    ``outcomes`` has host and good. Unlabelled hosts are judged by their domain's,
+    suffix's or the overall prior; empty ones are allowed: there's no evidence against
+    them. Null urls have empty host and path; repeated
     rows stay. The join is a plain equi-join on host, so that adaptive execution
     splits a hot host's pages.
     """
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     parts = parts.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules))
-    known = host_reputation(outcomes, z)
+    known = host_reputation(outcomes, z, parts.where("host <> ''").select("host"))
     judged = parts.join(known.select("host", "mean", "low", "high"), "host", "left")
     verdict = F.coalesce(F.col("hit.action"), F.when(F.col("high") < min_good, "block"), F.lit("allow"))
     return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), verdict.alias("verdict"), "mean", "low", "high")

@@ -62,6 +62,17 @@ def test_posterior_leans_on_the_domain(spark):
     assert got["new.spam.org"]["mean"] < got["new.good.org"]["mean"] and got["ok.com"]["n"] == 30
 
 
+def test_hosts_without_a_label_take_the_prior_above(spark):
+    rows = [(f"h{k % 6}.spam.org", 0) for k in range(90)] + [(f"h{k % 6}.good.org", 1) for k in range(90)] + [(f"h{k % 6}.ill.bad", 0) for k in range(90)]
+    urls = [f"http://{h}/x" for h in ("new.spam.org", "new.good.org", "new.new.bad", "new.new.new", "h0.good.org")] + ["/x", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r["page_id"]: r for r in url_filters.filter_urls(pages, spark.createDataFrame(rows, "host string, good int")).collect()}
+    assert [got[k]["verdict"] for k in range(7)] == ["block", "allow", "block", "allow", "allow", "allow", "allow"]
+    assert got[0]["high"] < 0.5 < got[1]["low"] and got[2]["high"] < 0.5 and 0 < got[3]["mean"] < 1 and got[5]["mean"] is None
+    labelled = {r["host"]: r for r in url_filters.host_reputation(spark.createDataFrame(rows, "host string, good int")).collect()}
+    assert got[4]["mean"] == labelled["h0.good.org"]["mean"]
+
+
 # 3: language identification
 
 
