@@ -36,8 +36,11 @@ _WORDS = ("password", "passwd", "secret", "token", "api")
 #: A candidate: a run of these characters with a digit in it.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT = re.compile(r"[0-9]")
-#: Characters of the candidate and of the text before it that the network reads.
-INSIDE, BEFORE = 40, 24
+#: A piece of a candidate: paths and assignments join several into one run.
+PIECE = re.compile(r"[A-Za-z0-9+_-]{16,}")
+#: Characters that the network reads at once of a candidate, and of the text before and after. Longer ones
+#: are read in windows that overlap, so that any STEP characters in a row stand whole in one of them.
+INSIDE, BEFORE, AFTER, STEP = 40, 24, 16, 20
 #: Bounds of the fit: findings from the corpus of either label, and written ones.
 SAMPLE, WRITTEN = 2000, 3000
 RECALL = 0.98
@@ -79,25 +82,46 @@ def further_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tupl
     return kept
 
 
-def encode(items: list[tuple[str, int, int]]) -> np.ndarray:
-    """Character classes of (text, start, end): what stands before, then the candidate.
+def windows(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """What the network reads of a candidate: all of the run, and each of its pieces by itself."""
+    out = []
+    for lo, hi in dict.fromkeys([(s, e), *(m.span() for m in PIECE.finditer(text, s, e) if _DIGIT.search(text, *m.span()))]):
+        out += [(k, k + INSIDE) for k in range(lo, hi - INSIDE, STEP)] + [(max(lo, hi - INSIDE), hi)]
+    return list(dict.fromkeys(out))
 
-    A candidate longer than INSIDE is read at its beginning and its end.
-    """
-    out = np.zeros((len(items), BEFORE + INSIDE), np.uint8)
-    for k, (text, s, e) in enumerate(items):
-        before = text[max(0, s - BEFORE) : s]
-        inside = text[s:e] if e - s <= INSIDE else text[s : s + INSIDE // 2] + text[e - INSIDE // 2 : e]
-        points = np.frombuffer((before + inside).encode("utf-32-le", "surrogatepass"), np.uint32)
-        out[k, BEFORE - len(before) : BEFORE + len(inside)] = _CLASSES[np.minimum(points, 0xFFFF)]
+
+@dataclass
+class Encoded:
+    """Character classes of windows (``x``), and where each candidate's windows begin (``first``)."""
+
+    x: np.ndarray
+    first: np.ndarray
+
+
+def encode_windows(spans: list[tuple[str, int, int]]) -> np.ndarray:
+    """Character classes of (text, start, end): what stands before, then the window, then what follows."""
+    out = np.zeros((len(spans), BEFORE + INSIDE + AFTER), np.uint8)
+    for k, (text, s, e) in enumerate(spans):
+        lo = max(0, s - BEFORE)
+        classes = _CLASSES[np.minimum(np.frombuffer(text[lo : e + AFTER].encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+        out[k, BEFORE - (s - lo) : BEFORE + e - s] = classes[: e - lo]
+        out[k, BEFORE + INSIDE : BEFORE + INSIDE + len(classes) - (e - lo)] = classes[e - lo :]
     return out
 
 
+def encode(items: list[tuple[str, int, int]]) -> Encoded:
+    """All windows of the candidates (text, start, end)."""
+    each = [windows(*i) for i in items]
+    first = np.cumsum([0, *map(len, each)])[:-1]
+    return Encoded(encode_windows([(i[0], *w) for i, ws in zip(items, each) for w in ws]), first.astype(np.int64))
+
+
 class Network:
     """Embedding, one convolution, maximum and mean over the places, one logit.
 
-    The maximum and mean are taken over the candidate's and the context's places
-    apart, so that a word like ``key`` before and a texture inside both count.
+    The maximum and mean are taken over the places of the candidate and of the text before and
+    after apart, so that a word like ``key`` before and a texture inside both count. A
+    candidate's logit is the largest of its windows.
     """
 
     WIDTH, FILTERS, EMBED = 5, 24, 12
@@ -108,11 +132,12 @@ class Network:
             "embed": r.normal(0, 0.5, (_N_CLASSES, self.EMBED)),
             "conv": r.normal(0, (2 / (self.WIDTH * self.EMBED)) ** 0.5, (self.WIDTH * self.EMBED, self.FILTERS)),
             "bias": np.zeros(self.FILTERS),
-            "out": r.normal(0, 0.1, 4 * self.FILTERS),
+            "out": r.normal(0, 0.1, 6 * self.FILTERS),
             "last": np.zeros(1),
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
+        self.recall = self.precision = float("nan")  # at the threshold, on the findings that set it
 
     def _forward(self, x: np.ndarray):
         e = self.p["embed"][x]
@@ -121,15 +146,18 @@ class Network:
         z = windows @ self.p["conv"] + self.p["bias"]
         a = np.maximum(z, 0)
         cut = BEFORE - self.WIDTH + 1
-        parts = (slice(0, cut), slice(cut, places))
+        parts = (slice(0, cut), slice(cut, BEFORE + INSIDE), slice(BEFORE + INSIDE, places))
         h = np.concatenate([f(a[:, s]) for s in parts for f in (lambda v: v.max(1), lambda v: v.mean(1))], axis=1)
         return windows, a, parts, h, h @ self.p["out"] + self.p["last"]
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([self._forward(x[k : k + 512])[-1] for k in range(0, len(x), 512)]) if len(x) else np.zeros(0, np.float32)
+    def logits(self, items: Encoded) -> np.ndarray:
+        x = items.x
+        if not len(x):
+            return np.zeros(0, np.float32)
+        return np.maximum.reduceat(np.concatenate([self._forward(x[k : k + 512])[-1] for k in range(0, len(x), 512)]), items.first)
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -30, 30)))
+    def probability(self, items: Encoded) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(items) + self.shift, -30, 30)))
 
     def _step(self, x: np.ndarray, y: np.ndarray) -> dict:
         windows, a, parts, h, logit = self._forward(x)
@@ -170,9 +198,9 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
+    def calibrate(self, items: Encoded, y: np.ndarray, recall: float = RECALL) -> None:
         """Platt scaling, then the largest threshold that keeps ``recall`` of the positives."""
-        s = self.logits(x).astype(np.float64)
+        s = self.logits(items).astype(np.float64)
         a, b = 1.0, 0.0
         n1, n0 = int(y.sum()), int(len(y) - y.sum())
         goal = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
@@ -185,9 +213,12 @@ class Network:
             if abs(step).max() < 1e-9:
                 break
         self.scale, self.shift = float(a), float(b)
-        positive = np.sort(self.probability(x[y > 0]))
-        cut = int(np.floor((1 - recall) * len(positive)))
-        self.threshold = float(max(0.5, positive[cut])) if len(positive) else 0.5
+        chance = self.probability(items)
+        positive = np.sort(chance[y > 0])
+        if len(positive):
+            self.threshold = max(0.5, float(positive[int(np.floor((1 - recall) * len(positive)))]))
+            hit = chance >= self.threshold
+            self.recall, self.precision = float(hit[y > 0].mean()), float((y[hit] > 0).mean())
 
 
 def written_findings(n: int, seed: int = _SEED) -> list[tuple[str, int, int, int]]:
@@ -228,6 +259,25 @@ def written_findings(n: int, seed: int = _SEED) -> list[tuple[str, int, int, int
     return out
 
 
+def embedded_findings(n: int, seed: int = _SEED) -> list[tuple[str, int, int, int, int, int]]:
+    """(text, start, end, label, key's start, key's end): long path-like runs, half of them with a key inside."""
+    r = random.Random(seed)
+    letters = string.ascii_letters + string.digits
+    word = lambda: "".join(r.choice("etaoinshrdlucmfwypvbgk") for _ in range(r.randint(3, 9)))
+    part = lambda: r.choice((word(), word(), f"{word()}-{word()}", f"{word()}_{word()}", f"v{r.randint(1, 9)}", str(r.randint(1990, 2050)), f"{word()}={word()}"))
+    out = []
+    for k in range(n):
+        join = r.choice(("/", "/", "/", "=", "_", "-"))
+        head, tail = (join.join(part() for _ in range(r.randint(2, 10))) for _ in range(2))
+        key = "".join(r.choice(r.choice((letters, letters + "+"))) for _ in range(r.randint(20, 48))) if k % 2 else f"{word()}-{word()}-{r.randint(0, 2050)}"
+        key = key if any(c.isdigit() for c in key) else key[:-1] + r.choice(string.digits)
+        lead = f"{word()} {word()} "
+        body = f"{head}{join}{key}{join}{tail}"
+        at = len(lead) + len(head) + 1
+        out.append((f"{lead}{body} {word()}", len(lead), len(lead) + len(body), k % 2, at, at + len(key)))
+    return out
+
+
 FINDINGS = "snippet string, start int, stop int, label int, unit long"
 
 
@@ -244,7 +294,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = [(s, e, int(not text[s:e].isdigit())) for s, e, _ in spans] + [(s, e, 0) for s, e in further_candidates(text, base)]
             for s, e, label in spans:
                 lo, hi = max(0, s - BEFORE), min(e, s + 512)
-                snippet = text[lo:hi]
+                snippet = text[lo : hi + AFTER]
                 unit = int.from_bytes(hashlib.blake2b(snippet.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
                 rows.append((snippet, s - lo, hi - lo, label, unit))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["snippet", "start", "stop", "label", "unit"])
@@ -258,16 +308,37 @@ def train(docs: DataFrame, rows: int = 4000, sample: int = SAMPLE, recall: float
     drawn = docs.where(unit < min(1.0, rows / max(1, n))).select("text").mapInArrow(_labelled, FINDINGS)
     drawn = materialize(drawn.distinct(), "secret-findings")
     found = [r for k in (0, 1) for r in drawn.where(F.col("label") == k).orderBy("unit", "snippet", "start").limit(sample).collect()]
-    items = [(r["snippet"], r["start"], r["stop"], r["label"]) for r in found] + written_findings(WRITTEN)
-    x, y = encode([i[:3] for i in items]), np.array([i[3] for i in items])
-    order = np.random.default_rng(_SEED).permutation(len(x))
-    cut = len(x) * 4 // 5
+    items = [(r["snippet"], r["start"], r["stop"], r["label"], r["start"], r["stop"]) for r in found]
+    written = [(*f, *f[1:3]) for f in written_findings(WRITTEN)] + embedded_findings(WRITTEN // 3)
+    # Half of the written ones of either label stand in surroundings of the corpus, which then tell nothing by themselves.
+    places, r = [(f["snippet"][: f["start"]], f["snippet"][f["stop"] :]) for f in found], random.Random(_SEED)
+    for k, (text, s, e, label, lo, hi) in enumerate(written):
+        if places and r.random() < 0.5:
+            before, after = r.choice(places)
+            d = len(before) - s
+            written[k] = (before + text[s:e] + after, s + d, e + d, label, lo + d, hi + d)
+    items += written
+    order = np.random.default_rng(_SEED).permutation(len(items))
+    cut = len(items) * 4 // 5
     network = Network()
-    network.fit(x[order[:cut]], y[order[:cut]])
-    network.calibrate(x[order[cut:]], y[order[cut:]], recall)
+    network.fit(*_window_labels([items[k] for k in order[:cut]]))
+    held = [items[k] for k in order[cut:]]
+    network.calibrate(encode([i[:3] for i in held]), np.array([i[3] for i in held]), recall)
     return network
 
 
+def _window_labels(items: list[tuple[str, int, int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and labels: 1 where one holds 16 characters of a key or all of it, 0 where it holds none; others are left out."""
+    spans, labels = [], []
+    for text, s, e, label, lo, hi in items:
+        for a, b in windows(text, s, e):
+            shared = min(b, hi) - max(a, lo)
+            if not label or shared <= 0 or shared >= min(16, hi - lo):
+                spans.append((text, a, b))
+                labels.append(int(label and shared > 0))
+    return encode_windows(spans), np.array(labels)
+
+
 @dataclass
 class Scan:
     base: list[tuple[int, int, int]]

@@ -418,3 +418,24 @@ def test_network_on_findings_it_did_not_see(spark, odd, none):
     text = "the token = abcdefghij0123456789 and key Zx81kQpL0vNn47TtRe93WmAa then é"
     got = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), network).first()
     assert got["n_assign"] == 1 and got["spans"].startswith("assign:4:32") and got["base_sha256"] == hashlib.sha256(b"assign:4:32").hexdigest()
+
+
+def test_every_place_of_a_candidate_is_read():
+    for n in (16, 40, 41, 60, 61, 333):
+        got = secret_scan.windows("/" * 5 + "a" * n + " ", 5, 5 + n)
+        assert {k for s, e in got for k in range(s, e)} == set(range(5, 5 + n)) and all(e - s <= secret_scan.INSIDE for s, e in got)
+    text = "see " + "path/to/" * 9 + "Zx81kQpL0vNn47TtRe93WmAa" + "/and/on" * 9 + " end"
+    other = text.replace("Zx81kQpL0vNn47TtRe93WmAa", "some-plain-words-of-2021")
+    (span,) = secret_scan.candidates(text)
+    assert (secret_scan.encode([(text, *span)]).x != 0).any()
+    assert not np.array_equal(secret_scan.encode([(text, *span)]).x, secret_scan.encode([(other, *span)]).x)
+    after = secret_scan.encode([("a Zx81kQpL0vNn47TtRe93WmAa one", 2, 26)]).x
+    assert not np.array_equal(after, secret_scan.encode([("a Zx81kQpL0vNn47TtRe93WmAa two", 2, 26)]).x)
+
+
+def test_keys_inside_long_runs(odd):
+    network = secret_scan.train(odd)
+    fresh = secret_scan.embedded_findings(600, 78)
+    y = np.array([f[3] for f in fresh])
+    hit = network.probability(secret_scan.encode([f[:3] for f in fresh])) >= network.threshold
+    assert hit[y == 1].mean() > 0.93 and hit[y == 0].mean() < 0.3
