@@ -4,9 +4,10 @@ Candidates are runs of key-like characters. The patterns decide some of them
 outright; a convolutional network in numpy reads every further candidate with the
 text around it. It is trained on labelled findings: what the patterns found in a
 bounded sample of the corpus and findings written by rule are positive,
-plain candidates that look like names, numbers, paths and identifiers are negative. Its
+plain candidates that look like names, numbers, paths and identifiers are negative. Other
+candidates of the corpus have no label and aren't learnt from. Its
 threshold is set on findings that it didn't learn from, after Platt scaling: the
-largest that keeps the recall asked for, never below a least precision's odds.
+largest that keeps the recall asked for, whatever precision that leaves.
 """
 
 from __future__ import annotations
@@ -216,7 +217,7 @@ class Network:
         chance = self.probability(items)
         positive = np.sort(chance[y > 0])
         if len(positive):
-            self.threshold = max(0.5, float(positive[int(np.floor((1 - recall) * len(positive)))]))
+            self.threshold = float(positive[int(np.floor((1 - recall) * len(positive)))])
             hit = chance >= self.threshold
             self.recall, self.precision = float(hit[y > 0].mean()), float((y[hit] > 0).mean())
 
@@ -278,11 +279,15 @@ def embedded_findings(n: int, seed: int = _SEED) -> list[tuple[str, int, int, in
     return out
 
 
+#: Shapes of the written findings that aren't keys. A candidate of the corpus that no pattern knows and that
+#: hasn't one of them may be a key: nobody has labelled it, so it is no negative.
+PLAIN = re.compile(r"[0-9]+|[a-z]{2,}(?:[_/-][a-z]{2,})+(?:[_/-]v?[0-9]{1,4})?0*|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:-[a-z]+)?0*|(?:[A-Z][a-z]{2,}){2,}[0-9]{0,2}0*|[a-z]{2,}=+[0-9]0*")
 FINDINGS = "snippet string, start int, stop int, label int, unit long"
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the patterns found (label 1) and the other candidates (label 0), as snippets."""
+    """What the patterns found (label 1) and other candidates, as snippets: those of plain shapes (0), and the rest (-1),
+    whose surroundings serve only."""
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
@@ -291,7 +296,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = [(m.start(2), m.end(2), 1) for m in ASSIGN.finditer(text)] if any(k == 0 for _, _, k in base) else []
             spans = [s for s in spans if s[1] - s[0] >= _ASSIGN_LEAST] + [(s, e, 1) for s, e, k in base if k]
             # A long run of nothing but digits is a number, not a key: the network must learn to leave it.
-            spans = [(s, e, int(not text[s:e].isdigit())) for s, e, _ in spans] + [(s, e, 0) for s, e in further_candidates(text, base)]
+            spans = [(s, e, int(not text[s:e].isdigit())) for s, e, _ in spans] + [(s, e, 0 if PLAIN.fullmatch(text, s, e) else -1) for s, e in further_candidates(text, base)]
             for s, e, label in spans:
                 lo, hi = max(0, s - BEFORE), min(e, s + 512)
                 snippet = text[lo : hi + AFTER]
@@ -307,8 +312,8 @@ def train(docs: DataFrame, rows: int = 4000, sample: int = SAMPLE, recall: float
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(1 << 53))
     drawn = docs.where(unit < min(1.0, rows / max(1, n))).select("text").mapInArrow(_labelled, FINDINGS)
     drawn = materialize(drawn.distinct(), "secret-findings")
-    found = [r for k in (0, 1) for r in drawn.where(F.col("label") == k).orderBy("unit", "snippet", "start").limit(sample).collect()]
-    items = [(r["snippet"], r["start"], r["stop"], r["label"], r["start"], r["stop"]) for r in found]
+    found = [r for k in (0, 1, -1) for r in drawn.where(F.col("label") == k).orderBy("unit", "snippet", "start").limit(sample).collect()]
+    items = [(r["snippet"], r["start"], r["stop"], r["label"], r["start"], r["stop"]) for r in found if r["label"] >= 0]
     written = [(*f, *f[1:3]) for f in written_findings(WRITTEN)] + embedded_findings(WRITTEN // 3)
     # Half of the written ones of either label stand in surroundings of the corpus, which then tell nothing by themselves.
     places, r = [(f["snippet"][: f["start"]], f["snippet"][f["stop"] :]) for f in found], random.Random(_SEED)
