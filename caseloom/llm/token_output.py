@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import uuid
 import zlib
 from array import array
@@ -26,6 +27,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +43,10 @@ BLOCK = 1 << 19
 PART, MOST_PARTS = 4_000_000, 100_000
 #: Least coder state: states stay in [2^31, 2^63).
 _LOW, _ONE = np.uint64(1 << 31), np.uint64(1)
-#: Words that a worker keeps with their ids; then it begins anew.
+#: Words that a worker keeps with their ids; then it begins anew, with those that it meets again.
 CACHE = 600_000
+#: Bytes of text encoded at once; a single longer text makes a longer slice.
+SLICE = 8 << 20
 
 _INSIDE_GAP = re.compile(r"\s \s|\s \Z")
 #: White space before a space, without which no run of it is cut; of the rarer kinds any place counts.
@@ -52,6 +56,12 @@ _ASCII_GAPS = [g for g in _GAPS if g.isascii()]
 
 #: What may stand at a word's end and is then one piece of the pattern of its own.
 _TAIL = ".,!?;:%$*&#|"
+_SIGN = np.full(256, -1, np.int64)
+_SIGN[np.frombuffer(_TAIL.encode(), np.uint8)] = np.arange(len(_TAIL))
+_PLAIN = np.zeros(256, bool)
+_PLAIN[np.frombuffer((string.ascii_letters + string.digits).encode(), np.uint8)] = True
+#: Stands for a single line break while a text is cut; a text that holds it is encoded whole.
+LINE = "\x1d"
 
 
 def _byte_letters() -> list[str]:
@@ -62,105 +72,172 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class WordEncoder(dict):
-    """Ids of whole texts, as little-endian bytes, by a byte-level BPE tokenizer.
+class WordEncoder:
+    """Ids of whole texts by a byte-level BPE tokenizer, from the ids of their words.
 
     Its pattern never joins what stands before a space with what follows, so
-    a text is cut before its spaces and each piece (with its space) is looked up here or
-    encoded once. That holds unless a cut falls inside a run of white space,
-    or a special token's own string is in the text; such texts are encoded whole,
-    and so is every text of a tokenizer of another kind. A piece of Latin letters
-    with a tail of punctuation is two pieces of the pattern, a line break between two
-    such pieces one of its own; the BPE model encodes those directly.
+    a text is cut before its spaces; each different piece (with its space) of a slice of texts is
+    looked up or encoded once, and the texts' ids are gathered from those of the pieces. That holds
+    unless a cut falls inside a run of white space, or a special token's own string is
+    in the text; such texts are encoded whole, and so is every text of a tokenizer of
+    another kind. A single line break between two other characters is a piece of the
+    pattern by itself, so that a text is also cut before those. A piece of Latin letters
+    with a tail of punctuation is two pieces of the pattern; the BPE model encodes those directly.
     """
 
     def __init__(self, spec: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.code = {2: "H", 4: "I"}[width]
+        self.dtype = np.dtype({2: "<u2", 4: "<u4"}[width])
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         kind = json.loads(spec)
         cut = kind.get("pre_tokenizer") or {}
         self.by_piece = kind.get("normalizer") is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and kind["model"].get("type") == "BPE"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.spelling = dict(enumerate(self.letters))
-        self.words: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # what follows a space
+        self.bare: dict[str, bytes] = {}  # what doesn't
+        self.older: dict[str, bytes] = {}  # words of the generation before
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _piece(self, piece: str, spaced: bool) -> bytes:
-        """Ids of what the pattern leaves whole, with or without a space before it."""
+    def _word(self, word: str, spaced: bool) -> bytes | None:
+        """Ids of Latin letters, or of a tail of punctuation; None if it is anything else."""
         cache = self.words if spaced else self.bare
-        found = cache.get(piece)
+        found = cache.get(word)
+        if found is None and spaced and (found := self.older.get(word)) is not None:
+            cache[word] = found
         if found is None:
-            spelt = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.spelling)
-            if spaced:
-                spelt = self.letters[32] + spelt
-            found = cache[piece] = array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+            if word.isascii():
+                if not word.isalpha() and word.strip(_TAIL):
+                    return None
+                spelt = word
+            elif word.isalpha() and max(word) < "\u0250":
+                spelt = word.encode().decode("latin-1").translate(self.spelling)
+            else:
+                return None
+            found = cache[word] = self._pack([t.id for t in self.model.tokenize(self.letters[32] + spelt if spaced else spelt)])
         return found
 
-    def _latin(self, text: str, spaced: bool) -> bytes | None:
-        """Ids of letters with a tail of punctuation; None if the text is anything else."""
-        word = text.rstrip(_TAIL)
-        if not (word.isalpha() and (word.isascii() or max(word) < "\u0250")):
-            return None
-        ids = self._piece(word, spaced)
-        return ids if len(word) == len(text) else ids + self._piece(text[len(word) :], False)
-
-    def __missing__(self, piece: str) -> bytes:
-        word = piece.rstrip(_TAIL)
-        ids = self.words.get(word)
-        if ids is None and word.isascii() and word.isalpha():
-            ids = self.words[word] = array(self.code, [t.id for t in self.model.tokenize("\u0120" + word)]).tobytes()
-        if ids is None:
-            ids = self._latin(piece, True)
-        elif len(word) != len(piece):
-            tail = piece[len(word) :]
-            ids += self.bare.get(tail) or self._piece(tail, False)
-        if ids is None and "\n" in piece:
-            lines = piece.split("\n")
-            parts = [self._latin(x, k == 0) for k, x in enumerate(lines)]
-            ids = None if None in parts else self.model_break.join(parts)
-        if ids is None:
-            (ids,) = self._encode([" " + piece])
-        self[piece] = ids
-        return ids
+    def _pieces(self, pieces: list[str], spaced: bool) -> list[bytes]:
+        """Ids of pieces; one that begins with LINE stands after a line break, not after a space."""
+        out: list[bytes] = []
+        rest: list[str] = []
+        at: list[int] = []
+        cache, word_of = self.words if spaced else self.bare, self._word
+        for piece in pieces:
+            ids = cache.get(piece)
+            if ids is None:
+                own, lead, body = spaced, b"", piece
+                if piece[:1] == LINE:
+                    own, lead, body = False, self.line_break, piece[1:]
+                word = body.rstrip(_TAIL)
+                ids = word_of(word, own) if word else b"" if lead and not body else None
+                if ids is None:
+                    at.append(len(out))
+                    rest.append("\n" + body if lead else " " + body if own else body)
+                    ids = b""
+                else:
+                    ids = lead + ids + (word_of(body[len(word) :], False) if len(word) < len(body) else b"")
+            out.append(ids)
+        for k, ids in zip(at, self._encode(rest)):
+            out[k] = ids
+        return out
 
     @cached_property
-    def model_break(self) -> bytes:
+    def line_break(self) -> bytes:
         return self._encode(["\n"])[0]
 
     def _cut_safely(self, text: str) -> bool:
         gaps = _ASCII_GAPS if text.isascii() else _GAPS
         if any(g in text for g in gaps) and _INSIDE_GAP.search(text):
             return False
-        return self.by_piece and not any(s in text for s in self.special)
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        for cache in (self, self.words, self.bare):
-            if len(cache) > CACHE:
-                cache.clear()
-        out: list[bytes] = [b""] * len(texts)
-        whole = []
+        return self.by_piece and LINE not in text and not any(s in text for s in self.special)
+
+    @staticmethod
+    def _breaks_safely(text: str) -> bool:
+        """Whether each line break stands alone between other characters."""
+        return not any(g in text for g in ("\n\n", " \n")) and not any(g in text for g in (_ASCII_GAPS if text.isascii() else _GAPS))
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by ``end``, and where each text's begin (one more entry than texts)."""
+        if len(self.words) > CACHE:
+            self.words, self.older = {}, self.words
+        if len(self.bare) > CACHE:
+            self.bare.clear()
+        cut, whole = [], []
         for k, text in enumerate(texts):
             if not self._cut_safely(text):
                 whole.append(k)
-            elif text:
-                head, *rest = text.split(" ")
-                first = self._latin(head, False)
-                if first is None:
-                    (first,) = self._encode([head])
-                out[k] = first + b"".join(map(self.__getitem__, rest))
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
-            out[k] = ids
-        return out
+                cut.append("")
+            else:
+                cut.append(text.replace("\n", " " + LINE) if "\n" in text and self._breaks_safely(text) else text)
+        parts = pc.split_pattern(pa.array(cut, pa.large_string()), " ")
+        heads, n = np.asarray(parts.offsets)[:-1], np.asarray(parts.value_lengths())
+        flat, tail, n = self._split_tails(parts.flatten(), heads, n)
+        heads = np.cumsum(n) - n
+        # A text's first piece has no space before it: it is a value of its own, as is a text encoded whole.
+        first = [cut[k].partition(" ")[0] for k in range(len(texts))]
+        own = dict(zip(whole, self._encode([texts[k] for k in whole])))
+        bare = iter(self._pieces([x for k, x in enumerate(first) if x and k not in own], False))
+        rows = [own[k] if k in own else next(bare) if x else b"" for k, x in enumerate(first)]
+        known = flat.dictionary_encode()
+        signs = [self._word(c, False) for c in _TAIL]
+        values = [*rows, np.array([end], self.dtype).tobytes(), *signs, *self._pieces(known.dictionary.to_pylist(), True)]
+        code = np.asarray(known.indices).astype(np.int64) + (len(texts) + 1 + len(signs))
+        code[tail >= 0] = len(texts) + 1 + tail[tail >= 0]
+        code[heads] = np.arange(len(texts))
+        stops = np.cumsum(n)
+        code = np.insert(code, stops, len(texts))
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        begin = np.cumsum(size) - size
+        stock = np.frombuffer(b"".join(values), self.dtype)
+        length = size[code]
+        stop = np.cumsum(length)
+        ids = stock[np.repeat(begin[code] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
+        return ids, np.concatenate([[0], stop[stops + np.arange(len(texts))]])
+
+    @staticmethod
+    def _split_tails(flat: pa.LargeStringArray, heads: np.ndarray, n: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+        """Pieces of which a single mark after a Latin letter or digit is a piece of its own: the pieces, the mark's
+        number in _TAIL (or -1), and the pieces of each text. First pieces stay as they are."""
+        if not len(flat):
+            return flat, np.zeros(0, np.int64), n
+        _, where, data = flat.buffers()
+        offs = np.frombuffer(where, np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        ends, size = offs[1:], np.diff(offs)
+        cut = (size > 1) & (_SIGN[raw[np.maximum(ends, 1) - 1]] >= 0) & _PLAIN[raw[np.maximum(ends, 2) - 2]]
+        cut[heads] = False
+        at = np.flatnonzero(cut)
+        offs = np.insert(offs, at + 1, ends[at] - 1)
+        tail = np.full(len(offs) - 1, -1, np.int64)
+        tail[at + np.arange(1, len(at) + 1)] = _SIGN[raw[ends[at] - 1]]
+        each = np.add.reduceat(cut.astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
+        return pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(offs), data]), tail, n + each
 
 
 _encoders: dict[tuple, WordEncoder] = {}
 
+
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold ``size`` bytes."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 TOKENS = "doc_id bigint, tie bigint, n int, ids binary"
 
 
@@ -171,16 +248,19 @@ def _tokenize(spec, width: int, end: int):
             _encoders.clear()
             _encoders[key] = WordEncoder(spec.value, width)
         encoder = _encoders[key]
-        stop = int(end).to_bytes(width, "little")
-        for batch in batches:
-            column = batch.column("text")
-            for lo in range(0, len(batch), 256):
-                part = [x or "" for x in column.slice(lo, 256).to_pylist()]
-                ids = [x + stop for x in encoder.texts(part)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, 256), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(x) // width for x in ids], pa.int32()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "tie", "n", "ids"],
-                )
+        for batch in _gathered(batches, SLICE):
+            column = batch.column("text").fill_null("").cast(pa.large_string())
+            offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + SLICE, "right")) - 1)
+                ids, first = encoder.encode(column.slice(lo, hi - lo).to_pylist(), end)
+                raw, bounds = ids.tobytes(), first * width
+                view = memoryview(raw)
+                ties = [zlib.crc32(view[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                packed = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(ties, pa.int64()), pa.array(np.diff(first).astype(np.int32)), packed.cast(pa.binary())], names=["doc_id", "tie", "n", "ids"])
+                lo = hi
 
     return rows
 

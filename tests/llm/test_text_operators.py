@@ -284,8 +284,11 @@ def test_pieces_equal_the_whole_text():
     r = random.Random(1)
     parts = [" ", "  ", "\n", "\t", "\x1c", " ", "　", "a", "bc", "'s", "é", "1", "23", ".", "!?", "日本", "<|endoftext|>", "word", "Ünder"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(6000)]
-    for text, got, want in zip(texts, encoder.texts(texts), tokenizer.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(got, "<u2").tolist() == want.ids, repr(text)
+    texts += ["".join(r.choice(["\n", "\n", " ", "\n\n", "a", "bé", ".", "9"]) for _ in range(r.randint(0, 9))) for _ in range(3000)]
+    ids, first = encoder.encode(texts, 0)
+    for k, (text, want) in enumerate(zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False))):
+        assert ids[first[k] : first[k + 1]].tolist() == [*want.ids, 0], repr(text)
+    assert encoder.encode([], 0)[0].tolist() == []
 
 
 @pytest.mark.parametrize("n", [1, 5, 64, 1000, 4097])
