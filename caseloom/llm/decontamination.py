@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_side, table
+from .shared import materialize, small_side, table, unused
 from .text_arrays import Runs, Words, finish, text_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -253,9 +253,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARI
     The found rows' keys are written once and counted: a short list is broadcast, so
     that no text is shuffled; a long one is joined by a shuffle.
     """
-    keys = leaks(docs, benchmark, least).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct()
+    leaked, key = unused(docs, "doc"), unused(docs, "key")
+    keys = leaks(docs, benchmark, least).select(F.col("doc_id").alias(leaked), F.col("row_key").alias(key)).distinct()
     keys = materialize(keys, "leak-keys")
-    joined = docs.join(small_side(keys, keys.count()), docs["doc_id"].cast("long").eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__key"]), "left_anti")
+    joined = docs.join(small_side(keys, keys.count(), 40), docs["doc_id"].cast("long").eqNullSafe(keys[leaked]) & (F.xxhash64(docs["text"]) == keys[key]), "left_anti")
     return joined.select(*docs.columns)
 
 

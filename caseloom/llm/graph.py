@@ -8,14 +8,29 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+#: A node of more than this share of all edges is a hub: there are 2 / HUB of them at most.
+HUB, LEAST_HUB = 1 / 50_000, 200
+
+
+def _joined(edges: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """``edges`` (u, v) with u's row of ``least`` (u, m, n: its edges). Edges of the hubs, which are
+    few by their definition, meet a broadcast table where they lie; the others are joined by a
+    shuffle in which no node has more than ``limit`` rows."""
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", F.col("m").alias("hub_m")))  # 2 / HUB rows at most
+    marked = edges.join(hubs, "u", "left")
+    own = marked.where("hub_m is null").select("u", "v").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
+    return own.select("u", "v", "m").unionByName(marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+
+
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """node and component (its least reachable node) for every node of ``edges`` (a, b).
 
     Alternates the large-star and small-star steps (Kiveris et al., "Connected
     Components in MapReduce and Beyond"): each round links every node to the
     least neighbour of its neighbourhood, until all edges are stars. Edge lists
-    never grow, a hub's edges are joined by an equi-join that adaptive execution
-    can split, and each round is written to the shared folder.
+    never grow, a hub's edges stay spread over all tasks, and each round is written to
+    the shared folder. Rounds grow with the logarithm of the longest path; an edge list
+    that doesn't settle in ``rounds`` of them is an error.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialize(now, "stars")
@@ -23,11 +38,12 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     if mark[0] == 0:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
+        limit = max(LEAST_HUB, int(mark[0] * HUB))
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _joined(both.where("v > u"), least, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = _joined(large, least, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = materialize(small.distinct(), "stars")
         was, mark = mark, _mark(now)
         if was == mark:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize, small_side, table
+from .shared import materialize, small_side, table, unused
 from .text_arrays import Runs, Words, finish, text_slices
 
 #: Shingles in one block of a large group; a group of more is cut into blocks and
@@ -198,20 +198,22 @@ class PrefixTree:
 
     def __init__(self, sets: list[np.ndarray]):
         order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        parent, depth, rep, low, high, ends = [-1], [0], [order[0]], [1 << 60], [0], [[]]
+        parent, depth, rep, low, high, ends, begin, stop = [-1], [0], [order[0]], [1 << 60], [0], [[]], [0], [len(sets)]
         stack = [0]
 
-        def add(up: int, d: int, r: int) -> int:
+        def add(up: int, d: int, r: int, at: int) -> int:
             parent.append(up)
             depth.append(d)
             rep.append(r)
             low.append(1 << 60)
             high.append(0)
             ends.append([])
+            begin.append(at)
+            stop.append(len(sets))
             return len(parent) - 1
 
         before = None
-        for i in order:
+        for at, i in enumerate(order):
             s = sets[i]
             same = 0
             if before is not None:
@@ -220,12 +222,13 @@ class PrefixTree:
                 same = int(differ[0]) if len(differ) else m
             while depth[stack[-1]] > same:
                 last = stack.pop()
+                stop[last] = at
                 if depth[stack[-1]] < same:  # split the run above ``last``
-                    mid = add(stack[-1], same, rep[last])
+                    mid = add(stack[-1], same, rep[last], begin[last])
                     parent[last] = mid
                     stack.append(mid)
             if depth[stack[-1]] < len(s):
-                stack.append(add(stack[-1], len(s), i))
+                stack.append(add(stack[-1], len(s), i, at))
             ends[stack[-1]].append(i)
             before = s
         n = len(parent)
@@ -248,9 +251,18 @@ class PrefixTree:
         self.child = np.searchsorted(self.parent[self.below], np.arange(n + 1))
         self.ends = ends
         self.has_end = np.array([bool(e) for e in ends])
-
-    def similar(self, probe: np.ndarray, marks: np.ndarray, num: int, den: int) -> list[int]:
-        """Sets with den * intersection >= num * union. ``marks``: zeros, one for each rank."""
+        # The sets below a node, as places in the sorted order.
+        self.order, self.begin, self.stop = np.array(order), np.array(begin), np.array(stop)
+
+    def uniform(self, label: np.ndarray) -> np.ndarray:
+        """For each node the label that all sets below it have, or -1."""
+        own = label[self.order]
+        change = np.concatenate([[0], np.cumsum(own[1:] != own[:-1])])
+        return np.where(change[self.stop - 1] == change[self.begin], own[self.begin], -1)
+
+    def similar(self, probe: np.ndarray, marks: np.ndarray, num: int, den: int, passed: np.ndarray | None = None) -> list[int]:
+        """Sets with den * intersection >= num * union. ``marks``: zeros, one for each rank;
+        what lies below the nodes in ``passed`` isn't asked for."""
         marks[probe] = 1
         size, found = len(probe), []
         nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -260,6 +272,11 @@ class PrefixTree:
                 break
             kids = self.below[_spread(self.child[nodes], counts)]
             overlap = np.repeat(overlap, counts)
+            if passed is not None:
+                asked = ~passed[kids]
+                kids, overlap = kids[asked], overlap[asked]
+                if not len(kids):
+                    break
             length = self.length[kids]
             at = _spread(self.offset[kids], length)
             inside = np.concatenate([[0], np.cumsum(marks[self.flat[at]])])
@@ -319,63 +336,81 @@ def _kin(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, list[n
     return label, np.split(ranks, ends[:-1])
 
 
-def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int):
+def join_sets(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int, every: bool = True):
     """(i, [j, ...]) for each set i of ``left`` with links to ``right`` (to later and
-    earlier sets of ``left`` itself if None), through one prefix tree for each kin."""
+    earlier sets of ``left`` itself if None), through one prefix tree for each kin.
+
+    Unless ``every`` link is asked for, sets that earlier links connect aren't compared
+    again: the links given connect the same sets, and near copies cost about one comparison each.
+    """
     split = len(left)
     label, ranked = _kin([*left, *(right or [])], num, den)
     marks = np.zeros(1 + max((int(r[-1]) for r in ranked if len(r)), default=0), np.int64)
     order = np.argsort(label, kind="stable")
+    joined = np.arange(len(ranked))
     for members in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
         probes = members if right is None else members[members < split]
         stored = members if right is None else members[members >= split]
         if not len(probes) or not len(stored) or len(members) < 2:
             continue
         tree = PrefixTree([ranked[k] for k in stored])
+        same = tree.uniform(joined[stored])
         for i in probes:
-            links = [int(stored[j]) - (0 if right is None else split) for j in tree.similar(ranked[i], marks, num, den)]
-            if right is None:
-                links = [j for j in links if j != i]
-            if links:
-                yield int(i), links
+            found = stored[tree.similar(ranked[i], marks, num, den, None if every else same == joined[i])]
+            found = found[found != i]
+            if not len(found):
+                continue
+            yield int(i), (found - (0 if right is None else split)).tolist()
+            if not every:
+                seen = np.unique(np.append(joined[found], joined[i]))
+                if len(seen) > 1:
+                    joined[members[np.isin(joined[members], seen)]] = seen[0]
+                    same = tree.uniform(joined[stored])
 
 
-LINKS = "doc_id bigint, other bigint, links bigint"
+LINKS = "doc_id bigint, set_hash binary, other bigint, links bigint"
 
 
-def _join_group(n: int, num: int, den: int, pairs: bool):
+def _join_group(n: int, num: int, den: int, give: str):
+    """``give``: "pairs" of classes, every class with its number of "links" and a class linked to it, or only "classes"."""
+
     def group(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         # Rows that share a doc_id but not the text of its class are passed over, repeated ones too.
-        own = [k for k, x in _sets_of(rows.column("text"), n) if _digest(x) == rows.column("set_hash")[k].as_py()]
-        rows = rows.take(pa.array(own, pa.int64()))
-        ids, copies = np.asarray(rows.column("doc_id")), np.asarray(rows.column("copies"))
-        _, once = np.unique(ids, return_index=True)
-        ids, copies = ids[once], copies[once]
-        sets = [x for _, x in _sets_of(rows.column("text").take(pa.array(once)), n)]
+        held: dict[bytes, tuple[int, np.ndarray]] = {}
+        for k, x in _sets_of(rows.column("text"), n):
+            digest = _digest(x)
+            if digest == rows.column("set_hash")[k].as_py():
+                held.setdefault(digest, (k, x))
+        hashes = np.array(list(held), object)
+        once = np.array([k for k, _ in held.values()], np.int64)
+        sets = [x for _, x in held.values()]
+        ids, copies, block, upper = (np.asarray(rows.column(c))[once] for c in ("doc_id", "copies", "block", "upper"))
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        block = np.asarray(rows.column("block"))[once]
-        upper = np.asarray(rows.column("upper"))[once]
-        label, links, out = ids.copy(), np.zeros(len(ids), np.int64), []
+        label, links, out = np.arange(len(ids)), np.zeros(len(ids), np.int64), []
         a = np.flatnonzero(block == i)
         b = a if i == j else np.flatnonzero(block == j)
-        found = join_sets([sets[k] for k in a], None if i == j else [sets[k] for k in b], num, den) if len(a) and len(b) else ()
+        found = join_sets([sets[k] for k in a], None if i == j else [sets[k] for k in b], num, den, give != "classes") if len(a) and len(b) else ()
         for k, others in found:
             k, others = a[k], b[np.array(others)]
-            others = others[~(upper[k] & upper[others])]  # two of the level above meet there
+            if give != "classes":
+                others = others[~(upper[k] & upper[others])]  # two of the level above meet there
             links[k] += copies[others].sum()
             if i != j:
                 links[others] += copies[k]
-            if pairs:
-                keep = others if i != j else others[ids[others] > ids[k]]
-                out += [(int(ids[k]), int(x)) for x in ids[keep]]
+            if give == "pairs":
+                keep = others if i != j else others[others > k]
+                out += [(int(ids[k]), hashes[k], int(x)) for x in ids[keep]]
             seen = np.unique(np.append(label[others], label[k]))
             if len(seen) > 1:
                 label[np.isin(label, seen)] = seen[0]
-        if pairs:
-            return pa.table({"doc_id": pa.array([x for x, _ in out], pa.int64()), "other": pa.array([y for _, y in out], pa.int64()), "links": pa.array([1] * len(out), pa.int64())})
-        told = np.flatnonzero(links > 0)
-        return pa.table({"doc_id": ids[told], "other": label[told], "links": links[told]})
+        if give == "pairs":
+            own, keys, other = (list(c) for c in zip(*out)) if out else ([], [], [])
+            links = [1] * len(own)
+        else:
+            told = np.flatnonzero(links > 0) if give == "links" else np.flatnonzero(label != np.arange(len(ids)))
+            own, keys, other, links = ids[told], list(hashes[told]), ids[label[told]], links[told]
+        return pa.table({"doc_id": pa.array(own, pa.int64()), "set_hash": pa.array(keys, pa.binary()), "other": pa.array(other, pa.int64()), "links": pa.array(links, pa.int64())})
 
     return group
 
@@ -413,15 +448,15 @@ def _grouped(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     members = members.select("doc_id", "set_hash", "copies", "cluster", "level", "upper", "blocks", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     members = materialize(members.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "jaccard-members")
     placed = members.select("doc_id", "set_hash", "cluster", "level", "upper", "block", "copies", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    return texts.join(small_side(placed, members.count()), "doc_id")
+    return texts.join(small_side(placed, members.count(), 120), "doc_id")
 
 
 #: What one task joins: two blocks of a cluster's level.
 GROUP = ("cluster", "level", "i", "j")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id and n_links: one row for each row of docs.
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, count: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (and n_links, if ``count``): one row for each row of docs.
 
     Two rows link when den * intersection >= num * union of their distinct n-word
     shingle sets (A-Z lower-cased; fewer than n words: all of them as one).
@@ -432,15 +467,18 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     """
     base, classes = _classes(docs, n)
     classes = materialize(classes, "jaccard-classes")
-    links = _grouped(docs, classes, n, num, den).groupBy(*GROUP).applyInArrow(_join_group(n, num, den, False), LINKS)
+    links = _grouped(docs, classes, n, num, den).groupBy(*GROUP).applyInArrow(_join_group(n, num, den, "links" if count else "classes"), LINKS)
     links = materialize(links, "jaccard-links")
     joined = components(links.select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
-    counts = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
-    known = classes.select("set_hash", "rep", "copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(counts.withColumnRenamed("doc_id", "rep"), "rep", "left")
-    known = known.select("set_hash", "rep", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = classes.select("set_hash", "rep", "copies").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+    if count:
+        known = known.join(links.groupBy("set_hash").agg(F.sum("links").alias("links")), "set_hash", "left")
+    n_links = (F.coalesce("links", F.lit(0)) if count else F.lit(0)) + F.col("copies") - 1
+    known = known.select("set_hash", "rep", F.coalesce("component", "rep").alias("component"), n_links.alias("n_links"))
     rows = base.select("doc_id", "n_shingles", "set_hash").join(known, "set_hash", "left")
     own = lambda c: F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce(c, "doc_id"))
-    return rows.select("doc_id", "n_shingles", own("component").alias("component_id"), own("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = rows.select("doc_id", "n_shingles", own("component").alias("component_id"), own("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows if count else rows.drop("n_links")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -451,25 +489,27 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> Data
     Only doc_ids are shuffled, unless the lists of those that go, or repeat, are too
     long to be broadcast; texts that share a doc_id are compared apart.
     """
+    doc, goes, place = unused(docs, "doc"), unused(docs, "goes"), unused(docs, "place")
     found = materialize(jaccard_components(docs, n, num, den).select("doc_id", "component_id"), "jaccard-found").where("doc_id is not null")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    listed = materialize(gone.withColumn("gone", F.lit(True)).unionByName(twice.withColumn("gone", F.lit(False))).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone")), "jaccard-gone")
-    size, repeats = listed.count(), listed.where("not __gone").count()
-    same = docs["doc_id"].cast("long") == listed["__id"]
-    kept = docs.join(small_side(listed, size), same, "left_anti")
+    listed = gone.withColumn(goes, F.lit(True)).unionByName(twice.withColumn(goes, F.lit(False))).withColumnRenamed("doc_id", doc)
+    listed = materialize(listed, "jaccard-gone")
+    size, repeats = listed.count(), listed.where(~F.col(goes)).count()
+    same = docs["doc_id"].cast("long") == listed[doc]
+    kept = docs.join(small_side(listed, size, 40), same, "left_anti")
     if not repeats:
         return kept
-    again = docs.join(small_side(listed.where("not __gone"), repeats), same)
-    first = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
-    return kept.unionByName(again.withColumn("__place", F.row_number().over(first)).where("__place = 1").select(*docs.columns))
+    again = docs.join(small_side(listed.where(~F.col(goes)), repeats, 40), same)
+    first = Window.partitionBy(doc).orderBy(F.xxhash64("text"))
+    return kept.unionByName(again.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*docs.columns))
 
 
 def jaccard_links(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Pairs (doc_id < other) of linked class representatives; copies aren't expanded."""
     _, classes = _classes(docs, n)
     groups = _grouped(docs, materialize(classes, "jaccard-classes"), n, num, den)
-    found = groups.groupBy(*GROUP).applyInArrow(_join_group(n, num, den, True), LINKS)
+    found = groups.groupBy(*GROUP).applyInArrow(_join_group(n, num, den, "pairs"), LINKS)
     return found.select(F.least("doc_id", "other").alias("doc_id"), F.greatest("doc_id", "other").alias("other"))
 
 

@@ -20,11 +20,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own: on a
+    cluster each executor would write to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-caseloom-", dir="/tmp")
@@ -55,13 +58,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a narrow table (some tens of bytes each) up to which it is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """A narrow table of counted size as a join's side: broadcast if short, else joined by a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small_side(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """A table of ``rows`` counted rows of about ``width`` bytes as a join's side: broadcast if short, else joined by a shuffle."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be none of the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,8 +18,8 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text handled at once; a single longer document makes a longer slice.
 SLICE = 1 << 21
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Places of a word whose bytes have a table of their own; later ones mix the place in.
+PLACES = 64
 
 
 def _scramble(n: int, seed: int) -> np.ndarray:
@@ -30,32 +30,27 @@ def _scramble(n: int, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))) | np.uint64(1)
 
 
-_TABLES = [_scramble(256, 1000 + 7 * lane) for lane in range(2)]
-_LOWER = [t.copy() for t in _TABLES]
-for _t in _LOWER:
-    _t[65:91] = _t[97:123]
-
-
-def powers(n: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The first n (or more) powers of a lane's base and of its inverse, modulo 2^64."""
-    have = _powers.get(lane)
-    if have is None or len(have[0]) < n:
-        size = max(n, SLICE + 1, 0 if have is None else 2 * len(have[0]) if n < 8 * SLICE else n)
-        both = []
-        for base in (_BASES[lane], pow(_BASES[lane], -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = _powers[lane] = (both[0], both[1])
-    return have
-
-
 def finish(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(29))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(32))
 
 
+#: A number for each place and byte, by lane: a word's hash is the sum of its bytes' numbers (tabulation hashing), so
+#: that no two words collide by their structure, as they do with powers of one base modulo 2^64.
+_TABLES = [_scramble(PLACES * 256, 1_000_000 * (lane + 1)).reshape(PLACES, 256) for lane in range(2)]
+_LOWER = [t.copy() for t in _TABLES]
+for _t in _LOWER:
+    _t[:, 65:91] = _t[:, 97:123]
+_PAIR = [(np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))]
+
+
+def _pair(a: np.ndarray, b: np.ndarray, lane: int) -> np.ndarray:
+    """A hash of two runs of words, one after the other or overlapping, from those of each."""
+    x, y = _PAIR[lane]
+    return finish(a * x + ((b >> np.uint64(33)) | (b << np.uint64(31))) * y)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets in them) of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -92,16 +87,26 @@ class Words:
         self.end = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, offs)
         self.count = np.diff(self.first)
+        self._ink: tuple[np.ndarray, np.ndarray] | None = None
 
     def __len__(self) -> int:
         return len(self.start)
 
     def hashes(self, lane: int = 0, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; ``lower`` reads A-Z as a-z."""
-        power, inverse = powers(len(self.buf) + 1, lane)
-        total = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _TABLES)[lane][self.buf] * power[: len(self.buf)], out=total[1:])
-        return finish((total[self.end] - total[self.start]) * inverse[self.start])
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        table = (_LOWER if lower else _TABLES)[lane]
+        size = self.end - self.start
+        head = np.cumsum(size) - size
+        if self._ink is None:  # the words' bytes and their places, which both lanes read
+            ink = self.buf[~_BREAK[self.buf]]
+            self._ink = ink, np.arange(len(ink), dtype=np.int32) - np.repeat(head.astype(np.int32), size)
+        ink, place = self._ink
+        values = table.ravel()[(np.minimum(place, PLACES - 1) << 8) | ink]
+        if len(far := np.flatnonzero(place >= PLACES)):
+            values[far] = finish(finish(values[far] + place[far].astype(np.uint64) * _PAIR[lane][0]) + place[far].astype(np.uint64))
+        return finish(np.add.reduceat(values, head) + size.astype(np.uint64) * _PAIR[lane][1])
 
     def row(self) -> np.ndarray:
         """The row of each word."""
@@ -113,17 +118,33 @@ class Words:
 
 
 class Runs:
-    """Hashes of runs of words in constant time each, from prefix sums of word hashes."""
+    """Hashes of runs of words. Those of 2, 4, 8, ... words are made of two halves; any
+    other run is two such runs that overlap."""
 
     def __init__(self, hashes: np.ndarray, lane: int = 0):
-        power, self._inverse = powers(len(hashes) + 1, lane)
-        self._total = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * power[: len(hashes)], out=self._total[1:])
+        self.lane = lane
+        self._levels = [hashes]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self._levels) <= k:
+            last, half = self._levels[-1], 1 << (len(self._levels) - 1)
+            self._levels.append(_pair(last[: max(0, len(last) - half)], last[half:], self.lane))
+        return self._levels[k]
 
     def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return finish((self._total[hi] - self._total[lo]) * self._inverse[lo] + (hi - lo).astype(np.uint64))
+        """The hash of the words from each ``lo`` up to ``hi``, at least one."""
+        n = hi - lo
+        out = np.empty(len(lo), np.uint64)
+        power = np.frexp(n.astype(np.float64))[1] - 1
+        for k in np.unique(power):
+            own = np.flatnonzero(power == k)
+            level = self._level(int(k))
+            out[own] = _pair(level[lo[own]], level[hi[own] - (1 << int(k))], self.lane)
+        return finish(out + n.astype(np.uint64))
 
     def all(self, n: int) -> np.ndarray:
         """The hash of the ``n`` words from each word on, rows ignored."""
-        m = max(0, len(self._total) - n)
-        return finish((self._total[n:] - self._total[:m]) * self._inverse[:m] + np.uint64(n))
+        k = n.bit_length() - 1
+        level, count = self._level(k), max(0, len(self._levels[0]) - n + 1)
+        shift = n - (1 << k)
+        return finish(_pair(level[:count], level[shift : shift + count], self.lane) + np.uint64(n))

@@ -227,8 +227,10 @@ def test_components_against_brute_force(spark, n, num):
         links[sets[i][0]] += 1
         links[sets[j][0]] += 1
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in jaccard_join.jaccard_components(df, n, num, 100).collect()}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in jaccard_join.jaccard_components(df, n, num, 100, count=True).collect()}
     assert got == {d: (len(s), find(d), links[d]) for d, s in sets}
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_components(df, n, num, 100).collect()}
+    assert got == {d: (len(s), find(d)) for d, s in sets}
 
 
 def test_large_cluster_in_blocks(spark, monkeypatch):
@@ -241,8 +243,13 @@ def test_large_cluster_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 300)
     sets, pairs = brute_links(rows, 3, 80, 100)
     links = Counter(x for p in pairs for x in p)
-    got = {x["doc_id"]: x["n_links"] for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 80, 100).collect()}
+    got = {x["doc_id"]: x["n_links"] for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 80, 100, count=True).collect()}
     assert got == {k: links[k] for k in range(80)}
+    label = list(range(80))
+    for i, j in pairs:
+        label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 80, 100).collect()}
+    assert got == dict(enumerate(label))
     firsts = {d for d, s in sets if not any(t == s for e, t in sets if e < d)}  # copies of one set aren't expanded
     got = {(x["doc_id"], x["other"]) for x in jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 80, 100).collect()}
     assert got == {p for p in pairs if set(p) <= firsts}
@@ -322,12 +329,74 @@ def test_spans_name_their_source(spark):
     shared = w(80)
     a, b = w(30) + shared + w(30), w(10) + shared + w(5)
     df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, None)], "doc_id bigint, text string")
-    got = [tuple(x[c] for c in ("doc_id", "start", "n_words", "source_doc", "source_start")) for x in substring_dedup.repeated_spans(df).collect()]
+    got = [tuple(x) for x in substring_dedup.repeated_spans(df).select("doc_id", "start", "n_words", "source_doc", "source_start").collect()]
     assert got == [(2, 10, 80, 1, 30)]
     kept = {x["doc_id"]: x["kept_text"] for x in substring_dedup.remove_repeats(df, with_text=True).collect()}
     assert kept == {1: " ".join(a), 2: " ".join(b[:10] + b[90:]), 3: ""}
 
 
+def test_spans_of_colliding_hashes_fail_verification(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(90)) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate([*texts, texts[1]])), "doc_id bigint, text string")
+    spans = substring_dedup.candidate_spans(df)
+    false = spark.createDataFrame([(2, 5, 60, 0, 7), (3, 0, 50, 0, 0)], "doc_id bigint, start int, n_words int, source_doc bigint, source_start int")
+    keys = substring_dedup._keyed(df).select("doc_id", "row_key")
+    false = false.join(keys, "doc_id").join(keys.select(F.col("doc_id").alias("source_doc"), F.col("row_key").alias("source_row")), "source_doc")
+    monkeypatch.setattr(substring_dedup, "candidate_spans", lambda docs, window: spans.unionByName(false.select(*spans.columns)))
+    got = {x["doc_id"]: x["n_removed"] for x in substring_dedup.remove_repeats(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 90}
+
+
+def thue_morse(n, a, b):
+    return [(a, b)[k.bit_count() % 2] for k in range(n)]
+
+
+def test_words_and_runs_of_one_structure_differ(spark):
+    """Words, and texts, that powers of any odd base modulo 2^64 can't tell apart."""
+    one, two = "".join(thue_morse(1024, "a", "b")), "".join(thue_morse(1024, "b", "a"))
+    r = random.Random(7)
+    shared = [f"w{r.randrange(10**6)}" for _ in range(49)]
+    rows = [(1, " ".join([*shared, one])), (2, " ".join([*shared, two])), (3, " ".join(thue_morse(2048, "a", "b"))), (4, " ".join(thue_morse(2048, "b", "a"))), (5, one), (6, two)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets, pairs = brute_links(rows, 3, 90, 100)
+    got = {(x["doc_id"], x["other"]) for x in jaccard_join.jaccard_links(df).collect()}
+    assert got == {(sets[i][0], sets[j][0]) for i, j in pairs if sets[i][1] != sets[j][1]} and (5, 6) not in got
+    got = {x["doc_id"]: x["n_removed"] for x in substring_dedup.remove_repeats(df).collect()}
+    own = {d: words(t) for d, t in rows}
+    windows = lambda w: {tuple(w[i : i + 50]) for i in range(len(w) - 49)}
+    for d, w in own.items():
+        before = set().union(*(windows(v) for e, v in own.items() if e < d))
+        gone = {k for i in range(len(w) - 49) if tuple(w[i : i + 50]) in before for k in range(i, i + 50)}
+        assert got[d] == len(gone), d
+    bench = spark.createDataFrame([(9, " ".join(["item", "of", two, "and", "more", "words"]))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"item of {one} and more words"), (2, f"item of {two} and more words")], "doc_id bigint, text string")
+    assert [x["doc_id"] for x in decontamination.leaks(docs, bench).collect()] == [2]
+
+
+def test_hub_edges_stay_apart(spark, monkeypatch):
+    from caseloom.llm import graph
+
+    monkeypatch.setattr(graph, "LEAST_HUB", 5)
+    r = random.Random(4)
+    pairs = [(0, k) for k in range(1, 60)] + [(r.randrange(60, 200), r.randrange(60, 200)) for _ in range(90)] + [(k, 500) for k in range(300, 340)] + [(k, k + 1) for k in range(400, 440)]
+    label = {k: k for p in pairs for k in p}
+    for a, b in pairs * 2:
+        x, y = label[a], label[b]
+        label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+    got = {x["node"]: x["component"] for x in graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {k: v for k, v in label.items() if any(k in p and p[0] != p[1] for p in pairs)}
+
+
+def test_names_that_the_operators_use(spark, odd):
+    clash = odd.select("doc_id", "text", "lang", "source", *[F.lit("x").alias(c) for c in ("__id", "__gone", "__place", "doc", "_doc", "goes", "place", "key", "row", "words", "gone")])
+    assert jaccard_join.keep_one(clash).columns == clash.columns
+    benchmark = spark.createDataFrame([(1, "nothing that occurs there at all")], "item_id bigint, text string")
+    assert decontamination.decontaminate(clash, benchmark).count() == clash.count()
+    applied = mixing.apply_mix(clash, mixing.mix_sources(clash))
+    assert applied.columns == clash.columns and applied.count() > 0
+
+
 def test_dedup_of_odd_rows(spark, odd, none):
     got = substring_dedup.remove_repeats(odd).collect()
     assert len(got) == odd.count() and all(0 <= r["n_removed"] <= r["n_words"] for r in got)
