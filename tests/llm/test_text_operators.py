@@ -156,12 +156,28 @@ def test_applied_mix_has_the_words_taken(spark, once, none):
     mixed = mixing.mix_sources(docs)
     want = {r["doc_id"]: r["taken"] for r in mixed.where("taken > 0").collect()}
     got = Counter()
-    applied = mixing.apply_mix(docs, mixed)
+    applied = mixing.mix_documents(docs)
     assert applied.columns == docs.columns
     for r in applied.collect():
         got[r["doc_id"]] += len(words(r["text"]))
     assert dict(got) == want
-    assert mixing.mix_sources(none).count() == 0 and mixing.apply_mix(none, mixing.mix_sources(none)).count() == 0
+    assert mixing.mix_sources(none).count() == 0 and mixing.mix_documents(none).count() == 0
+
+
+def test_equal_rows_are_taken_alike(spark):
+    """Two sources, all rows of one equal: as many words come out as the mix takes."""
+    rows = [(1, "a b c d e f g h i j", "x")] * 7 + [(k, f"w{k} " * 20, "y") for k in range(20)] + [(99, None, "y"), (98, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    for weights in ((5, 2, 1), (1, 5, 1), (3, 4, 2)):
+        taken, got = Counter(), Counter()
+        target = {}
+        for r in mixing.mix_sources(docs, weights).collect():
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        for r in mixing.mix_documents(docs, weights).collect():
+            got[r["source"]] += len(words(r["text"]))
+        assert dict(got) == {k: v for k, v in taken.items() if v}
+        assert all(0 <= int(target[k] + 1e-9) - taken[k] < (7 if k == "x" else 1) for k in target), weights
 
 
 # 5: quality classifier
@@ -393,7 +409,7 @@ def test_names_that_the_operators_use(spark, odd):
     assert jaccard_join.keep_one(clash).columns == clash.columns
     benchmark = spark.createDataFrame([(1, "nothing that occurs there at all")], "item_id bigint, text string")
     assert decontamination.decontaminate(clash, benchmark).count() == clash.count()
-    applied = mixing.apply_mix(clash, mixing.mix_sources(clash))
+    applied = mixing.mix_documents(clash)
     assert applied.columns == clash.columns and applied.count() > 0
 
 
