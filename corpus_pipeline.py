@@ -38,7 +38,7 @@ def remove_leaks(spark, docs, sf_dir):
 
 def mix_to_targets(spark, docs, sf_dir):
     """Rows as the mix takes them: whole copies, then the part up to a source's budget."""
-    return mixing.apply_mix(docs, mixing.mix_sources(docs))
+    return mixing.mix_documents(docs)
 
 
 def write_token_ids(spark, docs, sf_dir):
