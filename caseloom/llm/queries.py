@@ -11,7 +11,7 @@ from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import op10_secret_scan
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .token_output import op7_token_output
-from .url_filters import op2_url_filters
+from .url_filters import OP2_SQL, op2_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL}

@@ -23,8 +23,13 @@ def test_odd_rows_equal_sql(name, spark, odd, tmp_path):
     if name in ("op6_jaccard_join", "op8_substring_dedup"):
         kept = kept.dropDuplicates(["doc_id"])  # their SQL tells rows apart by doc_id
     kept.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    urls = ["http://a.b.co.uk/1", "http://a.b.co.uk/2?x", "http://c.b.co.uk/3/", "HTTP://d.com/4", "http://d.com/5.html", "x://e.f.d.com/6#t", "x://co.uk/7", "x://com/8", "x://./9", "x:///1", None, "", "none", "http://q.example.net/en/3", "http://q.net/3", "http://é.org/fr/2", "x://" + "w" * 9000 + ".org/2"]
+    spark.createDataFrame([(k % 15, u, 1) for k, u in enumerate(urls + urls[:3])], "page_id bigint, url string, host int").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    labels = [(k, q, t) for k, (q, t) in enumerate([(1, 0), (1, 0), (0, 0), (1, 1), (None, 0), (1, None), (0, 1), (1, 0), (1, 0)])] + [(1, 0, 0), (None, 1, 1)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     same_as_sql(queries.QUERIES[name](spark, str(tmp_path)), con, queries.ORACLES[name])
 
 

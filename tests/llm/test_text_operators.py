@@ -73,6 +73,45 @@ def test_hosts_without_a_label_take_the_prior_above(spark):
     assert got[4]["mean"] == labelled["h0.good.org"]["mean"]
 
 
+def test_sparse_and_dense_hosts_get_both_verdicts(spark):
+    """Known answers by the posterior, at the default wanted share, against a plain computation of it."""
+    rows = [("dense.bad.com", 0)] * 80 + [("dense.fine.com", 1)] * 80 + [("thin.fine.com", 0)] + [(f"h{k % 5}.poor.co.uk", int(k % 9 == 0)) for k in range(90)] + [(f"h{k % 5}.good.co.uk", 1) for k in range(90)]
+    urls = {k: f"https://{h}/a" for k, h in enumerate(["dense.bad.com", "dense.fine.com", "thin.fine.com", "h1.poor.co.uk", "new.poor.co.uk", "h1.good.co.uk", "new.good.co.uk", "unseen.co.uk"])}
+    pages = spark.createDataFrame([*urls.items(), (0, urls[0])], "page_id bigint, url string").withColumn("host", F.lit("clash")).withColumn("good", F.lit(7))
+    outcomes = spark.createDataFrame(rows, "host string, good int")
+    got = url_filters.filter_urls(pages, outcomes).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"} and len(got) == 9
+
+    def strength(units):
+        n, good, k = sum(u[0] for u in units), sum(u[1] for u in units), len(units)
+        m = good / n
+        v = (sum(g * g / u for u, g in units) - n * m * m - (k - 1) * m * (1 - m)) / n
+        return n, good, min(max(m * (1 - m) / v - 1, 1), 1000) if k > 1 and v > 0 else 1000
+
+    counts = Counter(h for h, _ in rows)
+    good = Counter(h for h, g in rows if g)
+    suffix = lambda h: "co.uk" if h.endswith(".co.uk") else "com"
+    domain = lambda h: h.split(".", 1)[1]
+    domains = {d: strength([(counts[h], good[h]) for h in counts if domain(h) == d]) for d in map(domain, counts)}
+    suffixes = {x: strength([v[:2] for d, v in domains.items() if suffix("a." + d) == x]) for x in map(suffix, counts)}
+    n, g, s_all = strength([v[:2] for v in suffixes.values()])
+    m_all = (g + 1) / (n + 2)
+    for r in url_filters.host_reputation(outcomes).collect():
+        x, d = suffixes[suffix(r["host"])], domains[domain(r["host"])]
+        m = (d[1] + (x[1] + m_all * s_all) / (x[0] + s_all) * x[2]) / (d[0] + x[2])
+        assert r["mean"] == pytest.approx((good[r["host"]] + m * d[2]) / (counts[r["host"]] + d[2])) and r["overall"] == pytest.approx(m_all)
+    none = pages.limit(0)
+    assert url_filters.filter_urls(none, outcomes).count() == 0
+    assert {r["verdict"] for r in url_filters.filter_urls(pages, outcomes.limit(0)).collect()} == {"allow"}
+
+
+def test_many_rules(spark):
+    rules = [(f"site{k}.org/a/{k}", ("block", "allow")[k % 2]) for k in range(1200)]
+    pages = spark.createDataFrame([(k, f"http://x.site{k}.org/a/{k}{'x' * (k % 3)}") for k in (0, 1, 599, 1198, 1199)], "page_id bigint, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(pages, spark.createDataFrame([], "host string, good int"), rules).collect()}
+    assert got == {0: "block", 1: "allow", 599: "allow", 1198: "block", 1199: "allow"}
+
+
 # 3: language identification
 
 
