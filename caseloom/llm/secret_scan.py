@@ -1,13 +1,13 @@
-"""Secret scans: fixed patterns, and a character network over every other candidate.
+"""Secret scans: fixed patterns, and a character network over every candidate.
 
-Candidates are runs of key-like characters. The patterns decide some of them
-outright; a convolutional network in numpy reads every further candidate with the
-text around it. It is trained on labelled findings: what the patterns found in a
+Candidates are runs of key-like characters: keys, but also addresses, numbers, paths and names with
+digits. A convolutional network in numpy reads every one with the text around it. What a pattern
+matches stays a finding whatever the network says; of the others it decides. It is trained on labelled findings: what the patterns found in a
 bounded sample of the corpus and findings written by rule are positive,
 plain candidates that look like names, numbers, paths and identifiers are negative. Other
 candidates of the corpus have no label and aren't learnt from. Its
-threshold is set on findings that it didn't learn from, after Platt scaling: the
-largest that keeps the recall asked for, whatever precision that leaves.
+threshold is set on findings that it didn't learn from, after Platt scaling: at most the
+largest that keeps the recall asked for, whatever precision that leaves, and lower as far as the precision asked for allows.
 """
 
 from __future__ import annotations
@@ -35,16 +35,16 @@ _ASSIGN_LEAST = 12
 _WORDS = ("password", "passwd", "secret", "token", "api")
 
 #: A candidate: a run of these characters with a digit in it.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.@-]{12,}")
 _DIGIT = re.compile(r"[0-9]")
-#: A piece of a candidate: paths and assignments join several into one run.
-PIECE = re.compile(r"[A-Za-z0-9+_-]{16,}")
+#: A piece of a candidate: paths, addresses and assignments join several into one run.
+PIECE = re.compile(r"[A-Za-z0-9+_-]{12,}")
 #: Characters that the network reads at once of a candidate, and of the text before and after. Longer ones
 #: are read in windows that overlap, so that any STEP characters in a row stand whole in one of them.
 INSIDE, BEFORE, AFTER, STEP = 40, 24, 16, 20
 #: Bounds of the fit: findings from the corpus of either label, and written ones.
 SAMPLE, WRITTEN = 2000, 3000
-RECALL = 0.98
+RECALL, PRECISION = 0.98, 0.99
 _SEED = 11
 
 _CLASSES = np.full(0x10000, 1, np.uint8)  # 0: beyond the end, 1: any other character
@@ -69,18 +69,14 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text) if _DIGIT.search(text, m.start(), m.end())]
 
 
-def further_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Candidates that no base span overlaps."""
-    own = candidates(text)
+def apart(own: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which candidates no base span overlaps."""
     if not own or not base:
-        return own
+        return np.ones(len(own), bool)
     starts, ends = np.array([s for s, _, _ in base]), np.maximum.accumulate(np.array([e for _, e, _ in base]))
-    kept = []
-    for s, e in own:
-        k = int(np.searchsorted(starts, e)) - 1
-        if k < 0 or ends[k] <= s:
-            kept.append((s, e))
-    return kept
+    s, e = np.array(own).T
+    before = np.searchsorted(starts, e) - 1  # the last base span that begins before the candidate's end
+    return (before < 0) | (ends[np.maximum(before, 0)] <= s)
 
 
 def windows(text: str, s: int, e: int) -> list[tuple[int, int]]:
@@ -184,7 +180,7 @@ class Network:
         np.add.at(g["embed"], x.ravel(), de.reshape(-1, self.EMBED))
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 128, rate: float = 3e-3, seed: int = _SEED) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 128, rate: float = 3e-3, seed: int = _SEED) -> None:
         """Adam over shuffled batches; the same data and seed give the same network."""
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
@@ -199,8 +195,9 @@ class Network:
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
 
-    def calibrate(self, items: Encoded, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling, then the largest threshold that keeps ``recall`` of the positives."""
+    def calibrate(self, items: Encoded, y: np.ndarray, recall: float = RECALL, precision: float = PRECISION) -> None:
+        """Platt scaling, then the largest threshold that keeps ``recall`` of the positives, or the least one above
+        which ``precision`` of the findings are positives if that lies lower: keys unlike those learnt score lower."""
         s = self.logits(items).astype(np.float64)
         a, b = 1.0, 0.0
         n1, n0 = int(y.sum()), int(len(y) - y.sum())
@@ -217,22 +214,30 @@ class Network:
         chance = self.probability(items)
         positive = np.sort(chance[y > 0])
         if len(positive):
-            self.threshold = float(positive[int(np.floor((1 - recall) * len(positive)))])
+            cut = float(positive[int(np.floor((1 - recall) * len(positive)))])
+            order = np.argsort(-chance, kind="stable")
+            share = np.cumsum(y[order] > 0) / np.arange(1, len(order) + 1)
+            clean = chance[order][share >= precision]
+            self.threshold = min(cut, float(clean[-1])) if len(clean) else cut
             hit = chance >= self.threshold
             self.recall, self.precision = float(hit[y > 0].mean()), float((y[hit] > 0).mean())
 
 
-def written_findings(n: int, seed: int = _SEED) -> list[tuple[str, int, int, int]]:
+def written_findings(n: int, seed: int = _SEED, hidden: str | None = None) -> list[tuple[str, int, int, int]]:
     """(text, start, end, label): half random keys in places where keys stand, half
-    candidates that aren't keys (compound names, dates, numbers, paths, versions)."""
+    candidates that aren't keys (compound names, dates, numbers, paths, versions, addresses).
+    Keys of the kind ``hidden`` aren't written."""
     r = random.Random(seed)
     letters = string.ascii_letters + string.digits
     word = lambda lo=3, hi=9: "".join(r.choice("etaoinshrdlucmfwypvbgk") for _ in range(r.randint(lo, hi)))
     keys = ("key", "secret", "token", "auth", "bearer", "credential", "private_key", "client_secret", "pwd", "access", "sig")
+    lower = string.digits + "abcdef"
+    alphabets = [letters, letters + "+/", letters + "-_", string.hexdigits, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, *[lower] * (hidden != "hex")]
     out = []
     for k in range(n):
         if k % 2:
-            alphabet = r.choice((letters, letters + "+/", letters + "-_", string.hexdigits, string.ascii_uppercase + string.digits))
+            # Some keys use digits and a few letters only, whichever those are.
+            alphabet = r.choice(alphabets) if r.random() < 0.8 else string.digits + "".join(r.sample(string.ascii_lowercase, r.randint(5, 10)))
             body = "".join(r.choice(alphabet) for _ in range(r.randint(16, 64)))
             if not any(c.isdigit() for c in body):
                 body = body[:-1] + r.choice(string.digits)
@@ -240,7 +245,7 @@ def written_findings(n: int, seed: int = _SEED) -> list[tuple[str, int, int, int
             lead = f"{word()} {r.choice(keys)}{r.choice((' = ', ': ', '=', ' ', ' is '))}" if r.random() < 0.7 else f"{word()} {word()} "
         else:
             join = r.choice(("_", "-", "/"))
-            style = r.randrange(6)
+            style = r.randrange(9)
             if style == 0:
                 body = join.join([*(word() for _ in range(r.randint(3, 6))), str(r.randint(0, 2050))])
             elif style == 1:
@@ -251,8 +256,14 @@ def written_findings(n: int, seed: int = _SEED) -> list[tuple[str, int, int, int
                 body = "".join(word().capitalize() for _ in range(r.randint(3, 5))) + str(r.randint(0, 99))
             elif style == 4:
                 body = word(4, 8) + "=" * r.randint(8, 20) + str(r.randint(1, 9))
-            else:
+            elif style == 5:
                 body = "/".join(word() for _ in range(r.randint(3, 6))) + f"/v{r.randint(1, 9)}"
+            elif style == 6:
+                body = f"{word(3, 14)}{r.choice(('.', '_', ''))}{r.randint(0, 99)}@{word()}{r.choice(('', str(r.randint(1, 9))))}.{word()}.{word(2, 3)}"
+            elif style == 7:
+                body = ".".join(str(r.randint(100, 255)) for _ in range(4))
+            else:
+                body = ".".join([word(), word() + str(r.randint(0, 99)), word(), word(2, 3)])
             body += "0" * (16 - len(body)) if len(body) < 16 else ""
             lead = f"{word()} {r.choice(('the', 'in', 'file', 'page', 'no', 'see', 'id', *keys[:3]))} " if r.random() < 0.7 else f"{word()} {word()}, "
         text = f"{lead}{body} {word()}"
@@ -281,40 +292,47 @@ def embedded_findings(n: int, seed: int = _SEED) -> list[tuple[str, int, int, in
 
 #: Shapes of the written findings that aren't keys. A candidate of the corpus that no pattern knows and that
 #: hasn't one of them may be a key: nobody has labelled it, so it is no negative.
-PLAIN = re.compile(r"[0-9]+|[a-z]{2,}(?:[_/-][a-z]{2,})+(?:[_/-]v?[0-9]{1,4})?0*|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:-[a-z]+)?0*|(?:[A-Z][a-z]{2,}){2,}[0-9]{0,2}0*|[a-z]{2,}=+[0-9]0*")
+PLAIN = re.compile(r"[0-9]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[^\W_]+(?:[._][0-9]*)?@[^\W_]+(?:\.[^\W_]+)+|[^\W\d_]{2,}[0-9]{0,2}(?:\.[^\W\d_]{2,}[0-9]{0,2})+|[a-z]{2,}(?:[_/-][a-z]{2,})+(?:[_/-]v?[0-9]{1,4})?0*|[0-9]{4}-[0-9]{2}-[0-9]{2}(?:-[a-z]+)?0*|(?:[A-Z][a-z]{2,}){2,}[0-9]{0,2}0*|[a-z]{2,}=+[0-9]0*")
 FINDINGS = "snippet string, start int, stop int, label int, unit long"
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled(hidden: str | None):
     """What the patterns found (label 1) and other candidates, as snippets: those of plain shapes (0), and the rest (-1),
-    whose surroundings serve only."""
-    for batch in batches:
-        rows = []
-        for text in batch.column("text").to_pylist():
-            text = text or ""
-            base = base_spans(text)
-            spans = [(m.start(2), m.end(2), 1) for m in ASSIGN.finditer(text)] if any(k == 0 for _, _, k in base) else []
-            spans = [s for s in spans if s[1] - s[0] >= _ASSIGN_LEAST] + [(s, e, 1) for s, e, k in base if k]
-            # A long run of nothing but digits is a number, not a key: the network must learn to leave it.
-            spans = [(s, e, int(not text[s:e].isdigit())) for s, e, _ in spans] + [(s, e, 0 if PLAIN.fullmatch(text, s, e) else -1) for s, e in further_candidates(text, base)]
-            for s, e, label in spans:
-                lo, hi = max(0, s - BEFORE), min(e, s + 512)
-                snippet = text[lo : hi + AFTER]
-                unit = int.from_bytes(hashlib.blake2b(snippet.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
-                rows.append((snippet, s - lo, hi - lo, label, unit))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["snippet", "start", "stop", "label", "unit"])
-
-
-def train(docs: DataFrame, rows: int = 4000, sample: int = SAMPLE, recall: float = RECALL) -> Network:
+    whose surroundings serve only. A ``hidden`` kind counts among the rest."""
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                text = text or ""
+                base = base_spans(text)
+                spans = [(m.start(2), m.end(2), 0) for m in ASSIGN.finditer(text)] if any(k == 0 for _, _, k in base) else []
+                spans = [s for s in spans if s[1] - s[0] >= _ASSIGN_LEAST] + [s for s in base if s[2]]
+                own = candidates(text)
+                rest = [c for c, free in zip(own, apart(own, base)) if free]
+                # A long run of nothing but digits is a number, not a key: the network must learn to leave it.
+                known = [(s, e, 0 if text[s:e].isdigit() else -1 if KINDS[k] == hidden else 1) for s, e, k in spans]
+                for s, e, label in known + [(s, e, 0 if PLAIN.fullmatch(text, s, e) else -1) for s, e in rest]:
+                    lo, hi = max(0, s - BEFORE), min(e, s + 512)
+                    snippet = text[lo : hi + AFTER]
+                    unit = int.from_bytes(hashlib.blake2b(snippet.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "little")
+                    rows.append((snippet, s - lo, hi - lo, label, unit))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["snippet", "start", "stop", "label", "unit"])
+
+    return rows_of
+
+
+def train(docs: DataFrame, rows: int = 4000, sample: int = SAMPLE, recall: float = RECALL, hidden: str | None = None) -> Network:
     """Fit on findings from about ``rows`` documents (drawn by a hash of the doc_id)
-    and on WRITTEN ones; at most ``sample`` findings of either label are used."""
+    and on WRITTEN ones; at most ``sample`` findings of either label are used.
+    What the pattern ``hidden`` finds isn't learnt from: a measure of keys that no pattern knows."""
     n = docs.count()
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(1 << 53))
-    drawn = docs.where(unit < min(1.0, rows / max(1, n))).select("text").mapInArrow(_labelled, FINDINGS)
+    drawn = docs.where(unit < min(1.0, rows / max(1, n))).select("text").mapInArrow(_labelled(hidden), FINDINGS)
     drawn = materialize(drawn.distinct(), "secret-findings")
     found = [r for k in (0, 1, -1) for r in drawn.where(F.col("label") == k).orderBy("unit", "snippet", "start").limit(sample).collect()]
     items = [(r["snippet"], r["start"], r["stop"], r["label"], r["start"], r["stop"]) for r in found if r["label"] >= 0]
-    written = [(*f, *f[1:3]) for f in written_findings(WRITTEN)] + embedded_findings(WRITTEN // 3)
+    written = [(*f, *f[1:3]) for f in written_findings(WRITTEN, hidden=hidden)] + embedded_findings(WRITTEN // 3)
     # Half of the written ones of either label stand in surroundings of the corpus, which then tell nothing by themselves.
     places, r = [(f["snippet"][: f["start"]], f["snippet"][f["stop"] :]) for f in found], random.Random(_SEED)
     for k, (text, s, e, label, lo, hi) in enumerate(written):
@@ -346,26 +364,29 @@ def _window_labels(items: list[tuple[str, int, int, int, int, int]]) -> tuple[np
 
 @dataclass
 class Scan:
+    """Base spans, all spans with the network's, and the probability of every candidate (start, end)."""
+
     base: list[tuple[int, int, int]]
     spans: list[tuple[int, int, int]]
+    scores: list[tuple[int, int, float]]
 
 
 def scan_texts(texts: list[str], network: Network) -> list[Scan]:
-    """The base spans of each text, and all spans with the network's."""
-    out, items, owner = [], [], []
+    """Every candidate is scored; those that overlap a base span add none, whatever their score."""
+    out, items, owner, free = [], [], [], []
     for k, text in enumerate(texts):
-        base = base_spans(text)
-        out.append(Scan(base, base))
-        for s, e in further_candidates(text, base):
-            items.append((text, s, e))
-            owner.append(k)
-    if items:
-        hit = network.probability(encode(items)) >= network.threshold
-        for (_, s, e), k, h in zip(items, owner, hit):
-            if h:
-                out[k] = Scan(out[k].base, [*out[k].spans, (s, e, 3)])
-        for k in {k for k, h in zip(owner, hit) if h}:
-            out[k] = Scan(out[k].base, sorted(out[k].spans, key=lambda s: (s[0], s[2])))
+        base, own = base_spans(text), candidates(text)
+        out.append(Scan(base, list(base), []))
+        items += [(text, s, e) for s, e in own]
+        owner += [k] * len(own)
+        free += apart(own, base).tolist()
+    chance = network.probability(encode(items)) if items else []
+    for (_, s, e), k, own, p in zip(items, owner, free, chance):
+        out[k].scores.append((s, e, float(p)))
+        if own and p >= network.threshold:
+            out[k].spans.append((s, e, 3))
+    for scan in out:
+        scan.spans.sort(key=lambda s: (s[0], s[2]))
     return out
 
 
@@ -373,14 +394,15 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{s}:{e}" for s, e, k in spans])
 
 
-SCANNED = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
+SCANNED = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_network bigint, n_candidates bigint, top_score double"
 
 
 def find_secrets(docs: DataFrame, network: Network) -> DataFrame:
     """One row for every row of docs: counts of the patterns, a digest of their spans
     and all spans (``kind:start:end`` in code points, ends exclusive, by start and
-    then kind). Null and empty texts have none; repeated rows are alike. Whole texts
-    are read in one pass without a shuffle.
+    then kind), how many of them the network added, the candidates it scored and the highest score
+    (null without one). Null and empty texts have none; repeated rows are alike; an empty table gives
+    an empty result; other columns are ignored. Whole texts, of any length, are read in one pass without a shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand weights
 
@@ -391,8 +413,9 @@ def find_secrets(docs: DataFrame, network: Network) -> DataFrame:
                 found = scan_texts([t or "" for t in part.column("text").to_pylist()], shared.value)
                 counts = [[sum(k == kind for _, _, k in f.base) for f in found] for kind in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(spell(f.base).encode()).hexdigest() for f in found]), pa.array([spell(f.spans) for f in found])],
-                    names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                    [part.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(spell(f.base).encode()).hexdigest() for f in found]), pa.array([spell(f.spans) for f in found])]
+                    + [pa.array([len(f.spans) - len(f.base) for f in found], pa.int64()), pa.array([len(f.scores) for f in found], pa.int64()), pa.array([max((p for _, _, p in f.scores), default=None) for f in found], pa.float64())],
+                    names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_network", "n_candidates", "top_score"],
                 )
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

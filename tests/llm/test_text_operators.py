@@ -547,6 +547,36 @@ def test_network_on_findings_it_did_not_see(spark, odd, none):
     assert got["n_assign"] == 1 and got["spans"].startswith("assign:4:32") and got["base_sha256"] == hashlib.sha256(b"assign:4:32").hexdigest()
 
 
+def test_a_hidden_kind_is_found_and_addresses_are_left(spark, sf_dir):
+    """The network trained without one pattern's findings still scores those as keys, and leaves plain shapes."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    r = random.Random(12)
+    upper, lower = string.ascii_uppercase + string.digits, string.digits + "abcdef"
+    fresh = {"access": [f"then we saw AKIA{''.join(r.choice(upper) for _ in range(r.randint(14, 20)))} in the file" for _ in range(300)], "hex": [f"then we saw {''.join(r.choice(lower) for _ in range(r.randint(24, 48)))}a0 in the file" for _ in range(300)]}
+    for kind, least in (("access", 0.9), ("hex", 0.6)):
+        network = secret_scan.train(docs, hidden=kind)
+        found, plain = [], []
+        texts = [x["text"] or "" for x in docs.select("text").collect()] + fresh[kind]
+        for text, scan in zip(texts, secret_scan.scan_texts(texts, network)):
+            for s, e, p in scan.scores:
+                if any(secret_scan.KINDS[k] == kind and a < e and b > s for a, b, k in scan.base) and not text[s:e].isdigit():
+                    found.append(p >= network.threshold)
+                elif secret_scan.PLAIN.fullmatch(text, s, e):
+                    plain.append(p >= network.threshold)
+        print(kind, np.mean(found), np.mean(plain), network.threshold, network.recall, network.precision)
+        assert len(found) >= 290 and np.mean(found) >= least
+        assert len(plain) > 10 and np.mean(plain) <= 0.05
+
+
+def test_scans_of_long_and_repeated_rows(spark, odd):
+    network = secret_scan.train(odd)
+    long = "word " * 400_000 + 'api_key = "abcdef0123456789abcd" ' + "x/" * 50_000 + "9"
+    rows = [(1, long), (1, long), (2, ""), (3, None)]
+    got = secret_scan.find_secrets(spark.createDataFrame([(*r, "c") for r in rows], "doc_id bigint, text string, spans string"), network).collect()
+    one = [tuple(r) for r in got if r["doc_id"] == 1]
+    assert len(got) == 4 and one[0] == one[1] and one[0][1] == 1 and one[0][3] == 1 and {r["spans"] for r in got if r["doc_id"] > 1} == {""}
+
+
 def test_every_place_of_a_candidate_is_read():
     for n in (16, 40, 41, 60, 61, 333):
         got = secret_scan.windows("/" * 5 + "a" * n + " ", 5, 5 + n)
