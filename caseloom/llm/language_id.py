@@ -48,7 +48,7 @@ def _letter_codes() -> np.ndarray:
     return _codes
 
 
-def gram_batches(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def gram_batches(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first text, rows, n-gram hashes, whether each text has a letter) for slices of texts.
 
     Texts are lower-cased, all that is no letter reads as one mark between words;

@@ -6,12 +6,12 @@ in it, and neighbouring windows with one minimizer form a nonbranching run of
 edges: equal windows have equal minimizers, so two documents can only share a
 window inside runs of the same mer. The graph is kept as one row a run (mer,
 digest of the run's words, document, coordinates), about W/2 times smaller than
-the edges. Spark joins compact it: runs with equal hashes are one path whose
+the edges. Spark joins compact it: runs with equal digests are one path whose
 source is the least document that holds it. Only where different runs meet at a
 mer (a branch: texts that diverge within W words) are single windows looked at,
 and only those of a run's source. What continues in a document and in its source is
-one span, and each span is verified: a digest of the words at its source coordinates, read
-from the source's text, must equal that of the document's own words.
+one span. Runs and windows are compared by a cryptographic digest (BLAKE2b, 128 bits) of the words that
+stand at their coordinates, not by the hashes that choose minimizers: a span is its source's words.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_side, table
+from .shared import materialize, table
 from .text_arrays import Runs, Words, text_slices
 
 #: Words of a mer, the content-defined anchor of a window.
@@ -61,7 +61,23 @@ def _anchors(words: Words, mers: np.ndarray, window: int) -> tuple[np.ndarray, n
     return starts[at], starts[np.append(at[1:], len(starts)) - 1], anchor[at]
 
 
-RUNS = "mer bigint, run bigint, doc_id bigint, row_key bigint, s int, e int"
+RUNS = "mer bigint, run binary, doc_id bigint, row_key bigint, s int, e int"
+
+
+def _digests(words: Words, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    """Digests of the words from each ``lo`` up to ``hi``, one space between them."""
+    if not len(lo):
+        return pa.array([], pa.binary())
+    # The slice's words with one space after each: a run of words is then a run of bytes.
+    size = words.end - words.start + 1
+    stop = np.cumsum(size)
+    at = np.repeat(words.start - (stop - size), size) + np.arange(stop[-1])
+    at[stop - 1] = 0
+    spaced = words.buf[at]
+    spaced[stop - 1] = 32
+    view = memoryview(spaced)
+    digest = hashlib.blake2b
+    return pa.array([digest(view[i:j], digest_size=16).digest() for i, j in zip((stop - size)[lo].tolist(), stop[hi - 1].tolist())], pa.binary())
 
 
 def _runs(window: int):
@@ -70,7 +86,6 @@ def _runs(window: int):
             ids, keys = batch.column("doc_id"), batch.column("row_key")
             for lo, _, buf, offs in text_slices(batch.column("text")):
                 words = Words(buf, offs)
-                # Two lanes of hashes: a path is known by its mer and its words, 128 bits.
                 s, e, a = _anchors(words, mers := Runs(words.hashes(0)).all(MER), window)
                 if not len(s):
                     continue
@@ -78,15 +93,14 @@ def _runs(window: int):
                 base = words.first[row]
                 take = pa.array(lo + row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.view(np.int64)) for x in (mers[a], Runs(words.hashes(1), 1).between(s, e + window))]
-                    + [ids.take(take), keys.take(take), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32))],
+                    [pa.array(mers[a].view(np.int64)), _digests(words, s, e + window), ids.take(take), keys.take(take), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32))],
                     names=["mer", "run", "doc_id", "row_key", "s", "e"],
                 )
 
     return rows
 
 
-WINDOWS = "w1 bigint, w2 bigint, doc_id bigint, row_key bigint, s int"
+WINDOWS = "window binary, doc_id bigint, row_key bigint, s int"
 
 
 def _windows(window: int):
@@ -105,23 +119,16 @@ def _windows(window: int):
                 size = e - s + 1
                 at = np.repeat(s + words.first[row], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 take = np.repeat(row, size)
-                w1, w2 = Runs(words.hashes(0)).between(at, at + window), Runs(words.hashes(1), 1).between(at, at + window)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), ids.take(pa.array(lo + take)), keys.take(pa.array(lo + take)), pa.array((at - words.first[take]).astype(np.int32))],
-                    names=["w1", "w2", "doc_id", "row_key", "s"],
+                    [_digests(words, at, at + window), ids.take(pa.array(lo + take)), keys.take(pa.array(lo + take)), pa.array((at - words.first[take]).astype(np.int32))],
+                    names=["window", "doc_id", "row_key", "s"],
                 )
 
     return rows
 
 
-def _short(lists: DataFrame, column: str, width: int) -> DataFrame:
-    """``lists`` (doc_id, row_key and an array of items of ``width`` bytes) as a join's side: if short, no text is shuffled."""
-    held = lists.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("items")).first()
-    return small_side(lists, 1, 40 * held["n"] + width * held["items"])
-
-
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
-    """Ranges of window starts whose words, by their hashes, also start in a document with a smaller
+    """Ranges of window starts whose words also start in a document with a smaller
     doc_id: doc_id, row_key, s, e, source (doc_id, row_key, s: where the range's first
     window starts in the source). Null doc_ids take no part."""
     keyed = _keyed(docs)
@@ -135,16 +142,15 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     hits = runs.join(shared, key).where("source.doc_id < doc_id or n_runs > 1")
     hits = materialize(hits.select("doc_id", "row_key", "s", "e", F.when(F.col("source.doc_id") < F.col("doc_id"), F.col("source")).alias("source")), "dedup-paths")
     branches = hits.where("source is null").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    branches = materialize(branches, "dedup-branches")
-    windows = keyed.join(_short(branches, "runs", 24), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "runs").mapInArrow(_windows(window), WINDOWS)
+    windows = keyed.join(branches, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "runs").mapInArrow(_windows(window), WINDOWS)
     windows = materialize(windows, "dedup-windows")
-    first = windows.groupBy("w1", "w2").agg(F.min(place).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last")
-    single = windows.join(first, ["w1", "w2"]).where("source.doc_id < doc_id")
+    first = windows.groupBy("window").agg(F.min(place).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last")
+    single = windows.join(first, "window").where("source.doc_id < doc_id")
     return hits.where("source is not null").unionByName(single.select("doc_id", "row_key", "s", F.col("s").alias("e"), "source"))
 
 
-def candidate_spans(docs: DataFrame, window: int = 50) -> DataFrame:
-    """Maximal spans of repeated windows with source coordinates, not yet verified: doc_id, row_key,
+def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
+    """Maximal spans of repeated windows with source coordinates: doc_id, row_key,
     start, n_words, source_doc, source_row, source_start. Ranges that continue each
     other in the document and in the same source are one span."""
     found = repeated_windows(docs, window).select("doc_id", "row_key", "s", "e", F.col("source.doc_id").alias("source_doc"), F.col("source.row_key").alias("source_row"), (F.col("source.s") - F.col("s")).alias("shift")).distinct()
@@ -156,91 +162,45 @@ def candidate_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     return spans.select("doc_id", "row_key", "start", (F.col("e") + window - F.col("start")).alias("n_words"), "source_doc", "source_row", (F.col("start") + F.col("shift")).alias("source_start"))
 
 
-def _digest(words: list[bytes], start: int, n: int) -> bytes:
-    """Of the words themselves: words hold no space, so that joined by one they are told apart."""
-    return hashlib.blake2b(b" ".join(words[start : start + n]), digest_size=16).digest()
-
-
-SOURCES = "source_doc bigint, source_row bigint, source_start int, n_words int, digest binary"
-
-
-def _read_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the words at the places asked for."""
-    for batch in batches:
-        rows = []
-        for k, text in enumerate(batch.column("text")):
-            words = (text.as_py() or "").encode().split()
-            doc, key = batch.column("doc_id")[k].as_py(), batch.column("row_key")[k].as_py()
-            rows += [(doc, key, p["start"], p["n"], _digest(words, p["start"], p["n"])) for p in batch.column("places")[k].as_py()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["source_doc", "source_row", "source_start", "n_words", "digest"])
-
-
-def _with_digests(docs: DataFrame, window: int) -> DataFrame:
-    """candidate_spans and ``digest``, of the words that stand at the source's coordinates."""
-    spans = materialize(candidate_spans(docs, window), "dedup-spans")
-    at = ["source_doc", "source_row", "source_start", "n_words"]
-    places = spans.select(*at).distinct().groupBy(F.col("source_doc").alias("doc_id"), F.col("source_row").alias("row_key"))
-    places = materialize(places.agg(F.collect_list(F.struct(F.col("source_start").alias("start"), F.col("n_words").alias("n"))).alias("places")), "dedup-places")
-    read = _keyed(docs).join(_short(places, "places", 24), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "places").mapInArrow(_read_sources, SOURCES)
-    # Rows that repeat a document's text give the same digest.
-    return spans.join(read.distinct(), at)
-
-
-def _removed(window: int, with_text: bool, with_spans: bool):
+def _removed(window: int, with_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, digests, kept_texts, all_spans = [], [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans")):
+            n_words, n_removed, digests, kept_texts = [], [], [], []
+            for text, ranges in zip(batch.column("text"), batch.column("ranges")):
                 words = (text.as_py() or "").encode().split()
-                keep, sound = words, []
-                if spans.is_valid:
-                    sound = [p for p in spans.as_py() if _digest(words, p["start"], p["n_words"]) == p["digest"]]
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    for p in sound:
-                        edge[p["start"]] += 1
-                        edge[p["start"] + p["n_words"]] -= 1
-                    keep = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+                keep = words
+                if (ranges := ranges.values) is not None and len(ranges):
+                    edge = np.zeros(len(words) + window + 1, np.int32)
+                    np.add.at(edge, np.asarray(ranges.field("s")), 1)
+                    np.add.at(edge, np.asarray(ranges.field("e")) + window, -1)
+                    keep = [words[i] for i in np.flatnonzero(np.cumsum(edge)[: len(words)] == 0)]
                 kept = b" ".join(keep)
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(keep))
                 digests.append(hashlib.sha256(kept).hexdigest())
                 kept_texts.append(kept.decode() if with_text else None)
-                all_spans.append([{k: v for k, v in p.items() if k != "digest"} for p in sound] if with_spans else None)
             out = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 out, names = [*out, pa.array(kept_texts, pa.string())], [*names, "kept_text"]
-            if with_spans:
-                kind = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("source_doc", pa.int64()), ("source_start", pa.int32())]))
-                out, names = [*out, pa.array(all_spans, kind)], [*names, "spans"]
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     return rows
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False, with_spans: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:
     """Every document with each word removed that lies in a window of ``window`` words
     which also starts in a document with a smaller doc_id.
 
     One row for each row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (and
-    kept_text; and spans, the verified ones with their source). Windows are judged on the input. Null, empty and shorter texts
+    kept_text). Windows are judged on the input. Null, empty and shorter texts
     lose nothing; exact copies lose everything but in the least doc_id; rows with
     one doc_id never remove from each other; repeated rows are treated alike; an empty
     table gives an empty result; other columns are ignored. A text of any length is one row of one task.
     """
-    places = F.struct("start", "n_words", "source_doc", "source_start", "digest")
-    found = materialize(_with_digests(docs, window).groupBy("doc_id", "row_key").agg(F.collect_list(places).alias("spans")), "dedup-found")
-    joined = _keyed(docs).join(_short(found, "spans", 72), ["doc_id", "row_key"], "left").select("doc_id", "text", "spans")
-    kinds = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
-    if with_spans:
-        kinds += ", spans array<struct<start:int,n_words:int,source_doc:bigint,source_start:int>>"
-    return joined.mapInArrow(_removed(window, with_text, with_spans), kinds)
-
-
-def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
-    """Maximal verified spans with source coordinates: doc_id, start, n_words, source_doc, source_start."""
-    rows = remove_repeats(docs, window, with_spans=True)
-    return rows.select("doc_id", F.explode("spans").alias("p")).select("doc_id", "p.*")
+    found = repeated_windows(docs, window).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    joined = _keyed(docs).join(found, ["doc_id", "row_key"], "left").select("doc_id", "text", "ranges")
+    return joined.mapInArrow(_removed(window, with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
 def op8_substring_dedup(spark, sf_dir):

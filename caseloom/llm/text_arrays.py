@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 _BREAK = np.zeros(256, bool)
 _BREAK[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text handled at once; a single longer document makes a longer slice.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Places of a word whose bytes have a table of their own; later ones mix the place in.
 PLACES = 64
 

@@ -390,17 +390,19 @@ def test_spans_name_their_source(spark):
     assert kept == {1: " ".join(a), 2: " ".join(b[:10] + b[90:]), 3: ""}
 
 
-def test_spans_of_colliding_hashes_fail_verification(spark, monkeypatch):
+def test_runs_are_known_by_their_words(monkeypatch):
+    """Where all hashes collide, digests of the words still tell runs and windows apart."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup.Words, "hashes", lambda self, lane=0, lower=False: np.full(len(self), 7, np.uint64))
     r = random.Random(6)
-    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(90)) for _ in range(3)]
-    df = spark.createDataFrame(list(enumerate([*texts, texts[1]])), "doc_id bigint, text string")
-    spans = substring_dedup.candidate_spans(df)
-    false = spark.createDataFrame([(2, 5, 60, 0, 7), (3, 0, 50, 0, 0)], "doc_id bigint, start int, n_words int, source_doc bigint, source_start int")
-    keys = substring_dedup._keyed(df).select("doc_id", "row_key")
-    false = false.join(keys, "doc_id").join(keys.select(F.col("doc_id").alias("source_doc"), F.col("row_key").alias("source_row")), "source_doc")
-    monkeypatch.setattr(substring_dedup, "candidate_spans", lambda docs, window: spans.unionByName(false.select(*spans.columns)))
-    got = {x["doc_id"]: x["n_removed"] for x in substring_dedup.remove_repeats(df).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 90}
+    one, two = (" ".join(f"w{r.randrange(10**6)}" for _ in range(70)) for _ in range(2))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "row_key": [1, 2, 3], "text": [one, two, one.replace(" ", "\n\t")]})
+    runs = pa.Table.from_batches(substring_dedup._runs(50)([batch])).to_pylist()
+    own = {d: [(x["run"], x["s"], x["e"]) for x in runs if x["doc_id"] == d] for d in (1, 2, 3)}
+    assert own[1] == own[3] and not {x[0] for x in own[1]} & {x[0] for x in own[2]}
+    w = words(one)
+    assert all(x[0] == hashlib.blake2b((" ".join(w[x[1] : x[2] + 50]) + " ").encode(), digest_size=16).digest() for x in own[1])
 
 
 def thue_morse(n, a, b):
