@@ -13,7 +13,7 @@ def document_kind(chars_per_page: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Straight quotes, single spaces, lower case (ASCII letters), no spaces at the ends."""
-    straight = F.translate(text, "‘’“”", "''\"\"")
+    straight = F.translate(text, "‘’‚‛“”„‟", "''''\"\"\"\"")
     return F.trim(F.regexp_replace(F.translate(straight, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\n\x0b\x0c\r]+", " "))
 
 
@@ -22,10 +22,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+# Marks, brackets and quotes that may stand before or after a sentence.
+EDGES = r"""^[ "'(\[{]+|[ .!?;:,'")\]}]+$"""
+
+
+def trim_marks(text: Column) -> Column:
+    return F.regexp_replace(text, EDGES, "")
+
+
 def sentences(text: Column, least: int = 20) -> Column:
-    """Sentences of at least ``least`` characters after folding and trimming of marks."""
-    parts = F.split(fold(text), r"(?<=[.!?]) ")
-    bare = F.transform(parts, lambda s: F.btrim(s, F.lit(" .!?,;:")))
+    """Sentences of at least ``least`` characters after folding and trimming of marks. A sentence also ends at
+    a semicolon, and at a mark that a letter follows without a space."""
+    parts = F.split(fold(text), r"(?<=[.!?;]) |(?<=[.!?])(?=[a-z])")
+    bare = F.transform(parts, trim_marks)
     return F.array_distinct(F.filter(bare, lambda s: F.length(s) >= least))
 
 

@@ -11,12 +11,14 @@ from caseloom.functions import text as T
 KEY_WORDS = 3
 #: Characters by which a needle of few words is found.
 SHORT_KEY = 12
+#: Keys that are looked for as literals; their needles are broadcast (texts of sentences, some megabytes).
+LITERAL_KEYS = 8000
 
 
 def needles(withheld: DataFrame, key: str, column: str, least: int = 20) -> DataFrame:
     """(key, needle, whole): each text's sentences of ``least`` characters, and the folded whole text."""
     folded = T.fold(F.col(column))
-    bare = F.btrim(folded, F.lit(" .!?,;:"))
+    bare = T.trim_marks(folded)
     parts = withheld.select(key, F.explode(T.sentences(F.col(column), least)).alias("needle"), bare.alias("__whole"))
     sentences = parts.where("needle <> __whole").select(key, "needle", F.lit(False).alias("whole"))
     return withheld.select(key, bare.alias("needle"), F.lit(True).alias("whole")).where(F.length("needle") >= least).unionByName(sentences)
@@ -31,19 +33,32 @@ def leaks(haystacks: DataFrame, doc: str, column: str, found: DataFrame, key: st
     together what can match, where comparing every text with every needle would be a
     nested loop. Needles of one or two words are found by their first SHORT_KEY
     characters among those at every place; which kinds of key occur is asked first.
+    Up to LITERAL_KEYS keys travel with the plan, and each text is searched where it lies: only runs that
+    are keys leave its row. More keys are joined by a shuffle of runs.
     """
     words = F.split("needle", " ")
     inner = F.least(F.size(words) - 2, F.lit(KEY_WORDS))
     between = F.array_join(F.slice(words, F.lit(2), F.greatest(inner, F.lit(0))), " ")
     keyed = found.withColumn("__n", F.greatest(inner, F.lit(0))).withColumn("__key", F.when(inner > 0, between).otherwise(F.substring("needle", 1, SHORT_KEY)))
     folded = T.fold(F.col(column))
+    held = keyed.select("__n", "__key").distinct().limit(LITERAL_KEYS + 1).collect()
+    few = len(held) <= LITERAL_KEYS
+    kinds = sorted({r["__n"] for r in (held if few else keyed.select("__n").distinct().collect())})  # KEY_WORDS + 1 at most
     pairs = None
-    for n in sorted(r["__n"] for r in keyed.select("__n").distinct().collect()):  # KEY_WORDS + 1 kinds at most
+    for n in kinds:
+        own = keyed.where(F.col("__n") == n)
         runs = T.word_runs(folded, n) if n else T.char_runs(folded, SHORT_KEY)
-        met = haystacks.select(doc, F.explode(runs).alias("__key")).join(keyed.where(F.col("__n") == n), "__key").select(doc, key, "needle", "whole")
+        if few:
+            keys = [r["__key"] for r in held if r["__n"] == n]
+            hits = haystacks.select(doc, folded.alias("__hay"), F.explode(F.filter(runs, lambda r: r.isin(keys))).alias("__key"))
+            met = hits.join(F.broadcast(own), "__key").where(F.contains("__hay", F.col("needle"))).select(doc, key, "needle", "whole")
+        else:
+            met = haystacks.select(doc, F.explode(runs).alias("__key")).join(own, "__key").select(doc, key, "needle", "whole")
         pairs = met if pairs is None else pairs.unionByName(met)
     if pairs is None:
         return found.select(F.lit(None).cast(haystacks.schema[doc].dataType).alias(doc), key, "needle", "whole").limit(0)
+    if few:
+        return pairs.distinct()
     return pairs.distinct().join(haystacks.select(doc, folded.alias("__hay")), doc).where(F.contains("__hay", F.col("needle"))).select(doc, key, "needle", "whole")
 
 

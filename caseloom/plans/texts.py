@@ -13,9 +13,10 @@ from caseloom.sources.tables import table
 from .analogues import CASES, LINES, SCORED, cases, lines, scored
 from .registry import query
 
-_FOLD = r"""trim(regexp_replace(translate(translate({0}, '‘’“”', '''''""'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+', ' ', 'g'))"""
+_FOLD = r"""trim(regexp_replace(translate(translate({0}, '‘’‚‛“”„‟', '''''''''""""'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\x0c\r]+', ' ', 'g'))"""
+_EDGE = r"""regexp_replace({0}, '^[ "''(\[{{]+|[ .!?;:,''")\]}}]+$', '', 'g')"""
 _BENCH, _DOC = _FOLD.format("text"), _FOLD.format("text")
-_NEEDLES = f"""b AS (SELECT item_id, {_BENCH} AS folded FROM benchmark), p AS (SELECT item_id, trim(folded, ' .!?,;:') AS whole, list_distinct(list_filter(list_transform(string_split(regexp_replace(folded, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' .!?,;:')), lambda s: length(s) >= 20)) AS parts FROM b),
+_NEEDLES = f"""b AS (SELECT item_id, {_BENCH} AS folded FROM benchmark), p AS (SELECT item_id, {_EDGE.format('folded')} AS whole, list_distinct(list_filter(list_transform(string_split(regexp_replace(regexp_replace(folded, '([.!?;]) ', '\\1' || chr(1), 'g'), '([.!?])([a-z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: {_EDGE.format('s')}), lambda s: length(s) >= 20)) AS parts FROM b),
 needles AS (SELECT item_id, whole AS needle, true AS is_whole FROM p WHERE length(whole) >= 20 UNION ALL SELECT item_id, s, false FROM (SELECT item_id, whole, unnest(parts) AS s FROM p) WHERE s <> whole),
 h AS (SELECT doc_id, {_DOC} AS hay FROM documents), m AS (SELECT doc_id, item_id, needle, is_whole FROM h JOIN needles ON contains(hay, needle))"""
 

@@ -13,12 +13,12 @@ def parse(pages: DataFrame) -> DataFrame:
     group = lambda k: F.regexp_extract_all("html", F.lit(_ROW), F.lit(k))
     return pages.select(
         "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit(_ROW)).alias("n_links"),
-        group(1).alias("hrefs"), group(2).alias("labels"), F.regexp_count("html", F.lit("<li>")).alias("declared"),
+        group(1).alias("hrefs"), group(2).alias("labels"), F.regexp_count("html", F.lit(r"<li[\s>]")).alias("declared"),
     )
 
 
 def entries(pages: DataFrame) -> DataFrame:
     """One row a listed document, in order; a page whose rows don't all parse fails the job."""
     parsed = parse(pages)
-    checked = parsed.withColumn("hrefs", F.when(F.col("declared") < F.col("n_links"), F.raise_error(F.lit("rows were parsed that aren't declared"))).otherwise(F.col("hrefs")))
+    checked = parsed.withColumn("hrefs", F.when(F.col("declared") != F.col("n_links"), F.raise_error(F.lit("the rows that a page declares aren't the rows that were parsed"))).otherwise(F.col("hrefs")))
     return checked.select("page_id", F.posexplode(F.arrays_zip("hrefs", "labels")).alias("position", "row")).select("page_id", "position", F.col("row.hrefs").alias("href"), F.col("row.labels").alias("label"))

@@ -1,13 +1,16 @@
 """The nightly run as a micro-batch stream with exactly-once state.
 
-New files are taken with the AvailableNow trigger; each batch is folded to the latest
-row of a key and merged into a table whose every version is a folder of its own. A
-version counts once its marker is written, and holds the number of the batch that made it:
-a batch that Spark replays after a lost driver finds its number there and stops.
+New files are taken with the AvailableNow trigger. Each batch is folded to the latest row of a
+key and overwrites one partition (stream, batch) of a Parquet table, so that a batch which Spark
+replays after a lost driver writes the same partition again; reading folds the batches to
+the latest row of a key. A stream is known by its checkpoint: another one has partitions of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,42 +25,34 @@ def latest(events: DataFrame) -> DataFrame:
 
 
 class Store:
-    """A table of the latest row of each key, in versions."""
+    """A table of the latest row of each key, held as one partition a batch."""
 
     def __init__(self, folder: str):
         self.folder = folder.rstrip("/")
 
-    def _versions(self, spark: SparkSession) -> list[int]:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [n for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+    def batches(self, spark: SparkSession) -> DataFrame:
+        """All batches' rows, with their stream and batch."""
+        try:
+            return spark.read.schema(f"{SCHEMA}, stream string, batch bigint").parquet(self.folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], f"{SCHEMA}, stream string, batch bigint")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """The last committed version; a version whose writer was lost isn't seen."""
-        versions = self._versions(spark)
-        if not versions:
-            return spark.createDataFrame([], SCHEMA)
-        return spark.read.schema(SCHEMA).parquet(f"{self.folder}/v{versions[-1]:09d}")
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id in self._versions(spark):
-            return
-        both = self.read(spark).select(*T._parse_datatype_string(SCHEMA).names).unionByName(batch)
         pick = lambda c: F.max_by(c, "event_id").alias(c)
-        merged = both.groupBy("user_id").agg(F.max("event_id").alias("__e"), pick("ts"), pick("status"), pick("value"), F.sum("n").alias("n")).withColumnRenamed("__e", "event_id")
-        merged.select(*batch.columns).write.mode("overwrite").parquet(f"{self.folder}/v{batch_id:09d}")
+        folded = self.batches(spark).groupBy("user_id").agg(F.max("event_id").alias("__e"), pick("ts"), pick("status"), pick("value"), F.sum("n").alias("n"))
+        return folded.withColumnRenamed("__e", "event_id").select(*T._parse_datatype_string(SCHEMA).names)
+
+    def upsert(self, batch: DataFrame, batch_id: int, stream: str) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.folder}/stream={stream}/batch={batch_id}")
 
 
 def run(spark: SparkSession, source: str, schema: T.StructType, store: Store, checkpoint: str, files_per_batch: int = 100) -> None:
     """Fold everything that is new under ``source`` into the store and return."""
+    name = hashlib.blake2b(checkpoint.rstrip("/").encode(), digest_size=8).hexdigest()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: store.upsert(latest(df), k)).start()
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: store.upsert(latest(df), k, name)).start()
     query.awaitTermination()
 
 

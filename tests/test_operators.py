@@ -80,6 +80,9 @@ def test_newest_line_of_equal_times_is_the_first(spark):
 
 def test_listing_entries(spark):
     pages = spark.createDataFrame([(1, '<title>T</title><li><a href="/a">A</a></li><li><a href="/b">B</a></li>'), (2, None)], "page_id int, html string")
+    broken = spark.createDataFrame([(1, '<li><a href="/a">A</a></li><li><b>no link</b></li>')], "page_id int, html string")
+    with pytest.raises(Exception, match="aren't the rows"):
+        listing.entries(broken).collect()
     assert [(r["page_id"], r["position"], r["href"]) for r in listing.entries(pages).orderBy("page_id", "position").collect()] == [(1, 0, "/a"), (1, 1, "/b")]
 
 
@@ -140,8 +143,7 @@ def test_leaks_inside_words_and_short_needles(spark):
 
 
 def test_bootstrap_and_fit(spark):
-    assert inference.bootstrap_mean([]) == (0.0, 0.0, 0.0)
-    mean, low, high = inference.bootstrap_mean([0, 1] * 50, 200)
+    mean, low, high = inference.bootstrap_counts([0, 1], [50, 50], 200)
     assert mean == 0.5 and low < 0.5 < high
     r = random.Random(2)
     rows = [(x, int(r.random() < 1 / (1 + 2.718281828 ** -(0.5 + x)))) for x in [r.gauss(0, 1) for _ in range(3000)]]
@@ -162,5 +164,18 @@ def test_nightly_batches_equal_one_batch(spark, tmp_path, sf_dir):
     got = {r["user_id"]: (r["event_id"], r["status"]) for r in store.read(spark).collect()}
     want = {r["user_id"]: (r["e"], r["s"]) for r in events.groupBy("user_id").agg(F.max("event_id").alias("e"), F.max_by("event_type", "event_id").alias("s")).collect()}
     assert got == want
-    store.upsert(nightly.latest(events), 0)  # a batch that is replayed changes nothing
-    assert store.read(spark).count() == len(want)
+    counted = store.read(spark).agg(F.sum("n")).first()[0]
+    assert counted == events.count()
+    # A batch that is replayed changes nothing: its partition is written anew.
+    held = store.batches(spark)
+    rows, names = held.collect(), nightly.SCHEMA
+    for stream, batch in {(r["stream"], r["batch"]) for r in rows}:
+        own = [tuple(r)[:-2] for r in rows if (r["stream"], r["batch"]) == (stream, batch)]
+        store.upsert(spark.createDataFrame(own, names), batch, stream)
+    assert store.read(spark).agg(F.sum("n")).first()[0] == counted and store.read(spark).count() == len(want)
+    # A stream with a checkpoint of its own numbers its batches from 0 again: its rows are added all the same.
+    (tmp_path / "more").mkdir()
+    events.withColumn("event_id", F.col("event_id") + 10**9).withColumn("event_type", F.lit("late")).coalesce(1).write.parquet(str(tmp_path / "more/n0"))
+    nightly.run(spark, str(tmp_path / "more/*"), events.schema, store, str(tmp_path / "another"))
+    rows = store.read(spark).collect()
+    assert {r["status"] for r in rows} == {"late"} and sum(r["n"] for r in rows) == 2 * counted
