@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, small_side, table, unused
+from .shared import lean, materialize, small_side, table, unused
 from .text_arrays import Runs, Words, finish, text_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -242,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, shin
     for k in range(passes):
         chosen = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         bench = index_items([(r["item_id"], r["text"]) for r in chosen.orderBy("item_id", "text").collect()], shingle)  # about PASS_ITEMS items
-        part = keyed.mapInArrow(_scan(spark.sparkContext.broadcast(bench), least), FOUND)
+        part = keyed.mapInArrow(lean(_scan(spark.sparkContext.broadcast(bench), least)), FOUND)
         found = part if found is None else found.unionByName(part)
     return found
 

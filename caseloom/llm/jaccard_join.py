@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialize, small_side, table, unused
+from .shared import lean, materialize, small_side, table, unused
 from .text_arrays import Runs, Words, finish, text_slices
 
 #: Shingles in one block of a large group; a group of more is cut into blocks and
@@ -418,7 +418,7 @@ def _join_group(n: int, num: int, den: int, give: str):
 def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """All documents with their set's hash, and one row a class (rep, copies)."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = materialize(keyed.mapInArrow(_sketch(n), SETS), "jaccard-sets")
+    base = materialize(keyed.mapInArrow(lean(_sketch(n)), SETS), "jaccard-sets")
     classes = base.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n_shingles"))
     return base, classes
 
@@ -431,7 +431,7 @@ def _grouped(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     documents share is as many rows as there are tasks.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = texts.where("doc_id is not null").mapInArrow(_part_rows(n, num, den), PARTS)
+    parts = texts.where("doc_id is not null").mapInArrow(lean(_part_rows(n, num, den)), PARTS)
     # In order of doc_id the first document of a part is its hub: nothing is held in memory.
     hub = F.first("doc_id").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     edges = parts.select("doc_id", hub.alias("hub")).where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import lean, small_batches, table
 
 #: Longest n-gram; all shorter ones count as well.
 MAX_N = 4
@@ -178,7 +178,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRAIN
     shares = spark.createDataFrame([(r["lang"], min(1.0, landmarks / r["n"]), min(1.0, (landmarks + train_rows) / r["n"])) for r in counts], "lang string, mark double, train double")
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id"), 11) / F.lit(float(1 << 53))
     drawn = labelled.join(F.broadcast(shares), "lang").withColumn("unit", unit)  # at most MAX_LANGUAGES rows
-    sets = drawn.where("unit < mark").select("lang", "text").coalesce(8).mapInArrow(_gram_sets, GRAMS).toPandas()
+    sets = drawn.where("unit < mark").select("lang", "text").coalesce(8).mapInArrow(lean(_gram_sets), GRAMS).toPandas()
     sets = [np.asarray(g) for g in sets["grams"] if len(g)]
     held = np.zeros(1 << BITS, np.int64)
     for grams in sets:
@@ -193,7 +193,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRAIN
         marks[k, own[own >= 0]] = 1
     if not len(sets) or not len(chosen):
         return Classifier([], features, np.zeros((0, 0), np.float32))
-    sums = drawn.where("unit < train").select("lang", "text").repartition(8).mapInArrow(_normal_equations(features, marks, names), PARTIAL).collect()  # 8 rows at most
+    sums = drawn.where("unit < train").select("lang", "text").repartition(8).mapInArrow(lean(_normal_equations(features, marks, names)), PARTIAL).collect()  # 8 rows at most
     m = len(marks)
     kk = sum(np.frombuffer(r["kk"]).reshape(m, m) for r in sums)
     ky = sum(np.frombuffer(r["ky"]).reshape(m, len(names)) for r in sums)
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Classifier, keep: list[str]) -> DataFrame:
 
     chosen = docs.select(*keep, F.col("text").cast("string").alias("text to identify"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(rows, f"{fields}, {PREDICTED}")
+    return chosen.mapInArrow(lean(rows), f"{fields}, {PREDICTED}")
 
 
 def accepted(docs: DataFrame, model: Classifier, least: float) -> DataFrame:
@@ -243,7 +243,7 @@ def accepted(docs: DataFrame, model: Classifier, least: float) -> DataFrame:
                 names, best = shared.value.predict([t or "" for t in part.column(text).to_pylist()])
                 yield part.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, best)]))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(lean(rows), docs.schema)
 
 
 def held_out(doc_id, modulus: int = 3, remainder: int = 1):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language_id import held_out
-from .shared import materialize, table
+from .shared import lean, materialize, table
 from .text_arrays import Runs, Words, text_slices
 
 #: Random Fourier features, the kernel's width (in standard deviations), and ridge.
@@ -100,7 +100,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and stats of every row; null texts measure as empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measure, STATISTICS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(_measure), STATISTICS)
 
 
 @dataclass
@@ -193,11 +193,11 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Model:
     part = drawn.where(~parts)
     if part.isEmpty():
         part = drawn
-    sums = part.coalesce(8).mapInArrow(_normal_equations(model), PARTIAL).collect()
+    sums = part.coalesce(8).mapInArrow(lean(_normal_equations(model)), PARTIAL).collect()
     zz, zy = sum(np.frombuffer(r["zz"]).reshape(FEATURES + 1, -1) for r in sums), sum(np.frombuffer(r["zy"]) for r in sums)
     ridge = RIDGE * np.trace(zz) / len(zz)
     model.weights = np.linalg.solve(zz + ridge * np.eye(len(zz)), zy)
-    steps = drawn.where(parts).mapInArrow(_raw_steps(model), "step int, label int").groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).orderBy("step").collect()  # STEPS rows at most
+    steps = drawn.where(parts).mapInArrow(lean(_raw_steps(model)), "step int, label int").groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).orderBy("step").collect()  # STEPS rows at most
     if steps:
         x = (np.array([r["step"] for r in steps]) + 0.5) * 2 / STEPS - 0.5
         model.steps, model.values = isotonic(x, np.array([r["p"] for r in steps]), np.array([r["n"] for r in steps]))
@@ -226,7 +226,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("doc_id", 5, 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
     model = fit(stats.join(known, "doc_id").select("doc_id", "stats", "label"))
-    return stats.mapInArrow(_score(model), SCORED)
+    return stats.mapInArrow(lean(_score(model)), SCORED)
 
 
 def op5_quality_classifier(spark, sf_dir):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import lean, materialize, table
 from .text_arrays import Runs, Words, text_slices
 
 #: Words of a mer, the content-defined anchor of a window.
@@ -132,7 +132,7 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     doc_id: doc_id, row_key, s, e, source (doc_id, row_key, s: where the range's first
     window starts in the source). Null doc_ids take no part."""
     keyed = _keyed(docs)
-    runs = materialize(keyed.where("doc_id is not null").mapInArrow(_runs(window), RUNS), "dedup-runs")
+    runs = materialize(keyed.where("doc_id is not null").mapInArrow(lean(_runs(window)), RUNS), "dedup-runs")
     key = ["mer", "run"]
     place = F.struct("doc_id", "row_key", "s")
     paths = runs.groupBy(*key).agg(F.min(place).alias("source"), F.max("doc_id").alias("last"))
@@ -142,7 +142,7 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     hits = runs.join(shared, key).where("source.doc_id < doc_id or n_runs > 1")
     hits = materialize(hits.select("doc_id", "row_key", "s", "e", F.when(F.col("source.doc_id") < F.col("doc_id"), F.col("source")).alias("source")), "dedup-paths")
     branches = hits.where("source is null").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    windows = keyed.join(branches, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "runs").mapInArrow(_windows(window), WINDOWS)
+    windows = keyed.join(branches, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "runs").mapInArrow(lean(_windows(window)), WINDOWS)
     windows = materialize(windows, "dedup-windows")
     first = windows.groupBy("window").agg(F.min(place).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last")
     single = windows.join(first, "window").where("source.doc_id < doc_id")
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -
     """
     found = repeated_windows(docs, window).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     joined = _keyed(docs).join(found, ["doc_id", "row_key"], "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(_removed(window, with_text), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else ""))
+    return joined.mapInArrow(lean(_removed(window, with_text)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
 def op8_substring_dedup(spark, sf_dir):

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, shared_dir, table
+from .shared import lean, materialize, shared_dir, table
 
 #: Interleaved coder states of a block.
 LANES = 2048
@@ -44,7 +44,7 @@ PART, MOST_PARTS = 4_000_000, 100_000
 #: Least coder state: states stay in [2^31, 2^63).
 _LOW, _ONE = np.uint64(1 << 31), np.uint64(1)
 #: Words that a worker keeps with their ids; then it begins anew, with those that it meets again.
-CACHE = 600_000
+CACHE = 500_000
 #: Bytes of text encoded at once; a single longer text makes a longer slice.
 SLICE = 4 << 20
 
@@ -420,8 +420,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end: int = 0
         raise ValueError("the tokenizer is too large to be sent to every executor")
     width = 2 if vocabulary <= 1 << 16 else 4
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = materialize(keyed.mapInArrow(_tokenize(spark.sparkContext.broadcast(spec), width, end), TOKENS), "token-ids")
-    found = tokens.select("ids").mapInArrow(_counts(width, vocabulary), "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # one row a symbol at most
+    tokens = materialize(keyed.mapInArrow(lean(_tokenize(spark.sparkContext.broadcast(spec), width, end)), TOKENS), "token-ids")
+    found = tokens.select("ids").mapInArrow(lean(_counts(width, vocabulary)), "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # one row a symbol at most
     counts = np.zeros(vocabulary, np.int64)
     counts[found["token"]] = found["n"]
     freq = quantize(counts, vocabulary.bit_length() + 3)
@@ -430,7 +430,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end: int = 0
     table.write.parquet(f"{folder}/frequencies")
     n = int(min(max(1, -(-int(counts.sum()) // PART)), MOST_PARTS))
     ordered = tokens.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.mapInArrow(_encode(width, freq), BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    ordered.mapInArrow(lean(_encode(width, freq)), BLOCKS).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 DOCS = "part int, block int, place int, doc_id bigint, n_tokens bigint, ids_crc32 bigint"
@@ -471,7 +471,7 @@ def read_tokens(spark, folder: str, with_ids: bool = False) -> DataFrame:
     freq = np.zeros(int(table["token"].max()) + 1 if len(table) else 0, np.int64)
     freq[table["token"]] = table["freq"]
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
-    docs = blocks.mapInArrow(_decode(freq, with_ids), DOCS + (", ids array<int>" if with_ids else ""))
+    docs = blocks.mapInArrow(lean(_decode(freq, with_ids)), DOCS + (", ids array<int>" if with_ids else ""))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(before(Window.orderBy("part"))), F.lit(0)).alias("part_start"))
