@@ -61,13 +61,13 @@ def _anchors(words: Words, mers: np.ndarray, window: int) -> tuple[np.ndarray, n
     return starts[at], starts[np.append(at[1:], len(starts)) - 1], anchor[at]
 
 
-RUNS = "mer bigint, run binary, doc_id bigint, row_key bigint, s int, e int"
+RUNS = "mer bigint, run1 bigint, run2 bigint, doc_id bigint, row_key bigint, s int, e int"
 
 
-def _digests(words: Words, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
-    """Digests of the words from each ``lo`` up to ``hi``, one space between them."""
+def _digests(words: Words, lo: np.ndarray, hi: np.ndarray) -> list[pa.Array]:
+    """The halves of the digests of the words from each ``lo`` up to ``hi``, one space after each."""
     if not len(lo):
-        return pa.array([], pa.binary())
+        return [pa.array([], pa.int64())] * 2
     # The slice's words with one space after each: a run of words is then a run of bytes.
     size = words.end - words.start + 1
     stop = np.cumsum(size)
@@ -77,7 +77,9 @@ def _digests(words: Words, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
     spaced[stop - 1] = 32
     view = memoryview(spaced)
     digest = hashlib.blake2b
-    return pa.array([digest(view[i:j], digest_size=16).digest() for i, j in zip((stop - size)[lo].tolist(), stop[hi - 1].tolist())], pa.binary())
+    found = b"".join([digest(view[i:j], digest_size=16).digest() for i, j in zip((stop - size)[lo].tolist(), stop[hi - 1].tolist())])
+    halves = np.frombuffer(found, "<i8").reshape(-1, 2)
+    return [pa.array(halves[:, k].copy()) for k in range(2)]
 
 
 def _runs(window: int):
@@ -93,14 +95,14 @@ def _runs(window: int):
                 base = words.first[row]
                 take = pa.array(lo + row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mers[a].view(np.int64)), _digests(words, s, e + window), ids.take(take), keys.take(take), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32))],
-                    names=["mer", "run", "doc_id", "row_key", "s", "e"],
+                    [pa.array(mers[a].view(np.int64)), *_digests(words, s, e + window), ids.take(take), keys.take(take), pa.array((s - base).astype(np.int32)), pa.array((e - base).astype(np.int32))],
+                    names=["mer", "run1", "run2", "doc_id", "row_key", "s", "e"],
                 )
 
     return rows
 
 
-WINDOWS = "window binary, doc_id bigint, row_key bigint, s int"
+WINDOWS = "w1 bigint, w2 bigint, doc_id bigint, row_key bigint, s int"
 
 
 def _windows(window: int):
@@ -120,8 +122,8 @@ def _windows(window: int):
                 at = np.repeat(s + words.first[row], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 take = np.repeat(row, size)
                 yield pa.RecordBatch.from_arrays(
-                    [_digests(words, at, at + window), ids.take(pa.array(lo + take)), keys.take(pa.array(lo + take)), pa.array((at - words.first[take]).astype(np.int32))],
-                    names=["window", "doc_id", "row_key", "s"],
+                    [*_digests(words, at, at + window), ids.take(pa.array(lo + take)), keys.take(pa.array(lo + take)), pa.array((at - words.first[take]).astype(np.int32))],
+                    names=["w1", "w2", "doc_id", "row_key", "s"],
                 )
 
     return rows
@@ -129,12 +131,12 @@ def _windows(window: int):
 
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     """Ranges of window starts whose words also start in a document with a smaller
-    doc_id: doc_id, row_key, s, e, source (doc_id, row_key, s: where the range's first
+    doc_id: doc_id, row_key, s, e, source (doc_id, s: where the range's first
     window starts in the source). Null doc_ids take no part."""
     keyed = _keyed(docs)
     runs = materialize(keyed.where("doc_id is not null").mapInArrow(lean(_runs(window)), RUNS), "dedup-runs")
-    key = ["mer", "run"]
-    place = F.struct("doc_id", "row_key", "s")
+    key = ["mer", "run1", "run2"]
+    place = F.struct("doc_id", "s")
     paths = runs.groupBy(*key).agg(F.min(place).alias("source"), F.max("doc_id").alias("last"))
     mers = paths.groupBy("mer").agg(F.count(F.lit(1)).alias("n_runs"), F.min("source.doc_id").alias("least"), F.max("last").alias("most"))
     mers = mers.where("least < most").select("mer", "n_runs")
@@ -144,22 +146,22 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     branches = hits.where("source is null").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     windows = keyed.join(branches, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "runs").mapInArrow(lean(_windows(window)), WINDOWS)
     windows = materialize(windows, "dedup-windows")
-    first = windows.groupBy("window").agg(F.min(place).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last")
-    single = windows.join(first, "window").where("source.doc_id < doc_id")
+    first = windows.groupBy("w1", "w2").agg(F.min(place).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last")
+    single = windows.join(first, ["w1", "w2"]).where("source.doc_id < doc_id")
     return hits.where("source is not null").unionByName(single.select("doc_id", "row_key", "s", F.col("s").alias("e"), "source"))
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """Maximal spans of repeated windows with source coordinates: doc_id, row_key,
-    start, n_words, source_doc, source_row, source_start. Ranges that continue each
+    start, n_words, source_doc, source_start. Ranges that continue each
     other in the document and in the same source are one span."""
-    found = repeated_windows(docs, window).select("doc_id", "row_key", "s", "e", F.col("source.doc_id").alias("source_doc"), F.col("source.row_key").alias("source_row"), (F.col("source.s") - F.col("s")).alias("shift")).distinct()
-    key = ["doc_id", "row_key", "source_doc", "source_row", "shift"]
+    found = repeated_windows(docs, window).select("doc_id", "row_key", "s", "e", F.col("source.doc_id").alias("source_doc"), (F.col("source.s") - F.col("s")).alias("shift")).distinct()
+    key = ["doc_id", "row_key", "source_doc", "shift"]
     line = Window.partitionBy(*key).orderBy("s")
     found = found.withColumn("new", (F.col("s") > F.coalesce(F.lag("e").over(line) + 1, F.lit(-1))).cast("int"))
     found = found.withColumn("island", F.sum("new").over(line))
     spans = found.groupBy(*key, "island").agg(F.min("s").alias("start"), F.max("e").alias("e"))
-    return spans.select("doc_id", "row_key", "start", (F.col("e") + window - F.col("start")).alias("n_words"), "source_doc", "source_row", (F.col("start") + F.col("shift")).alias("source_start"))
+    return spans.select("doc_id", "row_key", "start", (F.col("e") + window - F.col("start")).alias("n_words"), "source_doc", (F.col("start") + F.col("shift")).alias("source_start"))
 
 
 def _removed(window: int, with_text: bool):

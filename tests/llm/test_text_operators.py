@@ -399,7 +399,7 @@ def test_runs_are_known_by_their_words(monkeypatch):
     one, two = (" ".join(f"w{r.randrange(10**6)}" for _ in range(70)) for _ in range(2))
     batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "row_key": [1, 2, 3], "text": [one, two, one.replace(" ", "\n\t")]})
     runs = pa.Table.from_batches(substring_dedup._runs(50)([batch])).to_pylist()
-    own = {d: [(x["run"], x["s"], x["e"]) for x in runs if x["doc_id"] == d] for d in (1, 2, 3)}
+    own = {d: [(x["run1"].to_bytes(8, "little", signed=True) + x["run2"].to_bytes(8, "little", signed=True), x["s"], x["e"]) for x in runs if x["doc_id"] == d] for d in (1, 2, 3)}
     assert own[1] == own[3] and not {x[0] for x in own[1]} & {x[0] for x in own[2]}
     w = words(one)
     assert all(x[0] == hashlib.blake2b((" ".join(w[x[1] : x[2] + 50]) + " ").encode(), digest_size=16).digest() for x in own[1])
