@@ -83,6 +83,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files behind tables that are written by now: its cleaner
+    follows the driver's garbage collection, which a driver with little to do may not run for long."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def lean(rows):
     """``rows`` (what mapInArrow or applyInArrow calls) which gives memory that it freed back to the system when a
     task ends: workers stay alive between tasks, beside those of other stages."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, materialize, table
+from .shared import drop_shuffles, lean, materialize, table
 from .text_arrays import Runs, Words, text_slices
 
 #: Words of a mer, the content-defined anchor of a window.
@@ -143,9 +143,11 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     shared = paths.join(mers, "mer").select(*key, "source", "n_runs")
     hits = runs.join(shared, key).where("source.doc_id < doc_id or n_runs > 1")
     hits = materialize(hits.select("doc_id", "row_key", "s", "e", F.when(F.col("source.doc_id") < F.col("doc_id"), F.col("source")).alias("source")), "dedup-paths")
+    drop_shuffles(docs.sparkSession)
     branches = hits.where("source is null").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     windows = keyed.join(branches, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "runs").mapInArrow(lean(_windows(window)), WINDOWS)
     windows = materialize(windows, "dedup-windows")
+    drop_shuffles(docs.sparkSession)
     first = windows.groupBy("w1", "w2").agg(F.min(place).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last")
     single = windows.join(first, ["w1", "w2"]).where("source.doc_id < doc_id")
     return hits.where("source is not null").unionByName(single.select("doc_id", "row_key", "s", F.col("s").alias("e"), "source"))
