@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_ROWS)
 
 
+#: Folders of the tables that ``materialize`` wrote.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as zstd Parquet in the shared folder and read it back.
 
@@ -58,7 +63,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _folders[written] = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` whose last reader has been written as a table itself."""
+    for df in written:
+        hadoop = df.sparkSession.sparkContext
+        path = hadoop._jvm.org.apache.hadoop.fs.Path(_folders.pop(df))
+        path.getFileSystem(hadoop._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bytes of a table up to which it is broadcast.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_shuffles, lean, materialize, table
+from .shared import discard, drop_shuffles, lean, materialize, table
 from .text_arrays import Runs, Words, text_slices
 
 #: Words of a mer, the content-defined anchor of a window.
@@ -132,7 +132,11 @@ def _windows(window: int):
 def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     """Ranges of window starts whose words also start in a document with a smaller
     doc_id: doc_id, row_key, s, e, source (doc_id, s: where the range's first
-    window starts in the source). Null doc_ids take no part."""
+    window starts in the source). Null doc_ids take no part.
+
+    Each step's rows are a table before the next step starts, and tables and shuffle files
+    that no later step reads go: the disk holds one step at a time. Joins are merge joins at every size.
+    """
     keyed = _keyed(docs)
     runs = materialize(keyed.where("doc_id is not null").mapInArrow(lean(_runs(window)), RUNS), "dedup-runs")
     key = ["mer", "run1", "run2"]
@@ -140,17 +144,22 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     paths = runs.groupBy(*key).agg(F.min(place).alias("source"), F.max("doc_id").alias("last"))
     mers = paths.groupBy("mer").agg(F.count(F.lit(1)).alias("n_runs"), F.min("source.doc_id").alias("least"), F.max("last").alias("most"))
     mers = mers.where("least < most").select("mer", "n_runs")
-    shared = paths.join(mers, "mer").select(*key, "source", "n_runs")
-    hits = runs.join(shared, key).where("source.doc_id < doc_id or n_runs > 1")
+    shared = materialize(paths.join(mers, "mer").select(*key, "source", "n_runs"), "dedup-shared")
+    drop_shuffles(docs.sparkSession)
+    hits = runs.join(shared.hint("merge"), key).where("source.doc_id < doc_id or n_runs > 1")
     hits = materialize(hits.select("doc_id", "row_key", "s", "e", F.when(F.col("source.doc_id") < F.col("doc_id"), F.col("source")).alias("source")), "dedup-paths")
+    discard(runs, shared)
     drop_shuffles(docs.sparkSession)
     branches = hits.where("source is null").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    windows = keyed.join(branches, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "runs").mapInArrow(lean(_windows(window)), WINDOWS)
+    windows = keyed.join(branches.hint("merge"), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "runs").mapInArrow(lean(_windows(window)), WINDOWS)
     windows = materialize(windows, "dedup-windows")
     drop_shuffles(docs.sparkSession)
     first = windows.groupBy("w1", "w2").agg(F.min(place).alias("source"), F.max("doc_id").alias("last")).where("source.doc_id < last").drop("last")
-    single = windows.join(first, ["w1", "w2"]).where("source.doc_id < doc_id")
-    return hits.where("source is not null").unionByName(single.select("doc_id", "row_key", "s", F.col("s").alias("e"), "source"))
+    single = windows.join(first.hint("merge"), ["w1", "w2"]).where("source.doc_id < doc_id")
+    single = materialize(single.select("doc_id", "row_key", "s", F.col("s").alias("e"), "source"), "dedup-single")
+    discard(windows)
+    drop_shuffles(docs.sparkSession)
+    return hits.where("source is not null").unionByName(single)
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -203,7 +212,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -
     table gives an empty result; other columns are ignored. A text of any length is one row of one task.
     """
     found = repeated_windows(docs, window).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    joined = _keyed(docs).join(found, ["doc_id", "row_key"], "left").select("doc_id", "text", "ranges")
+    joined = _keyed(docs).join(found.hint("merge"), ["doc_id", "row_key"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(lean(_removed(window, with_text)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept_text string" if with_text else ""))
 
 
