@@ -135,7 +135,8 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
     window starts in the source). Null doc_ids take no part.
 
     Each step's rows are a table before the next step starts, and tables and shuffle files
-    that no later step reads go: the disk holds one step at a time. Joins are merge joins at every size.
+    that no later step reads go: the disk holds one step at a time. Joins but that of paths with
+    their mers are merge joins at every size.
     """
     keyed = _keyed(docs)
     runs = materialize(keyed.where("doc_id is not null").mapInArrow(lean(_runs(window)), RUNS), "dedup-runs")
