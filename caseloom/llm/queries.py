@@ -12,6 +12,8 @@ from .secret_scan import op10_secret_scan
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 from .token_output import op7_token_output
 from .url_filters import OP2_SQL, op2_url_filters
+from .vector_codes import OP13_SQL, op13_vector_codes
+from .word_trie import op12_word_trie_bpe
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op12_word_trie_bpe": op12_word_trie_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op13_vector_codes": OP13_SQL}
