@@ -6,6 +6,7 @@ from .decontamination import op9_decontamination
 from .jaccard_join import OP6_SQL, op6_jaccard_join
 from .language_id import op3_language_id
 from .mixing import op4_mix_sources
+from .phrases import OP11_SQL, op11_phrases
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import OP1_SQL, op1_quality_rules
 from .secret_scan import op10_secret_scan
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op11_phrases": op11_phrases,
     "op12_word_trie_bpe": op12_word_trie_bpe,
     "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op13_vector_codes": OP13_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op2_url_filters": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op11_phrases": OP11_SQL, "op13_vector_codes": OP13_SQL}

@@ -1,14 +1,16 @@
-"""Vector codes and word-trie BPE against brute force and the library they follow."""
+"""Phrases, vector codes and word-trie BPE against brute force and the library they follow."""
 
 from __future__ import annotations
 
 import hashlib
 import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from caseloom.llm import vector_codes, word_trie
+from caseloom.llm import phrases, vector_codes, word_trie
 
 
 @pytest.mark.parametrize(("width", "scale"), [(1, 5), (3, 4), (4, 300), (7, 10**5), (16, 1000)])
@@ -147,3 +149,82 @@ def test_rows_of_op12(spark, odd, none, library, tmp_path):
     assert word_trie.encoded(none, word_trie.tokenizer_path()).count() == 0
     lists = spark.createDataFrame([(1, [320, None, 99_999_999, -1]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
     assert [r["decoded"] for r in word_trie.decoded(lists, word_trie.tokenizer_path()).orderBy("doc_id").collect()] == ["a</w>", "", ""]
+
+
+def _phrases(rows, least, first=2000):
+    """The rows of collocations by plain counting. ``rows``: (text, lang)."""
+    f, n = defaultdict(Counter), Counter()
+    lower = str.maketrans(phrases._UPPER, phrases._UPPER.lower())
+    for text, lang in rows:
+        for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(lower)):
+            words = re.findall("[^ \t]+", piece)
+            n[lang or "und"] += len(words)
+            for m in range(1, 5):
+                f[lang or "und"].update(tuple(words[k : k + m]) for k in range(len(words) - m + 1))
+    out = []
+    for lang, own in f.items():
+        cand = {w: a for w, a in own.items() if len(w) > 1 and a >= least}
+        kept = []
+        for w, a in cand.items():
+            if any(len(c) > len(w) and 100 * b >= 80 * a and any(c[k : k + len(w)] == w for k in range(len(c))) for c, b in cand.items()):
+                continue
+            score, k = min((2_000_000 * a // (own[w[:k]] + own[w[k:]]), k) for k in range(1, len(w)))
+            kept.append((-score, -a, " ".join(w).encode(), own[w[:k]], own[w[k:]]))
+        out += [(lang, rank + 1, p.decode(), -a, left, right, n[lang], -s) for rank, (s, a, p, left, right) in enumerate(sorted(kept)[:first])]
+    return sorted(out)
+
+
+def _words(r, n):
+    """Text of few words, some of them not ASCII, with marks, line ends and other white space."""
+    return "".join(r.choice(["a", "B", "b", "cc", "é", "É", "\x01", "\u00a0x"]) + r.choice([" "] * 8 + ["\t", "  ", ", ", ".", "\n", "\x0b"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("crowded", [20_000, 3])
+def test_phrases_equal_plain_counts(spark, monkeypatch, crowded):
+    monkeypatch.setattr(phrases, "CROWDED", crowded)  # 3: prefixes are dealt by two and three words
+    r = random.Random(8)
+    rows = [(_words(r, r.randint(0, 60)), r.choice(["en", "fr", None, "und", "a b"])) for _ in range(120)] + [(None, "en"), ("", None), ("a b a b a b", "en"), ("a b a b a b", "en")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    for least, first in ((3, 2000), (12, 4)):
+        got = sorted(map(tuple, phrases.collocations(df, least=least, first=first).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
+        assert got == _phrases(rows, least, first)
+
+
+def test_long_texts_are_cut_without_loss():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    texts = [_words(r, 4000), "x" * 5000 + " " + _words(r, 50), "", None, _words(r, 10)]
+    langs = np.zeros(len(texts), np.int64)
+
+    def windows(size):
+        phrases.SLICE, kept = size, phrases.SLICE
+        try:
+            found = Counter()
+            for c in phrases.chunks(pa.array(texts), langs):
+                names = c.names.to_pylist()
+                for k in np.flatnonzero(c.own):
+                    own = [names[c.code[k]]]
+                    while len(own) < 4 and c.next[k + len(own) - 1]:
+                        own.append(names[c.code[k + len(own)]])
+                    found[tuple(own)] += 1
+            return found
+        finally:
+            phrases.SLICE = kept
+
+    whole = windows(1 << 20)
+    assert whole == windows(100) == windows(1)
+
+
+def test_a_full_bitmap_changes_no_result(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "bitmap", lambda keys, count: np.full(4096, 255, np.uint8))  # every key may be frequent
+    r = random.Random(6)
+    rows = [(_words(r, 40), "en") for _ in range(60)]
+    got = sorted(map(tuple, phrases.collocations(spark.createDataFrame(rows, "text string, lang string"), least=5).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
+    assert got == _phrases(rows, 5)
+
+
+def test_phrases_of_odd_rows(spark, odd, none):
+    got = sorted(map(tuple, phrases.collocations(odd, least=2).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
+    assert got == _phrases([(x["text"], x["lang"]) for x in odd.collect()], 2)
+    assert phrases.collocations(none).count() == 0
