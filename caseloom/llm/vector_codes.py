@@ -33,7 +33,7 @@ from .shared import lean, materialize, small_side, table, unused
 #: Steps a unit, parts of a vector, entries of a codebook, refining rounds.
 STEPS, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
 #: Rows held against a codebook at once.
-BLOCK = 4096
+BLOCK = 512
 
 
 def largest(dim: int) -> int:
@@ -51,11 +51,21 @@ class Blocks:
         self.spread = np.sqrt((np.add.reduceat(parts * parts, cuts, axis=1) * self.size.astype(np.int64) - self.total * self.total).astype(np.float64))
 
 
-def lower_bound(total: np.ndarray, spread: np.ndarray, other: np.ndarray, other_spread: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A number that the squared distance isn't below. Blocks are the last axis."""
-    apart = (total - other).astype(np.float64)
-    ring = np.maximum(np.abs(spread - other_spread) - 1e-15 * (spread + other_spread), 0)
-    return ((apart * apart + ring * ring) / size).sum(axis=-1) * (1 - 1e-12)
+def lower_bound(own: Blocks, book: Blocks, row, entry) -> np.ndarray:
+    """Numbers that the squared distances between the parts ``row`` and the entries ``entry`` (which broadcast) aren't below."""
+    bound = 0.0
+    for k, size in enumerate(own.size):
+        apart = (own.total[row, k] - book.total[entry, k]).astype(np.float64)
+        mine, other = own.spread[row, k], book.spread[entry, k]
+        ring = np.abs(mine - other)
+        ring -= 1e-15 * (mine + other)  # more than the roots can be off
+        np.maximum(ring, 0, out=ring)
+        ring *= ring
+        apart *= apart
+        apart += ring
+        apart *= (1 - 1e-12) / size
+        bound = bound + apart
+    return bound
 
 
 class Codebook:
@@ -84,13 +94,13 @@ class Codebook:
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         own, book = Blocks(parts, self.cuts[0]), self.levels[0]
-        bound = lower_bound(own.total[:, None], own.spread[:, None], book.total, book.spread, own.size)
+        bound = lower_bound(own, book, np.arange(n)[:, None], np.arange(len(self.entries)))
         first = bound.argmin(axis=1)
         known = self._exact(parts, np.arange(n), first)  # no entry beyond this can be nearest
         row, entry = np.nonzero(bound <= known[:, None])
         for cuts, book in zip(self.cuts[1:], self.levels[1:]):
             own = Blocks(parts, cuts)
-            close = lower_bound(own.total[row], own.spread[row], book.total[entry], book.spread[entry], own.size) <= known[row]
+            close = lower_bound(own, book, row, entry) <= known[row]
             row, entry = row[close], entry[close]
         far = self._exact(parts, row, entry)
         head = np.flatnonzero(np.diff(row, prepend=-1))  # the first choice's bound is no bar to itself: every row is there
