@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_shuffles, lean, materialize, small_side, table
+from .shared import drop_shuffles, lean, materialize, table
 from .text_arrays import Words, finish, text_slices
 
 #: Words of a phrase at most, occurrences at least, share of a longer phrase (hundredths) that makes a shorter one go, phrases of a language.
@@ -34,8 +34,10 @@ SCALE = 2_000_000
 SLICE = 4 << 20
 #: Bits of a bitmap for each key, and at most.
 BITS_A_KEY, MOST_BITS = 64, 1 << 28
-#: Windows of a prefix beyond which it is dealt by more words, and how many such prefixes there may be.
-CROWDED, MOST_CROWDED = 20_000, 200_000
+#: Buckets in which windows are counted by prefix, and the windows of one beyond which they are dealt by more words.
+BUCKETS, CROWDED = 8192, 5000
+#: Windows that a task takes up before it grows their patterns.
+TAKEN = 50_000
 
 #: Bytes as they are read: A-Z lower-cased, marks that end a piece as line ends.
 _READ = np.arange(256, dtype=np.uint8)
@@ -289,7 +291,7 @@ def _grow(least: int):
         for batch in batches:
             held.append(batch)
             size += len(batch)
-            if size < CROWDED:
+            if size < TAKEN:
                 continue
             # The last unit may go on in the next batch: what is before it can be grown.
             part = pa.Table.from_batches(held)
@@ -325,29 +327,23 @@ def frequent(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     drop_shuffles(spark)
     windows = materialize(rows.mapInArrow(lean(_project(held, joined)), "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "phrase-windows")
     drop_shuffles(spark)
-    dealt = _dealt(windows).select("lang", "phrase", "n", "unit", _head_by("unit").alias("name"))
-    dealt = dealt.repartition("lang", "name").sortWithinPartitions("lang", "phrase")
+    dealt = _dealt(windows).repartition("lang", "name").sortWithinPartitions("lang", "phrase")
     partial = dealt.mapInArrow(lean(_grow(least)), "lang string, phrase string, n bigint")
     phrases = partial.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return words, materialize(phrases, "phrase-counts")
 
 
-def _head_by(unit: str):
-    return F.when(F.col(unit) == 1, _head(1)).when(F.col(unit) == 2, _head(2)).otherwise(_head(3))
-
-
 def _dealt(windows: DataFrame) -> DataFrame:
-    """``windows`` with ``unit``: by how many of their first words they are dealt to tasks."""
-    sizes = windows.groupBy("lang", _head(2).alias("head")).agg(F.count(F.lit(1)).alias("rows"))
-    most = max(CROWDED, -(-windows.count() // MOST_CROWDED))
-    twos = sizes.where(F.col("rows") > most).select("lang", "head")
-    ones = sizes.groupBy("lang", F.substring_index("head", " ", 1).alias("head")).agg(F.sum("rows").alias("rows")).where(F.col("rows") > most).select("lang", "head")
-    crowded = materialize(ones.withColumn("k", F.lit(1)).unionByName(twos.withColumn("k", F.lit(2))), "phrase-crowded")
-    count = crowded.count()
+    """``windows`` with ``unit``, by how many of their first words they are dealt to tasks, and ``name``, these words.
+
+    Prefixes are counted in BUCKETS; those of a crowded bucket are dealt by one more word."""
+    bucket = lambda k: F.pmod(F.xxhash64("lang", _head(k)), F.lit(BUCKETS))
+    unit = F.lit(1)
     for k in (1, 2):
-        own = crowded.where(F.col("k") == k).select(F.col("lang").alias("__lang"), F.col("head").alias("__head"), F.lit(True).alias(f"__crowded{k}"))
-        windows = windows.join(small_side(own, count, 64), (F.col("lang") == F.col("__lang")) & (_head(k) == F.col("__head")), "left").drop("__lang", "__head")
-    return windows.withColumn("unit", F.when(F.col("__crowded2"), 3).when(F.col("__crowded1"), 2).otherwise(1)).drop("__crowded1", "__crowded2")
+        own = windows.where(unit == k).groupBy(bucket(k).alias("bucket")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWDED)
+        crowded = [r["bucket"] for r in own.collect()]  # BUCKETS rows at most
+        unit = F.when((unit == k) & bucket(k).isin(crowded), k + 1).otherwise(unit) if crowded else unit
+    return windows.withColumn("unit", unit).withColumn("name", F.when(F.col("unit") == 1, _head(1)).when(F.col("unit") == 2, _head(2)).otherwise(_head(3)))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, covered: int = COVERED, first: int = FIRST) -> DataFrame:

@@ -179,9 +179,9 @@ def _words(r, n):
     return "".join(r.choice(["a", "B", "b", "cc", "é", "É", "\x01", "\u00a0x"]) + r.choice([" "] * 8 + ["\t", "  ", ", ", ".", "\n", "\x0b"]) for _ in range(n))
 
 
-@pytest.mark.parametrize("crowded", [20_000, 3])
+@pytest.mark.parametrize("crowded", [20_000, 3, 0])
 def test_phrases_equal_plain_counts(spark, monkeypatch, crowded):
-    monkeypatch.setattr(phrases, "CROWDED", crowded)  # 3: prefixes are dealt by two and three words
+    monkeypatch.setattr(phrases, "CROWDED", crowded)  # 3, 0: prefixes are dealt by two and three words
     r = random.Random(8)
     rows = [(_words(r, r.randint(0, 60)), r.choice(["en", "fr", None, "und", "a b"])) for _ in range(120)] + [(None, "en"), ("", None), ("a b a b a b", "en"), ("a b a b a b", "en")]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
