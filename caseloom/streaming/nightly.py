@@ -3,18 +3,19 @@
 New files are taken with the AvailableNow trigger. Each batch is folded to the latest row of a
 key and overwrites one partition (stream, batch) of a Parquet table, so that a batch which Spark
 replays after a lost driver writes the same partition again; reading folds the batches to
-the latest row of a key. A stream is known by its checkpoint: another one has partitions of its own.
+the latest row of a key. A stream is known by the identifier that Spark keeps in its checkpoint: another one, or a checkpoint made anew at the
+same path, has partitions of its own.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseloom.sources.places import stream_id
+
 SCHEMA = "user_id bigint, event_id bigint, ts timestamp_ntz, status string, value double, n bigint"
 
 
@@ -42,7 +43,7 @@ class Store:
     def read(self, spark: SparkSession) -> DataFrame:
         pick = lambda c: F.max_by(c, "event_id").alias(c)
         folded = self.batches(spark).groupBy("user_id").agg(F.max("event_id").alias("__e"), pick("ts"), pick("status"), pick("value"), F.sum("n").alias("n"))
-        return folded.withColumnRenamed("__e", "event_id").select(*T._parse_datatype_string(SCHEMA).names)
+        return folded.withColumnRenamed("__e", "event_id").select(*(c.split()[0] for c in SCHEMA.split(", ")))
 
     def upsert(self, batch: DataFrame, batch_id: int, stream: str) -> None:
         batch.write.mode("overwrite").parquet(f"{self.folder}/stream={stream}/batch={batch_id}")
@@ -50,9 +51,8 @@ class Store:
 
 def run(spark: SparkSession, source: str, schema: T.StructType, store: Store, checkpoint: str, files_per_batch: int = 100) -> None:
     """Fold everything that is new under ``source`` into the store and return."""
-    name = hashlib.blake2b(checkpoint.rstrip("/").encode(), digest_size=8).hexdigest()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: store.upsert(latest(df), k, name)).start()
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, k: store.upsert(latest(df), k, stream_id(spark, checkpoint))).start()
     query.awaitTermination()
 
 

@@ -48,3 +48,82 @@ def test_fence_refuses_withheld_cases(spark):
     with pytest.raises(store.Refused, match="sealed: 4"):
         store.fence(wanted, sealed, "id", "sealed")
     assert store.fence(wanted, spark.range(7, 9), "id", "held out").count() == 5
+
+
+def test_a_damaged_page_stops_the_job(spark, raw):
+    from pathlib import Path
+
+    (Path(raw) / "month=2001-02" / "a.json").write_text('{"data": [{"number": "1", "day"')
+    with pytest.raises(Exception, match="damaged page 2001-02/a.json"):
+        store.raw_records(spark, raw, RECORD).collect()
+    assert store.raw_records(spark, raw, RECORD, ["2001-01"]).count() == 3 - 1
+
+
+def test_null_splits_and_reasons_are_counted(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "dev"), (3, None)], "number long, split string")
+    meta = store.write_processed(rows, spark.createDataFrame([(None, 2), ("null", 1), ("late", 1)], "reason string, n long"), str(tmp_path / "out"))
+    assert meta == {"rows": 3, "counts_by_split": {"null": 2, "dev": 1}, "excluded": {"null": 3, "late": 1}}
+
+
+def _pages(spark, pages):
+    return spark.createDataFrame([(m, p, c if isinstance(c, str) else json.dumps({"data": c})) for m, p, c in pages], "month string, page string, content string")
+
+
+def test_months_are_staged_and_committed_once(spark, tmp_path):
+    s = store.RawStore(spark, str(tmp_path / "raw"))
+    months = spark.createDataFrame([("2001-01",), ("2001-02",), ("2001-03",)], "month string")
+    assert s.records(RECORD).count() == 0 and s.missing(months).count() == 3
+    first = _pages(spark, [("2001-01", "p1", [{"number": "1", "day": "a", "split": "dev"}, None]), ("2001-01", "p2", [{"number": "2"}]), ("2001-02", "p1", [])])
+    assert s.add(first, "t1") == 2
+    assert s.add(first, "t2") == 0  # a rerun appends nothing
+    assert s.manifest().count() == 2 and [r.month for r in s.missing(months).collect()] == ["2001-03"]
+    # A fetch that broke off before its line was written is invisible.
+    _pages(spark, [("2001-03", "p1", [{"number": "9"}])]).write.partitionBy("month").parquet(str(tmp_path / "raw/pages/fetch=broken"))
+    assert sorted((r.month, r.page, r.place, r.number) for r in s.records(RECORD).collect()) == [("2001-01", "p1", 0, "1"), ("2001-01", "p2", 0, "2")]
+    # A month fetched again replaces what it had; others stay.
+    assert s.add(_pages(spark, [("2001-01", "p1", [{"number": "7"}])]), "t3", refresh=True) == 1
+    assert [(r.month, r.number) for r in s.records(RECORD).collect()] == [("2001-01", "7")]
+    assert s.records(RECORD, ["2001-02"]).count() == 0 and s.manifest().count() == 3
+    latest = {r.month: (r.fetched_at, r.records) for r in s.latest().collect()}
+    assert latest == {"2001-01": ("t3", 1), "2001-02": ("t1", 0)}
+
+
+@pytest.mark.parametrize(("harm", "said"), [("changed", "p1: changed"), ("missing", "p1: missing"), ("extra", "p9: not in the manifest"), ("cut", "damaged page 2001-01/p1")])
+def test_a_month_that_is_not_as_written_stops_the_job(spark, tmp_path, harm, said):
+    s = store.RawStore(spark, str(tmp_path / "raw"))
+    s.add(_pages(spark, [("2001-01", "p1", '{"data": [{"numb' if harm == "cut" else [{"number": "1"}]), ("2001-01", "p2", [])]), "t1")
+    fetch = s.manifest().first().fetch
+    place = f"{s.folder}/pages/fetch={fetch}/month=2001-01"
+    if harm != "cut":
+        pages = {"p1": json.dumps({"data": [{"number": "2" if harm == "changed" else "1"}]}), "p2": json.dumps({"data": []})} | ({"p9": "{}"} if harm == "extra" else {})
+        if harm == "missing":
+            pages.pop("p1")
+        spark.createDataFrame(list(pages.items()), "page string, content string").write.mode("overwrite").parquet(place)
+    with pytest.raises(Exception, match=said):
+        s.records(RECORD).collect()
+    if harm == "changed":
+        assert s.records(RECORD, verify=False).count() == 1
+
+
+def test_build_takes_the_first_reason(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("1", 1, "dev"), ("1", 2, "open"), ("2", 1, None), (None, 1, "dev"), ("3", 1, "x")], "number string, at long, split string")
+    kept, excluded = store.build(rows, "number", ["at"], [("no split", F.col("split").isNull()), ("odd split", ~F.col("split").isin("dev", "open"))])
+    assert [tuple(r) for r in kept.collect()] == [("1", 2, "open")]
+    assert {r.reason: r.n for r in excluded.collect()} == {"no split": 1, "odd split": 1, "no key": 1, "older copy": 1}
+
+
+def test_a_checkpoint_made_anew_has_batches_of_its_own(spark, tmp_path):
+    import shutil
+
+    from caseloom.streaming import nightly
+
+    schema = "user_id bigint, event_id bigint, ts timestamp_ntz, event_type string, value double"
+    at = lambda lo, hi: spark.range(lo, hi).selectExpr("id as user_id", "id as event_id", "timestamp_ntz'2024-01-01' as ts", "'x' as event_type", "1.0D as value")
+    table, check = nightly.Store(str(tmp_path / "table")), str(tmp_path / "check")
+    for k, (lo, hi) in enumerate([(0, 20), (20, 50)]):
+        at(lo, hi).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        nightly.run(spark, str(tmp_path / f"in{k}"), spark.createDataFrame([], schema).schema, table, check)
+        shutil.move(check, f"{check}-old{k}")
+    assert table.read(spark).count() == 50
