@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,10 +14,33 @@ def document_kind(chars_per_page: Column) -> Column:
     return F.when(chars_per_page < 50, "scan").when(chars_per_page > 300, "born digital").otherwise("partial")
 
 
+# Curly quotes and the straight ones that they are read as.
+CURLY, STRAIGHT = "‘’‚‛“”„‟", "''''\"\"\"\""
+
+
 def fold(text: Column) -> Column:
     """Straight quotes, single spaces, lower case (ASCII letters), no spaces at the ends."""
-    straight = F.translate(text, "‘’‚‛“”„‟", "''''\"\"\"\"")
-    return F.trim(F.regexp_replace(F.translate(straight, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\n\x0b\x0c\r]+", " "))
+    # One pass over the characters for quotes and letters.
+    straight = F.translate(text, CURLY + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", STRAIGHT + "abcdefghijklmnopqrstuvwxyz")
+    return F.trim(F.regexp_replace(straight, r"[ \t\n\x0b\x0c\r]+", " "))
+
+
+def folded_text(text: str) -> str:
+    """Compatibility forms and curly quotes folded, white space collapsed, lower case: what fold_forms gives."""
+    return " ".join(unicodedata.normalize("NFKC", text).translate(str.maketrans(CURLY, STRAIGHT)).split()).lower()
+
+
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(folded_text, na_action="ignore")
+
+
+def fold_forms(text: Column) -> Column:
+    """fold, and compatibility forms (ligatures, full-width letters, no-break spaces) and letters of any script as well.
+
+    Texts of ASCII characters, for which the JVM can say all this, don't reach Python: it sees nulls in their place."""
+    plain = ~text.rlike(r"[^\x00-\x7F]")
+    spaces = F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0b\x0c\r\x1c-\x1f]+", " "))
+    return F.when(plain, spaces).otherwise(F.pandas_udf(_folded, "string")(F.when(~plain, text)))
 
 
 def tokens(text: Column) -> Column:
@@ -30,12 +56,22 @@ def trim_marks(text: Column) -> Column:
     return F.regexp_replace(text, EDGES, "")
 
 
+# Where a sentence of a folded text ends, and the notice that is no sentence of its own.
+SENTENCE_END = r"(?<=[.!?;]) |(?<=[.!?])(?=[a-z])"
+NOTICE = r"(?U)^\W*this report was modified on (?:[a-z]+ \d{1,2}, \d{4}|\d{1,2}/\d{1,2}/\d{4})\W*$"
+
+
 def sentences(text: Column, least: int = 20) -> Column:
     """Sentences of at least ``least`` characters after folding and trimming of marks. A sentence also ends at
     a semicolon, and at a mark that a letter follows without a space."""
-    parts = F.split(fold(text), r"(?<=[.!?;]) |(?<=[.!?])(?=[a-z])")
-    bare = F.transform(parts, trim_marks)
-    return F.array_distinct(F.filter(bare, lambda s: F.length(s) >= least))
+    return sentences_of(fold(text), least)
+
+
+def sentences_of(folded: Column, least: int = 20, without: str | None = None) -> Column:
+    """sentences of a text that is folded already; those that match ``without`` go."""
+    bare = F.transform(F.split(folded, SENTENCE_END), trim_marks)
+    fine = lambda s: (F.length(s) >= least) & ~s.rlike(without) if without else F.length(s) >= least
+    return F.array_distinct(F.filter(bare, fine))
 
 
 def estimated_tokens(chars: Column) -> Column:

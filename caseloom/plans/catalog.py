@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assembly, history, pools, projection, runs, scoring, texts  # noqa: F401  each registers its queries
+from . import assembly, history, nightly, pools, projection, runs, scoring, texts  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
