@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, small_batches, table
+from .shared import lean, materialize, small_batches, table
 
 #: Longest n-gram; all shorter ones count as well.
 MAX_N = 4
@@ -178,7 +178,9 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRAIN
     shares = spark.createDataFrame([(r["lang"], min(1.0, landmarks / r["n"]), min(1.0, (landmarks + train_rows) / r["n"])) for r in counts], "lang string, mark double, train double")
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id"), 11) / F.lit(float(1 << 53))
     drawn = labelled.join(F.broadcast(shares), "lang").withColumn("unit", unit)  # at most MAX_LANGUAGES rows
-    sets = drawn.where("unit < mark").select("lang", "text").coalesce(8).mapInArrow(lean(_gram_sets), GRAMS).toPandas()
+    # The sample is written first, by as many tasks as the table has parts; what follows reads it alone.
+    drawn = materialize(drawn.where("unit < train").select("lang", "text", (F.col("unit") < F.col("mark")).alias("mark")), "language-sample")
+    sets = drawn.where("mark").select("lang", "text").repartition(8).mapInArrow(lean(_gram_sets), GRAMS).toPandas()
     sets = [np.asarray(g) for g in sets["grams"] if len(g)]
     held = np.zeros(1 << BITS, np.int64)
     for grams in sets:
@@ -193,7 +195,7 @@ def fit(labelled: DataFrame, landmarks: int = LANDMARKS, train_rows: int = TRAIN
         marks[k, own[own >= 0]] = 1
     if not len(sets) or not len(chosen):
         return Classifier([], features, np.zeros((0, 0), np.float32))
-    sums = drawn.where("unit < train").select("lang", "text").repartition(8).mapInArrow(lean(_normal_equations(features, marks, names)), PARTIAL).collect()  # 8 rows at most
+    sums = drawn.select("lang", "text").repartition(8).mapInArrow(lean(_normal_equations(features, marks, names)), PARTIAL).collect()  # 8 rows at most
     m = len(marks)
     kk = sum(np.frombuffer(r["kk"]).reshape(m, m) for r in sums)
     ky = sum(np.frombuffer(r["ky"]).reshape(m, len(names)) for r in sums)
