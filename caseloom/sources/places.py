@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,3 +27,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The identifier that Spark gave the stream of a checkpoint; a checkpoint made anew at the same path has another one."""
     return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+def written(df, name: str):
+    """``df`` as a Parquet table in the shared folder: later steps read files that outlive any executor, and no lineage grows."""
+    path = shared_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
