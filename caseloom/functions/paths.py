@@ -79,3 +79,19 @@ def fields_named(schema: T.DataType, names: set[str], prefix: str = "") -> list[
     elif isinstance(schema, T.MapType):
         found += fields_named(schema.valueType, names, f"{prefix}{{}}")
     return found
+
+
+def overlaps_any(path: Column, withheld: list[str]) -> Column:
+    """``overlap`` for a column of paths: whether one of the withheld paths is the path, leads to it or lies under it."""
+    own = F.concat(F.regexp_replace(path, r"\[\d*\]", ""), F.lit("."))
+    tops = [f"{normalised(w)}." for w in withheld]
+    out = F.lit(False)
+    for top in tops:
+        out = out | own.startswith(top) | F.startswith(F.lit(top), own)
+    return out
+
+
+def refuse_withheld(fields: dict[str, str], withheld: list[str]) -> None:
+    """An error that names the fields whose paths overlap a withheld path either way: what a model may see is checked before it is read."""
+    if bad := sorted(k for k, p in fields.items() if any(overlap(p, w) for w in withheld)):
+        raise ValueError(f"fields that show withheld text: {', '.join(bad)}")

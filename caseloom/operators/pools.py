@@ -48,3 +48,20 @@ def leave_one_out(rows: DataFrame, group: list[str], value: str) -> DataFrame:
     wins = (own > 0) & (rival.isNull() | (own > rival["n"]) | ((own == rival["n"]) & (F.col(value) < rival[value])))
     # Between the two best there is no third that could win: it has at most the second's count and a larger value.
     return best.select(*group, value, "n", "size", wins.alias("agrees"))
+
+
+def commonest_as_of(rows: DataFrame, at: str, value: str, probes: DataFrame) -> DataFrame:
+    """(at, value, n): how often each value occurs strictly before each of the times ``probes`` (at), values that don't left out.
+
+    Counts by value and time are summed along time once; the probe times, a list as long as a calendar, are put between them."""
+    daily = rows.where(F.col(value).isNotNull()).groupBy(value, at).agg(F.count(F.lit(1)).alias("n"))
+    times = probes.select(at).where(F.col(at).isNotNull()).distinct().agg(F.collect_list(at).alias("__times"))
+    asked = daily.select(value).distinct().join(F.broadcast(times), F.lit(True)).select(value, F.explode("__times").alias(at))  # one row of times
+    both = daily.withColumn("__asked", F.lit(0)).unionByName(asked.withColumn("n", F.lit(0).cast("bigint")).withColumn("__asked", F.lit(1)))
+    before = Window.partitionBy(value).orderBy(at, F.desc("__asked")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("n", F.sum("n").over(before)).where("__asked = 1 and n > 0").select(at, value, "n")
+
+
+def top(counted: DataFrame, keys: list[str], k: int, value: str = "code", n: str = "n") -> DataFrame:
+    """The k rows of each key with the greatest counts, equal ones by value."""
+    return counted.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(n), value))).where(F.col("__rank") <= k).drop("__rank")

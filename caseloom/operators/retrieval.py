@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, doc: str, words: str) -> DataFrame:
-    """(doc, word, tf, length) of each distinct word of a document."""
-    each = docs.select(doc, F.size(words).alias("length"), F.explode(words).alias("word"))
-    return each.groupBy(doc, "word").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+def postings(docs: DataFrame, doc: str, words: str, date: str) -> DataFrame:
+    """(doc, word, tf, length, __d) of each distinct word of a document, with the document's date."""
+    each = docs.select(doc, F.col(date).alias("__d"), F.size(words).alias("length"), F.explode(words).alias("word"))
+    return each.groupBy(doc, "word").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"), F.first("__d").alias("__d"))
 
 
 def as_of_scores(docs: DataFrame, queries: DataFrame, doc: str, query: str, date: str, words: str, stop_share: float | None = None) -> DataFrame:
@@ -27,7 +27,7 @@ def as_of_scores(docs: DataFrame, queries: DataFrame, doc: str, query: str, date
     by_day = marks.groupBy("__t").agg(F.sum("n").alias("n"), F.sum("len").alias("len"))
     past = Window.orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)  # one row a date
     stats = by_day.select(F.col("__t").alias("__at"), F.sum("n").over(past).alias("N"), (F.sum("len").over(past) / F.sum("n").over(past)).alias("avg"))
-    index = postings(docs, doc, words).join(docs.select(doc, F.col(date).alias("__d")), doc)
+    index = postings(docs, doc, words, date)
     wanted = probes.select(query, "__at", F.explode("__words").alias("word"))
     df = index.select("word", F.col("__d").alias("__t"), F.lit(1).alias("c")).unionByName(wanted.select("word", F.col("__at").alias("__t")).distinct().withColumn("c", F.lit(0)))
     df = df.groupBy("word", "__t").agg(F.sum("c").alias("c"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import text as T
 from caseloom.functions.stats import rounded
 from caseloom.operators import automaton, guard
-from caseloom.sources import store
+from caseloom.sources import listing, store
 from caseloom.sources.places import shared_folder
 from caseloom.sources.tables import append_jsonl, read_jsonl, table
 from caseloom.streaming import watch
@@ -131,3 +131,11 @@ def name_coverage(spark, d):
     counts = w.groupBy("field").agg(F.count(F.lit(1)).alias("n_names"), F.count_if("organisation").alias("n_organisations"), F.count_if("digits").alias("n_digits"), F.min(F.length("name")).alias("shortest"), F.max("n_words").alias("most_words"), rounded(F.avg("n_words")).alias("mean_words"))
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return counts.join(met, "field", "left").select(*counts.columns, none("n_surnames"), none("n_collisions"))
+
+
+@query("S16_listing_entries", r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a></li>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS labels FROM pages), e AS (SELECT page_id, unnest(range(len(hrefs))) AS position, hrefs, labels FROM p)
+SELECT page_id, CAST(position AS INTEGER) AS position, hrefs[position + 1] AS href, trim(regexp_replace(replace(replace(replace(replace(replace(replace(labels[position + 1], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\x0b\x0c\r]+', ' ', 'g')) AS label,
+  nullif(regexp_extract(hrefs[position + 1], '([^/?#]*)/?(?:[?#].*)?$', 1), '') AS document FROM e""")
+def listing_entries(spark, d):
+    """Every listed document of every page, in order; a page that declares other rows than were parsed fails the job."""
+    return listing.entries(table(spark, d, "pages")).select("page_id", "position", "href", "label", "document")

@@ -163,3 +163,19 @@ def fence(wanted: DataFrame, withheld: DataFrame, key: str, why: str) -> DataFra
     if found:
         raise Refused(f"{why}: {', '.join(map(str, found))}")
     return wanted
+
+
+def load_cases(wanted: DataFrame, cases: DataFrame, key: str, place: str) -> DataFrame:
+    """The rows of ``cases`` for the keys of ``wanted`` (key, place), with their places; a wanted key that no case has is refused before a case is read."""
+    lost = [r[0] for r in wanted.join(cases.select(key), key, "left_anti").orderBy(place).select(key).limit(3).collect()]
+    if lost:
+        raise Refused(f"no such case: {', '.join(map(str, lost))}")
+    return wanted.select(key, place).join(cases, key)
+
+
+def refuse_dangling(rows: DataFrame, known: DataFrame, key: str, what: str) -> DataFrame:
+    """``rows``, if each has its key in ``known``; else Refused: rows that point nowhere aren't dropped by a join."""
+    lost = [r[0] for r in rows.join(known.select(key), key, "left_anti").select(key).limit(3).collect()]
+    if lost:
+        raise Refused(f"{what} without a case: {', '.join(map(str, lost))}")
+    return rows

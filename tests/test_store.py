@@ -127,3 +127,38 @@ def test_a_checkpoint_made_anew_has_batches_of_its_own(spark, tmp_path):
         nightly.run(spark, str(tmp_path / f"in{k}"), spark.createDataFrame([], schema).schema, table, check)
         shutil.move(check, f"{check}-old{k}")
     assert table.read(spark).count() == 50
+
+
+def test_cases_that_are_not_there_are_refused(spark):
+    cases = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    wanted = spark.createDataFrame([(2, 0), (1, 1)], "id long, place int")
+    assert [r.v for r in store.load_cases(wanted, cases, "id", "place").orderBy("place").collect()] == ["b", "a"]
+    with pytest.raises(store.Refused, match="no such case: 9"):
+        store.load_cases(wanted.union(spark.createDataFrame([(9, 2)])), cases, "id", "place")
+    assert store.refuse_dangling(wanted, cases, "id", "closures").count() == 2
+    with pytest.raises(store.Refused, match="closures without a case: 7"):
+        store.refuse_dangling(spark.createDataFrame([(7,)], "id long"), cases, "id", "closures")
+
+
+def test_listing_text_and_document_ids(spark):
+    from pyspark.sql import functions as F
+
+    from caseloom.sources import listing
+
+    df = spark.createDataFrame([("<b>A &amp; B</b>&nbsp; &lt;i&gt; &#39;x&quot; &amp;lt;", "/d/12/?q=1#z"), ("", ""), (None, None)], "m string, h string")
+    got = [tuple(r) for r in df.select(listing.plain_text(F.col("m")), listing.document_id(F.col("h"))).collect()]
+    assert got == [("A & B <i> 'x\" &lt;", "12"), ("", None), (None, None)]
+
+
+def test_withheld_paths(spark):
+    from pyspark.sql import functions as F
+
+    from caseloom.functions import paths
+
+    withheld = ["a[0].b", "c.d.e", "text"]
+    own = ["a", "a[].b", "a[3].b.c", "a[].bb", "c.d", "c.dd", "c.d.e[].f", "text", "texts", "x"]
+    df = spark.createDataFrame([(p,) for p in own], "p string").select("p", paths.overlaps_any(F.col("p"), withheld).alias("o"))
+    assert {r.p: r.o for r in df.collect()} == {p: any(paths.overlap(p, w) for w in withheld) for p in own}
+    paths.refuse_withheld({"make": "a[0].bb", "day": "c.dd"}, withheld)
+    with pytest.raises(ValueError, match="withheld text: cause, whole"):
+        paths.refuse_withheld({"cause": "c.d.e.f", "whole": "a", "make": "x"}, withheld)
