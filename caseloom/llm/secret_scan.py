@@ -237,7 +237,7 @@ def written_findings(n: int, seed: int = _SEED, hidden: str | None = None) -> li
     for k in range(n):
         if k % 2:
             # Some keys use digits and a few letters only, whichever those are.
-            alphabet = r.choice(alphabets) if r.random() < 0.8 else string.digits + "".join(r.sample(string.ascii_lowercase, r.randint(5, 10)))
+            alphabet = r.choice(alphabets) if r.random() < 0.5 else string.digits + "".join(r.sample(string.ascii_lowercase, r.randint(4, 12)))
             body = "".join(r.choice(alphabet) for _ in range(r.randint(16, 64)))
             if not any(c.isdigit() for c in body):
                 body = body[:-1] + r.choice(string.digits)
