@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assembly, history, measures, nightly, pools, projection, runs, scoring, texts, wholes  # noqa: F401  each registers its queries
+from . import assembly, history, lookups, measures, nightly, pools, projection, runs, scoring, texts, wholes  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
