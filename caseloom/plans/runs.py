@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.stats import rounded
-from caseloom.operators import inference, pools
+from caseloom.operators import inference, pools, selection
 from caseloom.operators.ranking import top_per_group
 from caseloom.sources.tables import table
 
@@ -91,7 +91,8 @@ def belief_path(spark, d):
 @query("A52_reply_budget", """WITH q AS (SELECT role, quantile_disc(length(text), 0.99) AS p99, max(length(text)) AS longest FROM conversations GROUP BY role), s AS (SELECT i * 1000 AS step FROM range(1, 60) AS r(i)) SELECT role, CAST(min(step) AS BIGINT) AS budget FROM q, s WHERE step >= 2 * p99 AND step > longest GROUP BY role""")
 def reply_budget(spark, d):
     """The smallest step of 1,000 that is twice the 99th percentile and above every reply."""
-    q = table(spark, d, "conversations").groupBy("role").agg(F.expr("percentile_disc(0.99) within group (order by length(text))").alias("p99"), F.max(F.length("text")).alias("longest"))
+    lengths = table(spark, d, "conversations").select("role", F.length("text").alias("chars"))
+    q = selection.quantiles(lengths, ["role"], "chars", {"p99": 0.99}).join(lengths.groupBy("role").agg(F.max("chars").alias("longest")), "role")
     return q.select("role", (F.greatest(F.ceil(2 * F.col("p99") / 1000), F.floor(F.col("longest") / 1000) + 1) * 1000).cast("long").alias("budget"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import codes, stats
 from caseloom.functions.stats import rounded, share, wilson, wilson_sql
+from caseloom.operators import selection
 
 from .analogues import ANSWERS, CASES, LINES, SCORED, answers, cases, scored
 from .registry import query
@@ -208,7 +209,8 @@ def miss_groups(spark, d):
     """Every case in the first group that fits, with the group's interpolated median confidence."""
     near = lambda at: F.exists("guesses", lambda g: F.substring(g, at, 3) == F.substring(F.col("truth"), at, 3))
     grp = F.when(F.col("failed"), "failed").when(F.col("abstained"), "abstained").when(F.col("hit1"), "right").when(F.col("hit3"), "in top three").when(near(4), "same event").when(near(1), "same phase").otherwise("elsewhere")
-    return scored(spark, d).groupBy(grp.alias("grp")).agg(F.count(F.lit(1)).alias("n"), rounded(F.percentile("confidence", F.lit(0.5))).alias("median_confidence"))
+    medians = selection.quantiles(scored(spark, d).select(grp.alias("grp"), "confidence"), ["grp"], "confidence", {"median": 0.5}, interpolated=True)
+    return medians.select("grp", "n", rounded(F.col("median")).alias("median_confidence"))
 
 
 @query("A22_finding_depth", f"""WITH {SCORED}, t AS (SELECT case_id, guessed_findings, unnest(true_findings) AS f FROM scored)
@@ -239,8 +241,10 @@ def shape_scan(spark, d):
     from caseloom.functions.text import document_kind
     from caseloom.sources.tables import table
 
-    rows = table(spark, d, "documents").groupBy("lang", document_kind(F.col("n_chars")).alias("kind"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) within group (order by n_chars)").alias("median_chars"), F.max("n_chars").alias("most_chars"), F.countDistinct("source").alias("n_sources"))
+    rows = table(spark, d, "documents").select("lang", document_kind(F.col("n_chars")).alias("kind"), "n_chars", "source")
+    sizes = rows.groupBy("lang", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("most_chars"), F.countDistinct("source").alias("n_sources"))
+    medians = selection.quantiles(rows, ["lang", "kind"], "n_chars", {"median_chars": 0.5}).select(F.col("lang").alias("l"), F.col("kind").alias("k"), "median_chars")
+    return sizes.join(medians, F.col("lang").eqNullSafe(F.col("l")) & F.col("kind").eqNullSafe(F.col("k"))).select("lang", "kind", "n", "median_chars", "most_chars", "n_sources")
 
 
 @query("A28_three_groups", f"""WITH {SCORED}, g AS (SELECT ntile(3) OVER (ORDER BY confidence, case_id) AS grp, confidence, hit3 FROM scored WHERE NOT abstained), h AS (SELECT grp, count(*) AS n, count(*) FILTER (hit3) AS hits, avg(confidence) AS c FROM g GROUP BY grp)

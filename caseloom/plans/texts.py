@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import text as T
 from caseloom.functions.stats import md5_unit, rounded
-from caseloom.operators import guard, inference, ranking, retrieval
+from caseloom.operators import guard, inference, ranking, retrieval, selection
 from caseloom.sources.tables import table
 
 from .analogues import CASES, LINES, SCORED, cases, lines, scored
@@ -228,8 +228,9 @@ def win_loss(spark, d):
 def token_ratio(spark, d):
     r = F.round(F.length("text") / F.greatest(F.lit(1), F.size(F.split("text", " "))), 6)
     rows = table(spark, d, "documents").select("lang", "n_chars", r.alias("r"))
-    q = lambda x: F.expr(f"percentile_disc({x}) within group (order by r)")
-    return rows.groupBy("lang").agg(q(0.5).alias("p50"), q(0.99).alias("p99"), (F.floor(F.max("n_chars") / 1000) * 1000).cast("long").alias("ceiling"))
+    most = rows.groupBy("lang").agg((F.floor(F.max("n_chars") / 1000) * 1000).cast("long").alias("ceiling"))
+    shares = selection.quantiles(rows, ["lang"], "r", {"p50": 0.5, "p99": 0.99}).withColumnRenamed("lang", "own")
+    return most.join(shares, F.col("lang").eqNullSafe(F.col("own"))).select("lang", "p50", "p99", "ceiling")
 
 
 @query("A3_poisson_bootstrap", f"""WITH {SCORED}, r AS (SELECT split, case_id, CAST(hit3 AS INTEGER) AS v, i AS resample, CAST(('0x' || substr(md5(CAST(case_id AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM scored, range(40) AS t(i)),
@@ -296,7 +297,8 @@ def fraction_gate(spark, d):
 def run_durations(spark, d):
     minute = lambda f: F.unix_timestamp(F.date_trunc("minute", f("ts")).cast("timestamp"))
     s = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(((minute(F.max) - minute(F.min)) / 60).cast("long").alias("minutes"))
-    return s.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("minutes", F.lit(0.5)), 4).alias("median_minutes"), F.max("minutes").alias("most_minutes"))
+    medians = selection.quantiles(s, ["day"], "minutes", {"median": 0.5}, interpolated=True).select("day", F.round("median", 4).alias("median_minutes"))
+    return s.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.max("minutes").alias("most_minutes")).join(medians, "day").select("day", "n", "median_minutes", "most_minutes")
 
 
 @query("X1_md5_units", """SELECT o_orderkey AS case_id, round(CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0, 9) AS u FROM orders""")

@@ -48,7 +48,7 @@ def test_leaf_paths_of_any_depth(spark):
 def test_selection_equals_sorting(spark, bins, few):
     r = random.Random(bins)
     groups = {"one": [r.gauss(0, 100) for _ in range(300)], "same": [7.5] * 50, "few": [1.0, -1.0], "ties": [float(r.randint(0, 3)) for _ in range(99)], "wide": [10.0**k for k in range(-20, 20)]}
-    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("null", None)]
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("null", None), (None, 5.0), (None, 6.0), (None, 7.0)]
     r.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, v double").repartition(3)
     wanted = {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p100": 1.0}
@@ -61,6 +61,7 @@ def test_selection_equals_sorting(spark, bins, few):
             at = round(q * (len(vs) - 1), 9)
             lo, hi = vs[math.floor(at)], vs[math.ceil(at)]
             assert between[g][k] == pytest.approx(lo + (hi - lo) * (at % 1), rel=1e-12)
+    assert (near[None].n, near[None].p50) == (3, 6.0)
     assert near["null"].n == 0 and near["null"].p50 is None
     whole = selection.quantiles(df.withColumn("all", F.lit(1)), ["all"], "v", {"p50": 0.5}, bins=bins, few=few).first()
     vs = sorted(v for _, v in rows if v is not None)
