@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lean, materialize, small_batches, table
+from .shared import forget_others, lean, materialize, small_batches, table
 
 #: Longest n-gram; all shorter ones count as well.
 MAX_N = 4
@@ -239,6 +239,7 @@ def accepted(docs: DataFrame, model: Classifier, least: float) -> DataFrame:
     text = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("language_id")
         for batch in batches:
             for lo in range(0, len(batch), 512):
                 part = batch.slice(lo, 512)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 import weakref
@@ -112,15 +113,33 @@ def lean(rows):
         try:
             yield from rows(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not this C library
-                pass
+            _give_back()
 
     return task
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+#: What operators keep in a Python worker from task to task, by their names.
+worker_caches: dict[str, dict] = {}
+
+
+def forget_others(own: str) -> None:
+    """Let go what other operators keep in this worker: one that goes on to another stage needn't hold the last one's words."""
+    held = [cache for name, cache in worker_caches.items() if name != own and cache]
+    for cache in held:
+        cache.clear()
+    if held:
+        gc.collect()
+        _give_back()
+
+
 def let(value, body):
     """Bind a column expression to a lambda variable so that ``body`` reads it
     many times while it is computed once for a row."""

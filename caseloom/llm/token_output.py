@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, materialize, shared_dir, table
+from .shared import lean, materialize, shared_dir, table, worker_caches
 
 #: Interleaved coder states of a block.
 LANES = 2048
@@ -223,6 +223,7 @@ class WordEncoder:
 
 
 _encoders: dict[tuple, WordEncoder] = {}
+worker_caches["token_output"] = _encoders
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
