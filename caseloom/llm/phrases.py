@@ -36,6 +36,8 @@ SLICE = 4 << 20
 BITS_A_KEY, MOST_BITS = 64, 1 << 28
 #: Buckets in which windows are counted by prefix, and the windows of one beyond which they are dealt by more words.
 BUCKETS, CROWDED = 8192, 5000
+#: Shares of a language's phrases that are ranked apart before they are ranked together.
+SHARES = 128
 #: Windows that a task takes up before it grows their patterns.
 TAKEN = 50_000
 
@@ -369,8 +371,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     held = split.where(F.size("w") > 2).select("lang", "a", F.explode(F.flatten(inner)).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("more"))
     kept = best.join(held, ["lang", "phrase"], "left").where(F.col("more").isNull() | (100 * F.col("more") < covered * F.col("a")))
     flat = kept.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = flat.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= first)
+    # The first of each share of a language's phrases, then of those: no task sorts a whole language.
+    best_first = [F.desc("score"), F.desc("a"), "phrase"]
+    share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*best_first)
+    few = flat.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= first)
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first)).cast("bigint")).where(F.col("rank") <= first)
     totals = words.where(F.col("word").isNull()).select("lang", F.col("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
