@@ -53,7 +53,8 @@ STAGES: list = [
     ("mixing", mix_to_targets),
     ("token_output", write_token_ids),
 ]
-#: The classifier's and the fingerprints' rows are beyond SQL; tests hold each stage against a brute-force version.
+#: The classifier's and the fingerprints' rows are beyond SQL. Tests hold the operators of stages two to five against brute force and
+#: language identification against held-out labels, and run the stages in place.
 ORACLE_SQL = None
 
 
