@@ -106,7 +106,7 @@ def _hashes(words: pa.Array) -> np.ndarray:
 
 
 def _lang_hashes(langs: list[str]) -> np.ndarray:
-    return _hashes(pa.array(["." + x.replace(" ", "_") for x in langs])) if langs else np.zeros(0, np.uint64)
+    return _hashes(pa.array([x.encode().hex() + "." for x in langs])) if langs else np.zeros(0, np.uint64)
 
 
 def _keys(lang: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -175,11 +175,10 @@ class _Links:
     """Of a chunk's words, keys and which may be frequent."""
 
     def __init__(self, chunk: Chunk, langs: list[str], words: Bitmap):
-        hashes = _hashes(chunk.names)
-        self.chunk, n = chunk, len(chunk.names)
-        # Keys of the different (lang, word); a chunk has few languages.
-        self.keys = _keys(np.repeat(_lang_hashes(langs), n), np.tile(hashes, len(langs)))
-        self.hashes, self.word = hashes, chunk.lang * n + chunk.code
+        self.hashes, self.chunk, n = _hashes(chunk.names), chunk, len(chunk.names)
+        # Keys of the different (lang, word) that occur, and which of them each word is.
+        both, self.word = np.unique(chunk.lang * n + chunk.code, return_inverse=True)
+        self.keys = _keys(_lang_hashes(langs)[both // n], self.hashes[both % n])
         may = words.holds(self.keys)[self.word]
         self.link = chunk.next.copy()
         self.link[:-1] &= may[:-1] & may[1:]

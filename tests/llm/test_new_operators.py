@@ -158,9 +158,9 @@ def _phrases(rows, least, first=2000):
     for text, lang in rows:
         for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(lower)):
             words = re.findall("[^ \t]+", piece)
-            n[lang or "und"] += len(words)
+            n["und" if lang is None else lang] += len(words)
             for m in range(1, 5):
-                f[lang or "und"].update(tuple(words[k : k + m]) for k in range(len(words) - m + 1))
+                f["und" if lang is None else lang].update(tuple(words[k : k + m]) for k in range(len(words) - m + 1))
     out = []
     for lang, own in f.items():
         cand = {w: a for w, a in own.items() if len(w) > 1 and a >= least}
@@ -183,7 +183,7 @@ def _words(r, n):
 def test_phrases_equal_plain_counts(spark, monkeypatch, crowded):
     monkeypatch.setattr(phrases, "CROWDED", crowded)  # 3, 0: prefixes are dealt by two and three words
     r = random.Random(8)
-    rows = [(_words(r, r.randint(0, 60)), r.choice(["en", "fr", None, "und", "a b"])) for _ in range(120)] + [(None, "en"), ("", None), ("a b a b a b", "en"), ("a b a b a b", "en")]
+    rows = [(_words(r, r.randint(0, 60)), r.choice(["en", "fr", None, "und", "a\tb", ""])) for _ in range(120)] + [(None, "en"), ("", None), ("a b a b a b", "en"), ("a b a b a b", "en")]
     df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
     for least, first in ((3, 2000), (12, 4)):
         got = sorted(map(tuple, phrases.collocations(df, least=least, first=first).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()))
