@@ -61,3 +61,13 @@ def global_ntile(df: DataFrame, k: int, order: list[str], name: str = "tile") ->
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group. Spark keeps only k rows a group in each task before it shuffles."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
+
+
+def even_draw(df: DataFrame, stratum: str, order: list, n: int) -> DataFrame:
+    """``n`` rows dealt over the strata as evenly as possible, the first in ``order`` of each; what doesn't divide goes to the first strata in
+    order. A stratum with fewer rows gives all it has; rows without a stratum aren't drawn."""
+    known = df.where(F.col(stratum).isNotNull())
+    strata = known.select(stratum).distinct()
+    quota = strata.withColumn("__i", F.row_number().over(Window.orderBy(stratum))).withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy()))  # a row a stratum
+    each = quota.select(stratum, (F.floor(F.lit(n) / F.col("__m")) + F.when(F.col("__i") <= F.lit(n) % F.col("__m"), 1).otherwise(0)).alias("__quota"))
+    return top_per_group(known, [stratum], order, n, "__rank").join(each, stratum).where("__rank <= __quota").drop("__rank", "__quota")

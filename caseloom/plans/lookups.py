@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.stats import rounded
-from caseloom.operators import selection
+from caseloom.operators import ranking, selection
 from caseloom.operators.ranking import top_per_group
+from caseloom.sources.tables import table
 
-from .analogues import LINES, SCORED, lines, scored
+from .analogues import CASES, LINES, SCORED, cases, lines, scored
 from .registry import query
 
 
@@ -107,3 +108,49 @@ def miss_groups(spark, d):
     medians = selection.quantiles(rows, ["kind"], "confidence", {"median": 0.5}, interpolated=True).select("kind", rounded(F.col("median")).alias("median_confidence"))
     rate = rounded(F.col("n") / F.sum("n").over(Window.partitionBy())).alias("rate")  # a row a group
     return counts.join(medians, "kind").select("kind", "n", rate, "median_confidence", "one_guess", "two_guesses", "three_guesses")
+
+
+@query("T14_even_draw", f"""WITH {CASES}, k AS (SELECT priority, row_number() OVER (ORDER BY priority) AS i, count(*) OVER () AS m FROM (SELECT DISTINCT priority FROM cases)), r AS (SELECT priority, case_id, row_number() OVER (PARTITION BY priority ORDER BY md5(CAST(case_id AS VARCHAR)), case_id) AS r FROM cases),
+fk AS (SELECT total > 250000 AS fatal, row_number() OVER (PARTITION BY total > 250000 ORDER BY md5(CAST(case_id AS VARCHAR)), case_id) AS r, case_id FROM cases)
+SELECT 'priority ' || priority AS stratum, case_id FROM r JOIN k USING (priority) WHERE r <= 62 // m + CASE WHEN i <= 62 % m THEN 1 ELSE 0 END UNION ALL SELECT CASE WHEN fatal THEN 'fatal' ELSE 'other' END, case_id FROM fk WHERE r <= CASE WHEN fatal THEN 12 ELSE 13 END""")
+def even_draw(spark, d):
+    """62 cases dealt over the priorities as evenly as possible, and 25 over fatal and other ones, in a keyed order."""
+    own = cases(spark, d)
+    order = [F.md5(F.col("case_id").cast("string")), F.col("case_id")]
+    by_priority = ranking.even_draw(own.select("priority", "case_id"), "priority", order, 62).select(F.concat(F.lit("priority "), "priority").alias("stratum"), "case_id")
+    kind = F.when(F.col("total") > 250000, "fatal").otherwise("other")
+    # The remainder goes to the first stratum by name; here it is to be the other one.
+    by_kind = ranking.even_draw(own.select(F.when(kind == "other", 0).otherwise(1).alias("k"), "case_id"), "k", order, 25).select(F.when(F.col("k") == 0, "other").otherwise("fatal").alias("stratum"), "case_id")
+    return by_priority.unionByName(by_kind)
+
+
+@query("T4_model_order", f"""WITH {LINES}, o AS (SELECT case_id, code, floor(quantity / 10) / 10 AS p, seq, 0 AS none FROM lines UNION ALL SELECT DISTINCT case_id, 'none', 0.3, 0, 1 FROM lines), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY p DESC, none DESC, seq, code) AS r FROM o)
+SELECT case_id, list(code ORDER BY r) AS ranked FROM r WHERE r <= 3 GROUP BY case_id""")
+def model_order(spark, d):
+    """The three likeliest answers: equal chances in the model's order, but none of these before any other."""
+    rows = lines(spark, d)
+    given = rows.select("case_id", "code", (F.floor(F.col("quantity") / 10) / 10).alias("p"), "seq", F.lit(0).alias("none"))
+    none = rows.select("case_id").distinct().select("case_id", F.lit("none").alias("code"), F.lit(0.3).alias("p"), F.lit(0).alias("seq"), F.lit(1).alias("none"))
+    three = top_per_group(given.unionByName(none), ["case_id"], [F.desc("p"), F.desc("none"), "seq", "code"], 3)
+    return three.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias("ranked"))  # three at most
+
+
+@query("A47_admissible_cut", r"""WITH w AS (SELECT lang, source, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n_words FROM documents GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n_words DESC, source) AS r FROM w),
+c AS (SELECT *, min(CASE WHEN n_docs < 5 THEN r END) OVER (PARTITION BY lang) AS stop FROM o) SELECT lang, source, n_docs, n_words, CAST(r AS INTEGER) AS rank, stop IS NULL OR r < stop AS admitted FROM c""")
+def admissible_cut(spark, d):
+    """Sources of a language from the largest down, admitted until the first that has too few documents; what comes after it isn't, however many it has."""
+    words = F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))).alias("n_words")
+    w = table(spark, d, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), words)
+    line = Window.partitionBy("lang").orderBy(F.desc("n_words"), F.asc_nulls_last("source"))  # a row a source
+    o = w.withColumn("rank", F.row_number().over(line))
+    stop = F.min(F.when(F.col("n_docs") < 5, F.col("rank"))).over(Window.partitionBy("lang"))
+    return o.withColumn("stop", stop).select("lang", "source", "n_docs", "n_words", "rank", (F.col("stop").isNull() | (F.col("rank") < F.col("stop"))).alias("admitted"))
+
+
+@query("A53_grades", f"""WITH {SCORED}, g AS (SELECT CASE WHEN failed THEN 'not coded: failed' WHEN abstained THEN 'not coded: abstained' WHEN hit1 THEN 'same' WHEN hit3 THEN 'other order' ELSE 'different' END AS grade, event_date FROM scored WHERE status = 'F')
+SELECT grade, count(*) AS n, min(event_date) AS first_day, max(event_date) AS last_day, count(DISTINCT event_date) AS n_days FROM g GROUP BY grade""")
+def grades(spark, d):
+    """Closed cases by grade, with the kinds of those that weren't coded, and the nights over which they closed."""
+    grade = F.when(F.col("failed"), "not coded: failed").when(F.col("abstained"), "not coded: abstained").when(F.col("hit1"), "same").when(F.col("hit3"), "other order").otherwise("different")
+    g = scored(spark, d).where("status = 'F'").groupBy(grade.alias("grade"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.min("event_date").alias("first_day"), F.max("event_date").alias("last_day"), F.countDistinct("event_date").alias("n_days"))
