@@ -46,7 +46,7 @@ _LOW, _ONE = np.uint64(1 << 31), np.uint64(1)
 #: Words that a worker keeps with their ids; then it begins anew, with those that it meets again.
 CACHE = 500_000
 #: Bytes of text encoded at once; a single longer text makes a longer slice.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _INSIDE_GAP = re.compile(r"\s \s|\s \Z")
 #: White space before a space, without which no run of it is cut; of the rarer kinds any place counts.
