@@ -38,6 +38,12 @@ def _get(files, path: str) -> str:
         return f.read().decode()
 
 
+def _current(files, top: str) -> str | None:
+    from pyarrow.fs import FileType
+
+    return _get(files, f"{top}/current") if files.get_file_info(f"{top}/current").type == FileType.File else None
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     part: str | None
@@ -71,7 +77,14 @@ class _Writer(DataSourceWriter):
         index = {"format": FORMAT, "stamp": json.loads(self.stamp), "cases": sum(m.cases for m in done), "parts": sorted(m.part for m in done if m.part)}
         files.create_dir(f"{top}/versions/{self.version}", recursive=True)
         _put(files, f"{top}/versions/{self.version}/index.json", json.dumps(index, sort_keys=True))
+        before = _current(files, top)
         _put(files, f"{top}/current", self.version)  # the commit point
+        # The version before stays for those who are reading it; older ones, and what failed jobs left, go. One writer at a time.
+        from pyarrow.fs import FileSelector
+
+        for old in files.get_file_info(FileSelector(f"{top}/versions")):
+            if old.base_name not in (self.version, before):
+                files.delete_dir(old.path)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         files, top = _fs(self.path)
@@ -104,12 +117,10 @@ def export(board: DataFrame, path: str, stamp: dict | None = None) -> None:
 
 def index(path: str) -> dict | None:
     """The index of the current version, None before the first."""
-    from pyarrow.fs import FileType
-
     files, top = _fs(path.rstrip("/"))
-    if files.get_file_info(f"{top}/current").type != FileType.File:
+    version = _current(files, top)
+    if version is None:
         return None
-    version = _get(files, f"{top}/current")
     return json.loads(_get(files, f"{top}/versions/{version}/index.json")) | {"version": version}
 
 
