@@ -445,6 +445,23 @@ def test_hub_edges_stay_apart(spark, monkeypatch):
     assert got == {k: v for k, v in label.items() if any(k in p and p[0] != p[1] for p in pairs)}
 
 
+def test_a_round_of_components_plans_one_join_at_a_time(spark, monkeypatch):
+    from caseloom.llm import graph
+
+    joins, held, write = [], [], graph.materialize
+
+    def noted(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        held.append(write(df, name))
+        return held[-1]
+
+    monkeypatch.setattr(graph, "materialize", noted)
+    pairs = [(i, i + 1) for i in range(1, 60)] + [(100, 101)]
+    got = {x["node"]: x["component"] for x in graph.components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
+    assert len(joins) > 8 and max(joins) == 1
+
+
 def test_names_that_the_operators_use(spark, odd):
     clash = odd.select("doc_id", "text", "lang", "source", *[F.lit("x").alias(c) for c in ("__id", "__gone", "__place", "doc", "_doc", "goes", "place", "key", "row", "words", "gone")])
     assert jaccard_join.keep_one(clash).columns == clash.columns
