@@ -179,3 +179,19 @@ def test_nightly_batches_equal_one_batch(spark, tmp_path, sf_dir):
     nightly.run(spark, str(tmp_path / "more/*"), events.schema, store, str(tmp_path / "another"))
     rows = store.read(spark).collect()
     assert {r["status"] for r in rows} == {"late"} and sum(r["n"] for r in rows) == 2 * counted
+
+
+def test_records_of_any_depth_are_read_once(spark):
+    from caseloom.operators import census
+
+    read = spark.sparkContext.accumulator(0)
+
+    def noted(s):
+        read.add(1)
+        return s
+
+    rows = spark.createDataFrame([('{"a": [{"b": {"c": [{"d": null}, {}, []]}}], "e": 1}',)] * 3 + [("7",)], "s string")
+    records = rows.select(F.parse_json(F.udf(noted, "string").asNondeterministic()("s")).alias("v"))
+    got = {(x["path"], x["n"], tuple(x["kinds"])) for x in census.leaf_paths(records, "v").collect()}
+    assert got == {("a[].b.c[].d", 3, ("VOID",)), ("e", 3, ("BIGINT",)), ("", 1, ("BIGINT",))}
+    assert read.value == 4
