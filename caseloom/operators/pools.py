@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a task that puts cases together.
+TASK_ROWS = 500_000
+
+
+def by_case(rows: DataFrame, n: int, case: str = "case_id") -> DataFrame:
+    """``rows`` with each case in one task, as many tasks as ``n`` rows ask for: what a task holds doesn't grow with the table.
+    Tables dealt for the same ``n`` are joined, and grouped by case, where they lie."""
+    return rows.repartition(-(-n // TASK_ROWS) or 1, case)
+
 
 def code_sets(rows: DataFrame, case: str = "case_id", code: str = "code") -> DataFrame:
     """Distinct (case, code): a code counts once for a case."""

@@ -195,3 +195,14 @@ def test_records_of_any_depth_are_read_once(spark):
     got = {(x["path"], x["n"], tuple(x["kinds"])) for x in census.leaf_paths(records, "v").collect()}
     assert got == {("a[].b.c[].d", 3, ("VOID",)), ("e", 3, ("BIGINT",)), ("", 1, ("BIGINT",))}
     assert read.value == 4
+
+
+def test_a_case_is_put_together_in_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    from caseloom.operators import pools
+    from caseloom.plans import catalog
+
+    monkeypatch.setattr(pools, "TASK_ROWS", 1000)
+    for name in ("A19_pairs", "A19_present", "A19_defining_given_present", "A19_findings_by_defining", "R5_usage_pairs"):
+        plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 1000)
+        assert f"RepartitionByExpression [case_id" in plan and f", {n}" in plan
