@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caseloom.functions.stats import rounded
-from caseloom.operators import ranking, selection
+from caseloom.operators import pools, ranking, selection
 from caseloom.operators.ranking import top_per_group
 from caseloom.sources.tables import table
 
@@ -39,7 +39,8 @@ def occurrence_usage(spark, d):
 @query("R5_usage_pairs", f"""WITH {_SETS} SELECT a.code AS a, b.code AS b, count(*) AS n_both, count(*) FILTER (a.defining) AS a_defining, count(*) FILTER (b.defining) AS b_defining FROM sets a JOIN sets b ON a.case_id = b.case_id AND a.code < b.code GROUP BY ALL HAVING count(*) >= 2""")
 def usage_pairs(spark, d):
     """Pairs of codes that two cases or more hold: how many hold both, and how often each is the defining one."""
-    own = _sets(spark, d).groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("code", "defining"))).alias("codes"))  # a case has a few codes
+    sets = pools.by_case(lines(spark, d), table(spark, d, "lineitem").count()).groupBy("case_id", "code").agg(F.bool_or("defining").alias("defining"))
+    own = sets.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("code", "defining"))).alias("codes"))  # a case has a few codes
     pair = F.flatten(F.transform("codes", lambda x, i: F.transform(F.slice("codes", i + 2, F.greatest(F.size("codes") - i - 1, F.lit(0))), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     rows = own.select(F.explode(pair).alias("p")).groupBy(F.col("p.x.code").alias("a"), F.col("p.y.code").alias("b"))
     return rows.agg(F.count(F.lit(1)).alias("n_both"), F.count_if("p.x.defining").alias("a_defining"), F.count_if("p.y.defining").alias("b_defining")).where("n_both >= 2")
