@@ -206,3 +206,13 @@ def test_a_case_is_put_together_in_tasks_of_bounded_rows(spark, sf_dir, monkeypa
         plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         n = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 1000)
         assert f"RepartitionByExpression [case_id" in plan and f", {n}" in plan
+
+
+def test_only_asked_words_are_counted(spark):
+    from caseloom.operators import retrieval
+
+    docs = spark.createDataFrame([(1, 1, ["x", "y", "z"]), (2, 2, ["x", "x"]), (3, 9, ["x"]), (4, 2, ["q"])], "doc bigint, day bigint, words array<string>")
+    asks = spark.createDataFrame([(1, 3, ["x", "w"]), (2, 2, ["x", "y"]), (3, 1, ["x"])], "item bigint, day bigint, words array<string>")
+    scores = retrieval.as_of_scores(docs, asks, "doc", "item", "day", "words")
+    assert sorted((x["item"], x["doc"]) for x in scores.collect()) == [(1, 1), (1, 2), (2, 1)]
+    assert "LeftSemi" in scores._jdf.queryExecution().optimizedPlan().toString()
