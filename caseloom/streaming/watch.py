@@ -30,15 +30,18 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 def last_of_each_night(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The last observation of each key and night within a task, so that a key with very many goes to its task as few rows."""
-    held: pd.DataFrame | None = None
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        both = pdf if held is None else pd.concat([held, pdf])
-        held = both.sort_values(["at", "event_id"], kind="stable").drop_duplicates(["key", "run"], keep="last")
-        if len(held) > 200_000:
-            yield held
-            held = None
-    if held is not None:
-        yield held
+        held.append(pdf)
+        if sum(map(len, held)) > 200_000:
+            yield _last(held)
+            held = []
+    if held:
+        yield _last(held)
+
+
+def _last(held: list[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(held).sort_values(["at", "event_id"], kind="stable").drop_duplicates(["key", "run"], keep="last")
 
 
 def nights(seen: list[tuple[date, str]], before: tuple[date, str, date | None] | None, open_status: str, days: int) -> list[tuple]:
@@ -68,8 +71,8 @@ class Watch(StatefulProcessor):
         self.latest = handle.getValueState("latest", "run date, status string, watch_until date")
         self.seen = handle.getMapState("seen", "run date", "at timestamp_ntz, event_id bigint, status string")
 
-    def _timer(self, until: date | None) -> None:
-        for t in list(self.handle.listTimers()):
+    def _timer(self, was: date | None, until: date | None) -> None:
+        for t in list(self.handle.listTimers()) if was is not None else ():  # without a tail there is none
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         if until is not None:
             self.handle.registerTimer(int(datetime(until.year, until.month, until.day, tzinfo=UTC).timestamp() * 1000))
@@ -82,8 +85,10 @@ class Watch(StatefulProcessor):
                 if day not in new or own[:2] > new[day][:2]:
                     new[day] = own
         changed = []
+        last = self.latest.get() if self.latest.exists() else None
+        before = None if last is None else (_day(last[0]), last[1], _day(last[2]))
         for day, own in new.items():
-            if self.seen.containsKey((day,)):
+            if before is not None and day <= before[0] and self.seen.containsKey((day,)):  # each call to the state is a round trip; no night after the latest is known
                 at, event, _ = self.seen.getValue((day,))
                 if (pd.Timestamp(at), int(event)) >= own[:2]:
                     continue  # seen already, as after a replay
@@ -92,8 +97,6 @@ class Watch(StatefulProcessor):
         if not changed:
             return
         changed.sort()
-        last = self.latest.get() if self.latest.exists() else None
-        before = None if last is None else (_day(last[0]), last[1], _day(last[2]))
         if before is None or changed[0][0] > before[0]:
             out = nights(changed, before, self.open_status, self.days)
         else:  # a late night, or a later observation of a known one: the rows from there on are told again
@@ -101,8 +104,9 @@ class Watch(StatefulProcessor):
             out = [r for r in nights(known, None, self.open_status, self.days) if r[0] >= changed[0][0]]
         end = out[-1]
         self.latest.update((end[0], end[1], end[4]))
-        if (before[2] if before else None) != end[4]:
-            self._timer(end[4])
+        was = before[2] if before else None
+        if was != end[4]:
+            self._timer(was, end[4])
         yield pd.DataFrame([(key[0], "seen", *r) for r in out], columns=["key", "kind", "run", "status", "old", "absent_run", "watch_until"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
