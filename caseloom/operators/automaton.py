@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,15 +85,19 @@ def containing(texts: DataFrame, doc: str, text: str, strings: DataFrame, column
     held = [r[0] for r in strings.select(column).where(F.col(column) != "").distinct().collect()]  # MOST rows at most
     sent = texts.sparkSession.sparkContext.broadcast((held, whole))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = once("containing", sent, lambda v: Automaton(*v))
-        for pdf in batches:
-            found = [(d, s) for d, t in zip(pdf["doc"], pdf["text"]) if t is not None for s in machine.held(t)]
-            yield pd.DataFrame(found, columns=["doc", "string"])
+        for batch in batches:
+            at, strings = [], []
+            for k, t in enumerate(batch.column("text")):  # one text at a time is a Python string
+                held = machine.held(t.as_py())
+                at += [k] * len(held)
+                strings += held
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(at, pa.int64())), pa.array(strings, pa.string())], ["doc", "string"])
 
     kind = texts.schema[doc].dataType.simpleString()
     few = texts.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    return few.mapInPandas(rows, f"doc {kind}, string string").select(F.col("doc").alias(doc), F.col("string").alias(column))
+    return few.mapInArrow(rows, f"doc {kind}, string string").select(F.col("doc").alias(doc), F.col("string").alias(column))
 
 
 def _same_length_lower(text: str) -> str:
