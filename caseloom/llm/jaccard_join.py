@@ -5,7 +5,8 @@ Classes meet in a group when they agree on one of the parts that a set falls
 into: at similarity t two sets of at most X and X/t shingles differ in at most
 H = X(1-t)/t of them, so of more than H parts (ranges of the shingles' hashes) at
 least one that isn't empty is equal in both. No link is lost, and no statistics of the corpus are
-needed. In a group the sets, their shingles in one global order (commonest in
+needed. Groups that grow large because their sets share passages fall apart by their
+rarest shingles first, of which similar sets share one. In a group the sets, their shingles in one global order (commonest in
 the group first), are stored in a prefix tree; each set walks down the tree with
 its overlap so far, shared by all sets below a node, and leaves a subtree as
 soon as what remains of either side can no longer reach the overlap needed.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import lean, materialize, small_side, table, unused
+from .shared import BROADCAST_BYTES, discard, drop_shuffles, lean, materialize, small_side, table, unused
 from .text_arrays import Runs, Words, finish, text_slices
 
 #: Shingles in one block of a large group; a group of more is cut into blocks and
@@ -423,6 +424,92 @@ def _classes(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return base, classes
 
 
+TOKENS, SHARED = "bucket int, tokens binary, owners binary", "token bigint, no bigint, held int"
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, all highest ones together and so on: those that repeat are compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def _token_rows(n: int, buckets: int):
+    """The shingles of each class's text with the class's number, in ascending order, a row for each range of hashes."""
+    edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+
+    def rows_of(numbers: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, owners = np.concatenate(sets), np.repeat(np.array(numbers, np.int64), [len(x) for x in sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        cut = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
+        full = np.flatnonzero(np.diff(cut))
+        packed = lambda x: pa.array([_planes(x[cut[b] : cut[b + 1]]) for b in full], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), packed(tokens), packed(owners)], names=["bucket", "tokens", "owners"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, sets, size = [], [], 0
+        for batch in batches:
+            for k, x in _sets_of(batch.column("text"), n):
+                if _digest(x) == batch.column("set_hash")[k].as_py():  # else another text under the class's doc_id
+                    numbers.append(batch.column("no")[k].as_py())
+                    sets.append(x)
+                    size += len(x)
+                if size >= COMBINE:
+                    yield rows_of(numbers, sets)
+                    numbers, sets, size = [], [], 0
+        if sets:
+            yield rows_of(numbers, sets)
+
+    return rows
+
+
+def _shared_tokens(rows: pa.Table) -> pa.Table:
+    """The shingles of one range that two classes or more have, with the number of classes."""
+    tokens, owners = (np.concatenate([_from_planes(x) for x in rows.column(c).to_pylist()]) for c in ("tokens", "owners"))
+    order = np.lexsort((owners, tokens))
+    tokens, owners = tokens[order], owners[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])  # repeated rows count once
+    tokens, owners = tokens[new], owners[new]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    held = np.repeat(np.diff(np.append(first, len(tokens))), np.diff(np.append(first, len(tokens))))
+    some = np.flatnonzero(held > 1)
+    some = some[np.argsort(owners[some], kind="stable")]
+    return pa.table({"token": pa.array(tokens[some]), "no": pa.array(owners[some]), "held": pa.array(held[some].astype(np.int32))})
+
+
+def _kindred(texts: DataFrame, large: DataFrame, num: int, den: int, n: int) -> DataFrame:
+    """doc_id and component: the parts into which large clusters (``large``: doc_id, set_hash, no, n_shingles, cluster) fall.
+
+    Two similar sets share one of their rarest |x| - t|x| + 1 shingles, in one order for all: that of the number of classes
+    which have a shingle. A set with fewer than t|x| shingles that another has as well has no link. What only shares
+    passages falls apart here. Each shingle of a large cluster's classes is shuffled once.
+    """
+    spark = texts.sparkSession
+    size = large.agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")).first()
+    own = texts.join(small_side(large.select("doc_id", "set_hash", "no"), size["n"], 80), "doc_id")
+    if size["n"] * 80 > BROADCAST_BYTES:  # texts were shuffled: those files go before shingles are
+        own = materialize(own, "jaccard-texts")
+        drop_shuffles(spark)
+    rows = own.mapInArrow(lean(_token_rows(n, max(1, -(-size["total"] // BLOCK)))), TOKENS)
+    shared = materialize(rows.groupBy("bucket").applyInArrow(_shared_tokens, SHARED), "jaccard-shared")
+    if size["n"] * 80 > BROADCAST_BYTES:
+        discard(own)
+    drop_shuffles(spark)
+    need = F.expr(f"({num} * n_shingles + {den - 1}) div {den}")
+    counts = shared.groupBy("no").agg(F.count(F.lit(1)).alias("m"))
+    left = materialize(large.select("no", "doc_id", "cluster", need.alias("need")).join(counts, "no").where("m >= need").drop("m"), "jaccard-left")
+    line = Window.partitionBy("no").orderBy(F.desc("held"), F.desc("token"))
+    rare = shared.join(small_side(left, left.count(), 60), "no").withColumn("place", F.row_number().over(line)).where("place >= need")
+    hub = F.first("doc_id").over(Window.partitionBy("cluster", "token").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    found = components(rare.select("doc_id", hub.alias("hub")).where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
+    discard(shared, left)
+    return found.withColumnRenamed("node", "doc_id")
+
+
 def _grouped(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The classes' sets, with block pairs (i, j), keyed by the cluster in which all their links lie.
 
@@ -437,7 +524,15 @@ def _grouped(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) ->
     edges = parts.select("doc_id", hub.alias("hub")).where("doc_id <> hub").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("n"))
     clusters = components(edges.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")))
     members = classes.select("set_hash", F.col("rep").alias("doc_id"), "copies", "n_shingles").join(clusters.withColumnRenamed("node", "doc_id"), "doc_id")
-    totals = members.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1").drop("n_classes")
+    members = materialize(members.withColumn("no", F.monotonically_increasing_id()), "jaccard-clusters")
+    shingles = lambda rows: rows.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("n_classes")).where("n_classes > 1").drop("n_classes")
+    large = materialize(shingles(members).where(F.col("total") > BLOCK).select("component"), "jaccard-large")  # one for each BLOCK of shingles at most
+    if not large.isEmpty():
+        split = members.join(F.broadcast(large), "component").withColumnRenamed("component", "cluster")
+        split = split.drop("cluster", "no").join(_kindred(texts, split, num, den, n), "doc_id")
+        members = members.join(F.broadcast(large), "component", "left_anti").drop("no").unionByName(split)
+        members = materialize(members, "jaccard-clusters")
+    totals = shingles(members)
     # Similar sets lie on one level of size or on neighbours: a large cluster is joined level by level.
     own = F.floor(F.log("n_shingles") / (1.001 * log(den / num))).cast("int") if num < den else F.col("n_shingles").cast("int")
     place = lambda level, upper: F.struct(level.alias("level"), F.lit(upper).alias("upper"))

@@ -310,6 +310,26 @@ def test_large_cluster_in_blocks(spark, monkeypatch):
     assert got == {p for p in pairs if set(p) <= firsts}
 
 
+def test_a_large_group_that_shares_passages_falls_apart(spark, monkeypatch):
+    """Texts of a large group that only share a passage leave it; sent once for each block, they grow with the square of the group."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3_000)
+    r = random.Random(21)
+    text = lambda k, n: " ".join(f"w{k}x{r.randrange(10**6)}" for _ in range(n))
+    shared = text("s", 120)
+    rows = [(k, f"{text(k, 60)} {shared} {text(k, 60)}") for k in range(120)]
+    rows += [(200 + k, f"{t} tail") for k, t in rows[:10]]
+    rows += [(300, rows[0][1]), (301, f"{shared} {text('a', 3)}"), (302, f"{shared} {text('b', 3)}")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    _, classes = jaccard_join._classes(docs, 3)
+    sent = jaccard_join._grouped(docs, classes.localCheckpoint(), 3, 80, 100).localCheckpoint()
+    times = Counter(x["doc_id"] for x in sent.select("doc_id").collect())
+    assert set(times) == {*range(10), *range(200, 210), 301, 302}
+    assert max(times.values()) <= 6
+    _, pairs = brute_links(rows, 3, 80, 100)
+    found = sent.groupBy(*jaccard_join.GROUP).applyInArrow(jaccard_join._join_group(3, 80, 100, "pairs"), jaccard_join.LINKS).collect()
+    assert {tuple(sorted((x["doc_id"], x["other"]))) for x in found} == {(rows[i][0], rows[j][0]) for i, j in pairs if 300 not in (rows[i][0], rows[j][0])}
+
+
 def test_one_of_each_group_stays(spark, odd, none):
     got = jaccard_join.keep_one(odd)
     assert got.columns == odd.columns
