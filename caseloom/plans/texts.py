@@ -260,18 +260,27 @@ qd AS (SELECT qs.*, (SELECT count(*) FROM p WHERE p.word = qs.word AND p.day < q
 s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg))) AS score FROM qd JOIN p ON p.word = qd.word AND p.day < qd.day GROUP BY ALL)"""
 
 
-def _bm25(spark, d):
+# Queries dated over all documents, whatever their number: the last one follows every document.
+_BM_WHOLE = _BM.replace("(item_id + 1) * 2 AS day", "(item_id + 1) * (SELECT max(doc_id // 10) + 1 FROM documents) // (SELECT max(item_id) + 1 FROM benchmark) AS day")
+
+
+def _bm25(spark, d, whole=False):
+    """``whole``: the queries' dates go over all documents; else only documents below 20 times the number of queries are earlier than one."""
     long_words = lambda c: F.filter(T.tokens(F.col(c)), lambda w: F.length(w) >= 6)
     docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 10).cast("long").alias("day"), long_words("text").alias("words"))
-    queries = table(spark, d, "benchmark").select("item_id", ((F.col("item_id") + 1) * 2).alias("day"), long_words("text").alias("words"))
+    items, day = table(spark, d, "benchmark"), (F.col("item_id") + 1) * 2
+    if whole:
+        items = items.join(F.broadcast(docs.agg(F.max("day").alias("last"))), F.lit(True)).join(F.broadcast(items.agg(F.max("item_id").alias("items"))), F.lit(True))  # one row each
+        day = F.expr("(item_id + 1) * (last + 1) div (items + 1)")
+    queries = items.select("item_id", day.alias("day"), long_words("text").alias("words"))
     return retrieval.as_of_scores(docs, queries, "doc_id", "item_id", "day", "words")
 
 
-@query("R1_bm25_as_of", f"""WITH {_BM} SELECT item_id, doc_id, round(score, 5) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 5""")
+@query("R1_bm25_as_of", f"""WITH {_BM_WHOLE} SELECT item_id, doc_id, round(score, 5) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s) WHERE r <= 5""")
 def bm25(spark, d):
     """The five best earlier documents of each query, with statistics as of its date."""
     line = Window.partitionBy("item_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return _bm25(spark, d).withColumn("rank", F.row_number().over(line)).where("rank <= 5").select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
+    return _bm25(spark, d, whole=True).withColumn("rank", F.row_number().over(line)).where("rank <= 5").select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query("R2_found_at_5", f"""WITH {_BM}, t AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s), k AS (SELECT item_id, r, doc_id % 7 = item_id % 7 AS same FROM t WHERE r <= 5) SELECT count(DISTINCT item_id) AS n_queries, count(DISTINCT CASE WHEN same THEN item_id END) AS found_at_5, count(*) FILTER (same AND r = 1) AS nearest_at_1 FROM k""")

@@ -216,3 +216,20 @@ def test_only_asked_words_are_counted(spark):
     scores = retrieval.as_of_scores(docs, asks, "doc", "item", "day", "words")
     assert sorted((x["item"], x["doc"]) for x in scores.collect()) == [(1, 1), (1, 2), (2, 1)]
     assert "LeftSemi" in scores._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_queries_are_dated_over_all_documents(spark, tmp_path):
+    import duckdb
+
+    from caseloom.plans import catalog
+    from tests.conftest import same_as_sql
+
+    texts = ["harbour lights" if k % 150 == 149 else "nothing but plain weather" for k in range(600)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "harbour lights"), (1, "the harbour")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = catalog.QUERIES["R1_bm25_as_of"](spark, str(tmp_path))
+    assert sorted((x["item_id"], x["doc_id"]) for x in found.collect()) == [(0, 149), (0, 299), (1, 149), (1, 299), (1, 449), (1, 599)]
+    same_as_sql(found, con, catalog.ORACLES["R1_bm25_as_of"])
